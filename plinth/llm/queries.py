@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plinth.llm import audio, url_rules
+from plinth.llm import audio, ngram_lm, simhash, url_rules
 from plinth.session import table
 
 #: The rules of op8 (fixed values).
@@ -37,6 +37,17 @@ def op2_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return ngram_lm.BigramModel.fit(docs).score(docs)
+
+
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = simhash.near_duplicates(docs, k=3, distance=2)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op8_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return url_rules.judge_urls(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
@@ -45,6 +56,8 @@ def op8_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_audio_features": op2_audio_features,
+        "op4_ngram_lm": op4_ngram_lm,
+        "op5_simhash": op5_simhash,
         "op8_url_rules": op8_url_rules,
     }
 
