@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plinth.llm import audio, ngram_lm, simhash, url_rules
+from plinth.llm import audio, bpe, ngram_lm, simhash, suffix_dedup, url_rules
 from plinth.session import table
 
+#: The vocabulary of op7, read where the driver runs.
+TOKENIZER = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 #: The rules of op8 (fixed values).
 URL_RULES = [
     ("com", "/", "allow"),
@@ -48,6 +51,20 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    got = suffix_dedup.cut_repeats(docs)
+    left = F.length("kept").cast("long")
+    return got.select("doc_id", "n_bytes", (F.col("n_bytes") - left).alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op7_byte_bpe(spark: SparkSession, sf_dir: str, tokenizer: str = TOKENIZER) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    ranks = bpe.read_ranks(tokenizer)
+    got = bpe.decode(bpe.encode(docs, ranks, public_tokenizers.PATTERN), ranks, raw="raw")
+    return got.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2("raw", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op8_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return url_rules.judge_urls(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
@@ -58,6 +75,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_audio_features": op2_audio_features,
         "op4_ngram_lm": op4_ngram_lm,
         "op5_simhash": op5_simhash,
+        "op6_suffix_dedup": op6_suffix_dedup,
+        "op7_byte_bpe": op7_byte_bpe,
         "op8_url_rules": op8_url_rules,
     }
 
