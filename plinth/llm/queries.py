@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plinth.llm import audio, bpe, ngram_lm, simhash, suffix_dedup, url_rules
+from plinth.llm import audio, bpe, embedding_dedup, ngram_lm, packing, sharding, simhash, suffix_dedup, toxicity, url_rules
+from plinth.llm.common import Scratch
 from plinth.session import table
 
 #: The vocabulary of op7, read where the driver runs.
@@ -23,6 +24,11 @@ URL_RULES = [
 ]
 
 
+def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    return embedding_dedup.near_duplicates(vectors)
+
+
 def op2_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     got = audio.audio_features(audio.store_audio(docs))
@@ -40,6 +46,13 @@ def op2_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels, names = toxicity.chain_labels(table(spark, sf_dir, "labels"))
+    scored = toxicity.score(docs, toxicity.fit(docs, labels, names))
+    return scored.select("doc_id", "p_low_quality", "p_toxic", F.col("rejected").alias("toxic"))
+
+
 def op4_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return ngram_lm.BigramModel.fit(docs).score(docs)
@@ -70,14 +83,34 @@ def op8_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge_urls(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+#: Arrivals that op10 deals the documents into.
+ARRIVALS = 12
+
+
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    store = sharding.ShardStore(spark, Scratch(spark, "shards").path())
+    store.append(docs, F.pmod(F.coalesce("doc_id", F.lit(0)), F.lit(ARRIVALS)).cast("int"), ARRIVALS)
+    store.compact()
+    return store.read().select("doc_id", "source", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_embedding_dedup": op1_embedding_dedup,
         "op2_audio_features": op2_audio_features,
+        "op3_toxicity": op3_toxicity,
         "op4_ngram_lm": op4_ngram_lm,
         "op5_simhash": op5_simhash,
         "op6_suffix_dedup": op6_suffix_dedup,
         "op7_byte_bpe": op7_byte_bpe,
         "op8_url_rules": op8_url_rules,
+        "op9_packing": op9_packing,
+        "op10_sharding": op10_sharding,
     }
 
 
@@ -100,5 +133,10 @@ FROM u LEFT JOIN m ON u.page_id = m.page_id
 """
 
 
+OP10_SQL = """
+SELECT doc_id, source, CAST(octet_length(encode(text)) AS BIGINT) AS n_bytes, sha256(text) AS text_sha256 FROM documents
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op8_url_rules": OP8_SQL}
+    return {"op8_url_rules": OP8_SQL, "op10_sharding": OP10_SQL}

@@ -49,7 +49,7 @@ CAP, BUCKET_BYTES, SHARD_BYTES = 2000, 1 << 20, 1 << 16
 PART_BYTES, BLOOM_MB, FREQUENT = 24 << 20, 64, 100_000
 _POSITION = U((1 << 24) - 1)
 _LAST = (1 << 63) - 1
-_KEY, _TH = "__plinth_key", "__plinth_hash"
+_KEY, _TH, _SPANS = "__plinth_key", "__plinth_hash", "__plinth_spans"
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -479,20 +479,22 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return out
 
 
-def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, cap: int = CAP, scratch: Scratch | None = None) -> DataFrame:
-    """docs plus n_bytes, spans (array of removed [s, e), united) and kept (the remaining bytes, binary)."""
+def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, cap: int = CAP, scratch: Scratch | None = None, as_text: bool = False) -> DataFrame:
+    """docs plus n_bytes, spans (array of removed [s, e), united) and kept (the remaining bytes, binary).
+
+    With ``as_text`` the docs themselves with the remaining text in place: bytes of characters that a cut has split go too.
+    """
     spans = repeated_spans(docs, id_col, text_col, length, gram, cap, scratch)
-    outputs = ("n_bytes", "spans", "kept")
+    outputs = () if as_text else ("n_bytes", "spans", "kept")
     keep = [c for c in docs.columns if c not in outputs]
     base = docs.select(*keep).withColumns({_KEY: F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)), _TH: F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))})
     by_text = spans.groupBy(F.col("id").alias(_KEY), F.col("th").alias(_TH)).agg(F.collect_list(F.struct(F.col("s").cast("int").alias("s"), F.col("e").cast("int").alias("e"))).alias("spans"))
-    joined = base.join(by_text, [_KEY, _TH], "left").select(*keep, "spans")
+    joined = base.join(by_text.withColumnRenamed("spans", _SPANS), [_KEY, _TH], "left").select(*keep, _SPANS)
     fields = ", ".join(f"`{c}` {t}" for c, t in docs.select(*keep).dtypes)
 
     def cut(batches):
         for batch, data, offsets in text_chunks(batches, text_col):
-            # text_chunks hands out slices, so the spans column is sliced alike
-            lists = batch.column("spans")
+            lists = batch.column(_SPANS)
             kept, out, sizes = [], [], np.diff(offsets)
             mine = pa.array(lists)
             for i in range(batch.num_rows):
@@ -508,6 +510,11 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 else:
                     kept.append(raw.tobytes())
                     out.append([])
+            if as_text:
+                null = [not x.is_valid for x in batch.column(text_col)]
+                texts = pa.array([None if m else k.decode("utf-8", "ignore") for k, m in zip(kept, null)], pa.string())
+                yield pa.RecordBatch.from_arrays([texts if c == text_col else batch.column(c) for c in keep], names=keep)
+                continue
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(sizes), pa.array(out, pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))), pa.array(kept, pa.binary())], names=[*keep, *outputs])
 
-    return joined.mapInArrow(cut, f"{fields}, n_bytes long, spans array<struct<s: int, e: int>>, kept binary")
+    return joined.mapInArrow(cut, fields if as_text else f"{fields}, n_bytes long, spans array<struct<s: int, e: int>>, kept binary")
