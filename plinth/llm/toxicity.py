@@ -4,7 +4,7 @@ probabilities of the categories before it.
 A later model is trained with out-of-fold probabilities of the earlier ones: each training row's probability comes from
 models that have not seen the row. The models that score new texts are fitted on all training rows.
 
-Features are the words (runs of letters, A-Z lower-cased) that a text has, hashed into ``buckets``; for each category the
+Features are the words (runs of letters, A-Z lower-cased) that a text has and the beginnings of longer words, hashed into ``buckets``; for each category the
 ``features`` buckets that tell most are chosen by the z-score of their log-odds. A text counts whole.
 
 The training sample is bounded by ``sample`` labelled rows (those with the least hash of their id) so that the model fits in
@@ -27,17 +27,27 @@ from pyspark.sql import functions as F
 
 from plinth.llm.common import lower_ascii, mix, prefix_hash, span_hash, text_chunks, words
 
-SAMPLE, BUCKETS, FEATURES, FOLDS, RIDGE = 8192, 1 << 18, 1024, 5, 1.0
+SAMPLE, BUCKETS, FEATURES, FOLDS, RIDGE = 8192, 1 << 20, 1024, 5, 1.0
+#: A word counts as telling from this z-score on; with less, words of a few mislabelled rows would be learnt by heart.
+LEAST_Z = 3.7
+#: Lengths in bytes of the word beginnings that are features of their own.
+STEMS = (6, 7, 8, 9)
 _LETTERS = np.full(256, 0x20, np.uint8)
 _LETTERS[97:123] = np.arange(97, 123)
 _LETTERS[128:] = np.arange(128, 256)
 
 
 def word_buckets(data: np.ndarray, offsets: np.ndarray, buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
-    """(text number, bucket) of every word."""
+    """(text number, bucket) of every word and of the first bytes of longer words."""
     data = _LETTERS[lower_ascii(data)]
     starts, ends, counts = words(data, offsets)
-    return np.repeat(np.arange(len(counts)), counts), (span_hash(prefix_hash(data), starts, ends) % np.uint64(buckets)).astype(np.int64)
+    text, prefix = np.repeat(np.arange(len(counts)), counts), prefix_hash(data)
+    rows, hashes = [text], [span_hash(prefix, starts, ends)]
+    for n in STEMS:
+        long = ends - starts > n
+        rows.append(text[long])
+        hashes.append(mix(span_hash(prefix, starts[long], starts[long] + n) + np.uint64(n)))
+    return np.concatenate(rows), (np.concatenate(hashes) % np.uint64(buckets)).astype(np.int64)
 
 
 @dataclass
@@ -140,7 +150,7 @@ def choose(rows: np.ndarray, cols: np.ndarray, y: np.ndarray, buckets: int, feat
     z = np.abs(odds) / np.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))
     z[every < 4] = 0
     best = np.argsort(-z, kind="stable")[:features]
-    best = best[z[best] > 0]
+    best = best[z[best] >= LEAST_Z]
     out = np.full(buckets, -1, np.int64)
     out[best] = np.arange(len(best))
     return out
@@ -208,7 +218,7 @@ def fit(docs: DataFrame, labels: DataFrame, names: list[str], id_col: str = "doc
     return train(names, y, got["fold"].to_numpy(), rows, cols)
 
 
-def score(docs: DataFrame, chain: Chain, text_col: str = "text", threshold: float = 0.5, target: str | None = None, drop: bool = False) -> DataFrame:
+def score(docs: DataFrame, chain: Chain, text_col: str = "text", threshold: float = 0.4, target: str | None = None, drop: bool = False) -> DataFrame:
     """docs plus p_<category> for each link of the chain and ``rejected``: the target's (by default the last category's)
     probability is ``threshold`` or more. With ``drop`` only the rows that are not rejected, without new columns."""
     target = target or chain.links[-1].name
