@@ -122,13 +122,13 @@ def partial_name_match(left: Column, right: Column, least: int = 2) -> Column:
 
 def split_names(c: Column, separators: str = NAME_SEPARATORS) -> Column:
     """Distinct non-blank parts in order."""
-    parts = F.transform(F.split(c, f"[{re.escape(separators)}]"), F.trim)
+    parts = F.transform(F.split(c, f"[{re.escape(separators)}]"), lambda x: F.trim(x))
     return F.array_distinct(F.filter(parts, lambda x: x != ""))
 
 
 def split_topics(c: Column) -> Column:
     """Topic names of a packed field in order."""
-    return F.array_distinct(F.filter(F.transform(F.split(c, r"[|,、/／\n]+"), F.trim), lambda x: x != ""))
+    return F.array_distinct(F.filter(F.transform(F.split(c, r"[|,、/／\n]+"), lambda x: F.trim(x)), lambda x: x != ""))
 
 
 def email_key(c: Column) -> Column:
@@ -167,7 +167,7 @@ def related_titles(left: Column, right: Column, least: int = 10, ratio: float =
 
 def keywords_to_json(c: Column) -> Column:
     """Distinct non-blank values in order as a JSON list."""
-    return F.to_json(F.array_distinct(F.filter(F.transform(c, F.trim), lambda x: x != "")))
+    return F.to_json(F.array_distinct(F.filter(F.transform(c, lambda x: F.trim(x)), lambda x: x != "")))
 
 
 def keywords_from_json(c: Column) -> Column:
@@ -226,7 +226,7 @@ def deadline(text: Column, keywords: list[str], date_pattern: str, ahead: int =
 
 def section_after(text: Column, heading: str, stop: str, most: int = 7) -> Column:
     """Up to ``most`` non-blank lines after the first heading line, before the first stop line, joined by blanks."""
-    lines = F.transform(lines_of(text), F.trim)
+    lines = F.transform(lines_of(text), lambda x: F.trim(x))
     at = F.coalesce(F.array_position(F.transform(lines, lambda x: x.rlike(heading)), True), F.lit(0)).cast("int")
     rest = F.filter(F.slice(lines, at + 1, F.size(lines)), lambda x: (x != "") & ~x.rlike(heading))
     end = F.coalesce(F.array_position(F.transform(rest, lambda x, i: x.rlike(stop) & (i > 0)), True), F.lit(0)).cast("int")

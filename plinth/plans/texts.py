@@ -217,11 +217,7 @@ def pager_templates(t: Tables) -> DataFrame:
     return t.pages.select("page_id", F.replace(extraction.pager_template(renamed), F.lit("pg={pg}"), F.lit("page={pg}")).alias("template")).where("template is not null")
 
 
-@query(
-    r"""
-    SELECT doc_id, replace(regexp_extract(text, '\$\s?([0-9][0-9,]*)', 1), ',', '') AS amount FROM documents WHERE regexp_matches(text, '\$\s?[0-9]')
-    """
-)
-def budget_extract(t: Tables) -> DataFrame:
-    d = t.documents.where(F.col("text").rlike(r"\$\s?[0-9]"))
-    return d.select("doc_id", F.replace(F.regexp_extract("text", r"\$\s?([0-9][0-9,]*)", 1), F.lit(","), F.lit("")).alias("amount"))
+@query("SELECT doc_id, regexp_extract(text, '([0-9][0-9,]{5,})', 1) AS amount FROM documents WHERE regexp_matches(text, '[0-9][0-9,]{5,}')")
+def amount_extract(t: Tables) -> DataFrame:
+    d = t.documents.where(F.col("text").rlike("[0-9][0-9,]{5,}"))
+    return d.select("doc_id", F.regexp_extract("text", "([0-9][0-9,]{5,})", 1).alias("amount"))
