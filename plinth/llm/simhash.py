@@ -11,6 +11,13 @@ fingerprints go to stars instead. The star of a value is every fingerprint withi
 odd distance, one exact further bit; for distance 2 that is the fingerprint itself and its 64 neighbours, and two
 fingerprints have a common star exactly if they are within 2 bits. Rows stay linear in the group and no link is lost.
 
+``similar_documents`` is the form for a similarity of shingle sets (by default five words and a Jaccard similarity of 0.8): a
+fingerprint of four lanes (256 bits) whose share of differing bits estimates the angle between the sets. At that distance no
+single block is sure to agree, so the blocks are dealt into many tables of a few blocks each, as many as make a pair at the
+threshold meet with a chance of ``recall``; keys get longer with the number of texts, so their groups stay small. Pairs
+that meet are verified by Hamming distance. In a key with over ``bucket`` fingerprints each meets the key's anchor instead of
+all others; every table has other anchors, so members of one group meet many of them.
+
 Defined cases: null and empty texts have fingerprint zero and link like any other; a null id keeps its row and never
 becomes a component's id unless the whole component has none; repeated rows give repeated results; an empty table gives
 an empty result. Texts are processed whole.
@@ -18,6 +25,7 @@ an empty result. Texts are processed whole.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -27,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plinth.llm.common import Scratch, connected_components, lower_ascii, text_chunks, words
+from plinth.llm.common import Scratch, connected_components, lower_ascii, mix, text_chunks, words
 
 SEED = 42
 #: Distinct fingerprints that one key joins pairwise; larger keys take the linear way.
@@ -58,33 +66,46 @@ def _majority(h: np.ndarray, bounds: np.ndarray, block: int = 1 << 16) -> np.nda
     return np.packbits(set_bits, axis=1, bitorder="little").view(np.uint64).ravel()
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3) -> DataFrame:
-    """(id_col, fp) with the fingerprint as a signed 64-bit number; one row per input row."""
+def _lane(h: np.ndarray, lane: int) -> np.ndarray:
+    """Hashes for a further lane of the fingerprint; lane 0 has the shingles' own."""
+    return mix(h + np.uint64(lane * 0x9E3779B97F4A7C15 % (1 << 64))) if lane else h
+
+
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, lanes: int = 1) -> DataFrame:
+    """(id_col, fp) with the fingerprint as a signed 64-bit number, and fp1, fp2, ... for further lanes; one row per input row."""
     kind = dict(docs.dtypes)[id_col]
+    names = ["fp", *[f"fp{i}" for i in range(1, lanes)]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offsets in text_chunks(batches, text_col):
             data = lower_ascii(data)
             starts, ends, counts = words(data, offsets)
             if len(starts):
-                size = ends - starts
-                at = np.concatenate([[0], np.cumsum(size + 1)])  # each word and one blank
-                joined = np.full(at[-1], 0x20, np.uint8)
-                solid = np.repeat(at[:-1] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
-                joined[solid] = data[np.repeat(starts - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())]
-                text = joined.tobytes()
-                bounds = np.concatenate([[0], np.cumsum(counts)])
-                n = np.where(counts > 0, np.maximum(1, counts - k + 1), 0)
-                first = np.repeat(bounds[:-1] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-                last = np.minimum(first + k, np.repeat(bounds[1:], n)) - 1
-                digest = xxhash.xxh64_intdigest
-                h = np.fromiter((digest(text[a:b], SEED) for a, b in zip(at[first].tolist(), (at[last + 1] - 1).tolist())), np.uint64, len(first))
-                fp = _majority(h, np.concatenate([[0], np.cumsum(n)]))
+                h, bounds = _shingle_hashes(data, starts, ends, counts, k)
+                fps = [_majority(_lane(h, i), bounds) for i in range(lanes)]
             else:
-                fp = np.zeros(batch.num_rows, np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(id_col), pa.array(fp.view(np.int64))], names=[id_col, "fp"])
-
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, fp long")
+                fps = [np.zeros(batch.num_rows, np.uint64)] * lanes
+            yield pa.RecordBatch.from_arrays([batch.column(id_col), *(pa.array(f.view(np.int64)) for f in fps)], names=[id_col, *names])
+
+    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, " + ", ".join(f"{n} long" for n in names))
+
+
+def _shingle_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, counts: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(XXH64 of every shingle, bounds of each text's shingles)."""
+    size = ends - starts
+    before = np.cumsum(size) - size
+    at = np.concatenate([[0], np.cumsum(size + 1)])  # each word and one blank
+    joined = np.full(at[-1], 0x20, np.uint8)
+    step = np.arange(size.sum())
+    joined[np.repeat(at[:-1] - before, size) + step] = data[np.repeat(starts - before, size) + step]
+    text = joined.tobytes()
+    bounds = np.concatenate([[0], np.cumsum(counts)])
+    n = np.where(counts > 0, np.maximum(1, counts - k + 1), 0)
+    first = np.repeat(bounds[:-1] - np.cumsum(n) + n, n) + np.arange(n.sum())
+    last = np.minimum(first + k, np.repeat(bounds[1:], n)) - 1
+    digest = xxhash.xxh64_intdigest
+    h = np.fromiter((digest(text[a:b], SEED) for a, b in zip(at[first].tolist(), (at[last + 1] - 1).tolist())), np.uint64, len(first))
+    return h, np.concatenate([[0], np.cumsum(n)])
 
 
 def block_masks(distance: int) -> list[int]:
@@ -148,3 +169,65 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     least = placed.groupBy("part").agg(F.min("rep").alias("component_id"))
     named = placed.join(least, "part").select("fp", "component_id")
     return own.join(named, "fp").select(id_col, "fp", "component_id")
+
+
+LANES, BLOCK_BITS = 4, 4
+
+
+def bit_limit(similarity: float, bits: int = 64 * LANES, slack: float = 1.0) -> int:
+    """Differing bits up to which two texts count as similar: the mean at that Jaccard similarity and ``slack`` deviations."""
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return int(bits * share + slack * math.sqrt(bits * share * (1 - share)))
+
+
+def block_tables(rows: int, similarity: float, recall: float, bits: int = 64 * LANES) -> list[list[int]]:
+    """Blocks of each table. Keys have two bits more than log2(rows), at least 20; there are as many tables as the recall needs.
+
+    Round by round the blocks are shuffled (always alike) and cut into tables, so all blocks are used evenly.
+    """
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    per = max(20, math.ceil(math.log2(max(rows, 2))) + 2)
+    per = -(-per // BLOCK_BITS)
+    n = math.ceil(math.log(1 - recall) / math.log(1 - (1 - share) ** (per * BLOCK_BITS)))
+    blocks, out, r = np.arange(bits // BLOCK_BITS), [], np.random.default_rng(SEED)
+    while len(out) < n:
+        order = r.permutation(blocks)
+        out += [order[i : i + per].tolist() for i in range(0, len(order) - per + 1, per)]
+    return out[:n]
+
+
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, similarity: float = 0.8, recall: float = 0.92, bucket: int = BUCKET, scratch: Scratch | None = None) -> DataFrame:
+    """(id_col, component_id): the smallest id reachable over pairs of texts whose shingle sets are similar."""
+    scratch = scratch or Scratch(docs.sparkSession, "similar")
+    lanes = ["fp", *[f"fp{i}" for i in range(1, LANES)]]
+    own = scratch.write(fingerprints(docs, id_col, text_col, k, LANES).withColumn("cls", F.xxhash64(*lanes)))
+    classes = scratch.write(own.groupBy("cls", *lanes).agg(F.min(id_col).alias("rep")))
+    tables = block_tables(classes.count(), similarity, recall)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bits = np.stack([batch.column(x).to_numpy() for x in lanes], axis=1).view(np.uint8)  # 32 bytes a row
+            nibbles = np.stack([bits & 15, bits >> 4], axis=2).reshape(batch.num_rows, -1).astype(np.uint64)
+            cls = batch.column("cls")
+            for t, blocks in enumerate(tables):
+                key = np.full(batch.num_rows, t + 1, np.uint64)
+                for b in blocks:
+                    key = mix(key * np.uint64(16) + nibbles[:, b])
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), cls], names=["key", "cls"])
+
+    keyed = classes.select("cls", *lanes).mapInArrow(deal, "key long, cls long")
+    keyed = scratch.write(keyed)
+    groups = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min_by("cls", F.xxhash64("cls", "key")).alias("anchor")).where("n > 1")
+    shared = scratch.write(keyed.join(groups, "key"))
+    scratch.drop(keyed)
+    small = shared.where(F.col("n") <= bucket).select("key", "cls")
+    near = small.alias("x").join(small.alias("y"), "key").where("x.cls < y.cls").select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b"))
+    hot = shared.where((F.col("n") > bucket) & (F.col("cls") != F.col("anchor"))).select(F.least("cls", "anchor").alias("a"), F.greatest("cls", "anchor").alias("b"))
+    pairs = near.unionAll(hot).distinct()
+    side = lambda c: classes.select(F.col("cls").alias(c), *[F.col(x).alias(f"{c}_{x}") for x in lanes])
+    apart = sum((F.bit_count(F.col(f"a_{x}").bitwiseXOR(F.col(f"b_{x}"))) for x in lanes[1:]), F.bit_count(F.col("a_fp").bitwiseXOR(F.col("b_fp"))))
+    edges = pairs.join(side("a"), "a").join(side("b"), "b").where(apart <= bit_limit(similarity)).select("a", "b")
+    parts = connected_components(edges, scratch)
+    placed = classes.join(parts, classes.cls == parts.node, "left").select("cls", "rep", F.coalesce("component", "cls").alias("part"))
+    least = placed.groupBy("part").agg(F.min("rep").alias("component_id"))
+    return own.join(placed.join(least, "part").select("cls", "component_id"), "cls").select(id_col, "component_id")

@@ -266,6 +266,28 @@ def test_simhash(spark, docs, empty):
     assert simhash.near_duplicates(empty).count() == 0
 
 
+def test_similar_documents(spark, docs, empty):
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(5))
+    base = [[word() for _ in range(300)] for _ in range(40)]
+    rows = [(i, " ".join(w)) for i, w in enumerate(base)]
+    for i, w in enumerate(base):
+        near, far = list(w), list(w)
+        for j in (20, 150, 290):
+            near[j] = word()
+        for j in range(0, 300, 8):
+            far[j] = word()
+        rows += [(100 + i, " ".join(near)), (200 + i, " ".join(far)), (300 + i, " ".join(w).upper())]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for kw in ({}, {"bucket": 1}):
+        got = {x.doc_id: x.component_id for x in simhash.similar_documents(df, **kw).collect()}
+        assert all(got[i] == i and got[300 + i] == i and got[200 + i] == 200 + i for i in range(40))
+        assert sum(got[100 + i] == i for i in range(40)) >= 38
+    assert simhash.similar_documents(empty).count() == 0
+    assert simhash.similar_documents(docs).count() == docs.count()
+    assert simhash.bit_limit(0.8) > simhash.bit_limit(0.9) > simhash.bit_limit(0.99)
+
+
 # 6 suffix arrays
 
 
