@@ -174,7 +174,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 LANES, BLOCK_BITS = 4, 4
 
 
-def bit_limit(similarity: float, bits: int = 64 * LANES, slack: float = 1.0) -> int:
+def bit_limit(similarity: float, bits: int = 64 * LANES, slack: float = 1.5) -> int:
     """Differing bits up to which two texts count as similar: the mean at that Jaccard similarity and ``slack`` deviations."""
     share = math.acos(2 * similarity / (1 + similarity)) / math.pi
     return int(bits * share + slack * math.sqrt(bits * share * (1 - share)))
@@ -196,7 +196,7 @@ def block_tables(rows: int, similarity: float, recall: float, bits: int = 64 * L
     return out[:n]
 
 
-def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, similarity: float = 0.8, recall: float = 0.92, bucket: int = BUCKET, scratch: Scratch | None = None) -> DataFrame:
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, similarity: float = 0.8, recall: float = 0.96, bucket: int = BUCKET, scratch: Scratch | None = None) -> DataFrame:
     """(id_col, component_id): the smallest id reachable over pairs of texts whose shingle sets are similar."""
     scratch = scratch or Scratch(docs.sparkSession, "similar")
     lanes = ["fp", *[f"fp{i}" for i in range(1, LANES)]]
