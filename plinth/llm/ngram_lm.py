@@ -210,7 +210,7 @@ def _count_tokens(id_col: str, text_col: str, keep: int = 1 << 20):
     return run
 
 
-def _bigram_blobs(id_col: str, text_col: str, hot_keys: np.ndarray, n_segments: int, keep: int = 1 << 22):
+def _bigram_blobs(id_col: str, text_col: str, hot_keys: np.ndarray, n_segments: int, keep: int = 1 << 21):
     hot = _Lookup(hot_keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -346,7 +346,7 @@ UNPACKED = np.concatenate([[0.0], np.exp((np.arange(1, 256) - 128) * _STEP)])
 _HEAD = np.dtype([("n", "<i8"), ("held", "<i4"), ("known", "<i8"), ("base", "<f8"), ("model", "<f8")])
 
 
-def _score_blobs(id_col, text_col, sent, hot, n_segments, tokens, types, parts, whole, keep=1 << 22):
+def _score_blobs(id_col, text_col, sent, hot, n_segments, tokens, types, parts, whole, keep=1 << 21):
     norm = float(tokens + types + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
