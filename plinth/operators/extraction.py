@@ -205,3 +205,62 @@ def article_rows(articles: DataFrame, id_col: str, lines: str, suffixes: list[st
 
     kind = dict(articles.dtypes)[id_col]
     return articles.select(id_col, lines).mapInPandas(run, f"`{id_col}` {kind}, position int, section string, name string, to_unit string, from_unit string")
+
+
+class _Outline(HTMLParser):
+    """Headings and links of a page in order, as (kind, level or address, text)."""
+
+    def __init__(self) -> None:
+        super().__init__(convert_charrefs=True)
+        self.items: list[tuple[str, str, str]] = []
+        self.open: list[list] = []
+
+    def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        if re.fullmatch("h[1-6]", tag):
+            self.open.append([tag, "heading", tag[1], ""])
+        elif tag == "a":
+            self.open.append([tag, "link", dict(attrs).get("href") or "", ""])
+
+    def handle_data(self, data: str) -> None:
+        for o in self.open:
+            o[3] += data
+
+    def handle_endtag(self, tag: str) -> None:
+        for o in [o for o in self.open if o[0] == tag]:
+            self.open.remove(o)
+            self.items.append((o[1], o[2], re.sub(r"\s+", " ", o[3]).strip()))
+
+
+def outline(html: str) -> list[tuple[str, str, str]]:
+    p = _Outline()
+    p.feed(html)
+    return p.items
+
+
+def links_under(html: str, heading: str, label: str) -> list[tuple[str, str]]:
+    """(address, text) of the links after a heading that matches, until the next that does not; without any, of those whose text matches ``label``."""
+    found, inside = [], False
+    items = outline(html)
+    for kind, value, text in items:
+        if kind == "heading":
+            inside = re.search(heading, text) is not None
+        elif inside and value and text:
+            found.append((value, text))
+    if not found:
+        found = [(v, t) for kind, v, t in items if kind == "link" and v and re.search(label, t)]
+    return list(dict.fromkeys(found))
+
+
+def two_level_units(html: str, level: str = "2") -> list[dict[str, str]]:
+    """(top_unit, child_name, child_url) rows: links under each heading of a level; a heading without links gives one row."""
+    out: list[dict[str, str]] = []
+    top, children = "", 0
+    for kind, value, text in [*outline(html), ("heading", level, "")]:
+        if kind == "heading" and value == level:
+            if top and not children:
+                out.append({"top_unit": top, "child_name": "", "child_url": ""})
+            top, children = text, 0
+        elif kind == "link" and top and text:
+            out.append({"top_unit": top, "child_name": text, "child_url": value})
+            children += 1
+    return out

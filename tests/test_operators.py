@@ -157,3 +157,11 @@ def test_transfer_decisions(spark):
     data = [(1, 1, 0.9, *f), (1, 2, 0.5, *f), (2, 1, 0.9, *f), (2, 2, 0.85, *f), (3, 1, 0.5, *f), (4, 1, 0.0, *f)]
     got = {r.event_id: r.link_status for r in resolution.decide_transfers(spark.createDataFrame(data, schema)).collect()}
     assert got == {1: "auto_matched", 2: "review_pending"}
+
+
+def test_outline_links_and_units():
+    html = "<h2>総務部</h2><ul><li><a href='/a'>総務<b>課</b></a></li><li><a href='/b'>財政課</a></li></ul><h2>出納局</h2><h3>x</h3><h2>観光部</h2><a href='/c'>観光課</a>"
+    assert [(r["top_unit"], r["child_name"]) for r in extraction.two_level_units(html)] == [("総務部", "総務課"), ("総務部", "財政課"), ("出納局", ""), ("観光部", "観光課")]
+    assert extraction.links_under(html, "総務", "観光") == [("/a", "総務課"), ("/b", "財政課")]
+    assert extraction.links_under(html, "none", "観光") == [("/c", "観光課")]
+    assert extraction.two_level_units("") == []
