@@ -18,12 +18,16 @@ INVERSE = pow(BASE, -1, 1 << 64)
 _POWERS: dict[int, np.ndarray] = {}
 
 
+#: Folders made here for sessions without spark.checkpoint.dir, by application.
+_OWN: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one set here where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or where it is unset (tests) a folder of this process."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        path = tempfile.mkdtemp(prefix="plinth-checkpoint-")
-        spark.conf.set("spark.checkpoint.dir", path)
+        app = spark.sparkContext.applicationId
+        path = _OWN.get(app) or _OWN.setdefault(app, tempfile.mkdtemp(prefix="plinth-checkpoint-"))
     return path.rstrip("/")
 
 
@@ -69,7 +73,7 @@ class Scratch:
             return
 
 
-def text_chunks(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 1 << 22) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+def text_chunks(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Slices of record batches with (slice, bytes of all texts, offsets), about max_bytes each; null texts are empty.
 
     One text over max_bytes makes a slice of its own, so memory follows the longest text and not the batch.

@@ -108,7 +108,6 @@ class ShardStore:
             full = sorted(t for t, own in tiers.items() if len(own) >= self.fanout)
             if not full:
                 return version
-            # runs over the target are not merged further: their files have the target's size already
             merged = tiers[full[0]][: self.fanout] if full[0] else tiers[0]
             total = sum(r.bytes for r in merged)
             name = uuid.uuid4().hex[:12]

@@ -13,9 +13,9 @@ How it works.
 3. *Merged Burrows-Wheeler transforms.* The bytes of those segments are fetched by a second scan that probes a Bloom
    filter of their places (a false hit only adds a true segment). A bucket holds all segments of its anchors. Its segments
    are split into shards, each shard sorts its own suffixes and has its own transform, and the transforms are merged by
-   interleave refinement: starting from the concatenation, each round orders all suffixes by one more leading byte with a
-   stable distribution by transform symbol and the shards' LF mappings; where a border between neighbours first appears in
-   round h their common prefix is h - 1. After ``length`` rounds the runs without a border are the repeated intervals,
+   interleave refinement: starting from the concatenation, each round orders all suffixes by one more leading step with a
+   stable distribution by transform symbol and the shards' LF mappings (four bytes a round where a bucket's symbols fit in 16
+   bits); where a border between neighbours first appears in a round, the rounds before it give their common prefix. After ``length`` rounds the runs without a border are the repeated intervals,
    and no suffix of one shard has been compared with another's. Each interval keeps its earliest start.
 4. *Hot anchors.* An anchor with over ``cap`` different segments (the borders of a passage that very many texts share) does
    not go to a bucket: its windows are dealt one by one by their own hash, where all equal windows are one class.
@@ -44,9 +44,9 @@ from plinth.llm.common import Scratch, mix, prefix_hash, span_hash, text_chunks
 U = np.uint64
 LENGTH, GRAM = 100, 40
 #: Different segments of one anchor that a bucket takes, bytes of segments a bucket is made for, bytes a shard sorts.
-CAP, BUCKET_BYTES, SHARD_BYTES = 2000, 1 << 20, 1 << 16
+CAP, BUCKET_BYTES, SHARD_BYTES = 2000, 1 << 19, 1 << 16
 #: Bytes of packed rows a class task is made for; bounds of the Bloom filter and of the list of frequent anchors.
-PART_BYTES, BLOOM_MB, FREQUENT = 24 << 20, 64, 100_000
+PART_BYTES, BLOOM_MB, FREQUENT = 12 << 20, 64, 100_000
 _POSITION = U((1 << 24) - 1)
 _LAST = (1 << 63) - 1
 _KEY, _TH, _SPANS = "__plinth_key", "__plinth_hash", "__plinth_spans"
@@ -108,7 +108,7 @@ class _Packer:
         self.n, self.docs = self.n + len(doc), self.docs + len(ids)
 
     def full(self) -> bool:
-        return self.n >= self.keep or self.docs >= 60_000
+        return self.n >= self.keep or self.docs >= 50_000  # text numbers travel in 16 bits, and one more slice may come
 
     def flush(self) -> pa.RecordBatch:
         ids = np.concatenate(self.ids) if self.ids else np.zeros((0, 2), np.int64)
@@ -226,56 +226,73 @@ def _class_task(length: int, cap: int, last: bool):
 _FOUND = "id long, th long, s long, e long, v long, kind byte"
 
 
-def shard_transform(rows: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(row, place, transform symbol, LF) of the sorted suffixes of a shard; symbols are bytes + 1, 0 ends a row.
+def shard_transform(rows: list[bytes], step: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, place, transform symbol, LF) of the sorted suffixes of a shard.
 
-    UTF-8 has no byte 255, so symbols fit in a byte. Ends of earlier rows sort first.
+    A symbol is the ``step`` (up to 4) bytes before a suffix, each plus one, and LF leads to the suffix that starts with them.
+    A row ends in ``step`` terminators, which sort first; suffixes with fewer than ``step`` bytes before them have symbol 0.
+    UTF-8 has no byte 255, so bytes plus one fit in a byte.
     """
-    m, w = len(rows), max(map(len, rows)) + 1
+    m, w = len(rows), max(map(len, rows)) + step
     table = np.zeros((m, 2 * w), np.uint8)
     for i, x in enumerate(rows):
         table[i, : len(x)] = np.frombuffer(x, np.uint8)
         table[i, : len(x)] += 1
-    sizes = np.array([len(x) + 1 for x in rows])
+    sizes = np.array([len(x) + step for x in rows])
     row = np.repeat(np.arange(m), sizes)
     place = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     suffixes = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(table, w, axis=1)[row, place])
     order = np.argsort(suffixes.view(f"S{w}").ravel(), kind="stable")
+    ends = order[: m * step]  # of these, those past the row's end come first
+    past = place[ends] > (sizes - step)[row[ends]]
+    order[: m * step] = np.concatenate([ends[past], ends[~past]])
     row, place = row[order], place[order]
     rank = np.empty(len(order), np.int64)
     rank[order] = np.arange(len(order))
     base = np.cumsum(sizes) - sizes
-    before = np.where(place > 0, place - 1, sizes[row] - 1)
-    return row, place, np.where(place > 0, table[row, before], 0).astype(np.uint8), rank[base[row] + before]
+    before = np.where(place >= step, place - step, sizes[row] + place - step)
+    symbol = np.zeros(len(order), np.uint32)
+    for i in range(step):
+        symbol = (symbol << np.uint32(8)) | table[row, np.minimum(before + i, w - 1)]
+    symbol[place < step] = 0
+    return row, place, symbol, rank[base[row] + before]
 
 
-def merge_transforms(shards: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]], depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """(order, lcp): the merged order of all suffixes by their first ``depth`` symbols, as positions in the shards' concatenation,
-    and the common prefix with the neighbour before, or ``depth`` where it is at least that.
+def merge_transforms(shards: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]], depth: int, step: int = 1) -> tuple[np.ndarray, np.ndarray] | None:
+    """(order, lcp): the merged order of all suffixes by their first ``depth`` bytes, as positions in the shards' concatenation,
+    and the common prefix with the neighbour before in whole steps, or ``depth`` where it is at least that.
 
-    Interleave refinement: no suffixes are compared, only transform symbols are dealt out stably, round by round.
+    Interleave refinement: no suffixes are compared, only transform symbols are dealt out stably, ``step`` bytes a round.
+    None if the shards have too many different symbols for one dealing by 16 bits.
     """
     bases = np.cumsum([0] + [len(s[0]) for s in shards])
-    symbol = np.concatenate([s[2] for s in shards])
+    kinds, symbol = np.unique(np.concatenate([s[2] for s in shards]), return_inverse=True)
+    if len(kinds) > 1 << 16:
+        return None
+    symbol = symbol.astype(np.uint8 if len(kinds) <= 256 else np.uint16)
     lf = np.concatenate([s[3] + b for s, b in zip(shards, bases)]).astype(np.int32)
+    # suffixes of terminators only: first in each shard, each a block of its own
     ends = np.concatenate([np.arange(b, b + int((s[2] == 0).sum())) for s, b in zip(shards, bases)]).astype(np.int32)
-    order = np.arange(bases[-1], dtype=np.int32)
-    border = np.zeros(len(order), bool)
-    border[:1] = True
-    lcp = np.full(len(order), depth, np.int16)
-    lcp[:1] = 0
-    for h in range(1, depth + 1):
+    # before the first round all suffixes are alike but those past a row's end
+    past = np.concatenate([np.arange(b, b + int((s[2] == 0).sum()) // step * (step - 1)) for s, b in zip(shards, bases)]).astype(np.int32)
+    rest = np.ones(bases[-1], bool)
+    rest[past] = False
+    order = np.concatenate([past, np.flatnonzero(rest).astype(np.int32)])
+    border = np.arange(len(order)) <= len(past)
+    lcp = np.where(border, 0, depth).astype(np.int16)
+    for h in range(step, depth + 1, step):
         sym = symbol[order]
         dealt = np.argsort(sym, kind="stable")[len(ends) :]
         block = np.cumsum(border, dtype=np.int32)[dealt]
         sym = sym[dealt]
         order = np.concatenate([ends, lf[order[dealt]]])
         new = np.ones(len(order), bool)
-        new[len(ends) + 1 :] = (sym[1:] != sym[:-1]) | (block[1:] != block[:-1])
+        np.not_equal(block[1:], block[:-1], out=new[len(ends) + 1 :])
+        new[len(ends) + 1 :] |= sym[1:] != sym[:-1]
         fresh = new & ~border
-        lcp[fresh] = h - 1
-        border = border | new
-        if not fresh.any() and h > 1 and border.all():
+        lcp[fresh] = h - step
+        border |= new
+        if border.all():
             break
     return order, lcp
 
@@ -289,11 +306,15 @@ def repeated_windows(rows: list[bytes], length: int, shard_bytes: int = SHARD_BY
             total = 0
         total += len(x) + 1
     cuts.append(len(rows))
-    shards = []
-    for a, b in zip(cuts, cuts[1:]):
-        row, place, symbol, lf = shard_transform(rows[a:b])
-        shards.append((row + a, place, symbol, lf))
-    order, lcp = merge_transforms(shards, length)
+    for step in (4, 2, 1):
+        if length % step == 0:
+            shards = []
+            for a, b in zip(cuts, cuts[1:]):
+                row, place, symbol, lf = shard_transform(rows[a:b], step)
+                shards.append((row + a, place, symbol, lf))
+            if (merged := merge_transforms(shards, length, step)) is not None:
+                break
+    order, lcp = merged
     row, place = np.concatenate([s[0] for s in shards])[order], np.concatenate([s[1] for s in shards])[order]
     long = lcp >= length
     interval = np.cumsum(~long)
@@ -308,7 +329,7 @@ def _bucket_task(length: int):
     def run(t: pa.Table) -> pa.Table:
         ids, th, s = (t[c].to_numpy() for c in ("id", "th", "s"))
         rows = [x.as_py() for x in t["bytes"]]
-        keep = _sharing(rows, (3 * length) // 4)
+        keep = _sharing(rows, (9 * length) // 10)
         ids, th, s, rows = ids[keep], th[keep], s[keep], [rows[i] for i in keep]
         out = np.zeros((0, 4), np.int64)
         if len(rows) > 0:
@@ -402,6 +423,8 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, cap: int = CAP, scratch: Scratch | None = None) -> DataFrame:
     """(id, th, s, e): byte spans to remove, by id (null as the largest number) and XXH64 of the text; spans may overlap."""
+    if not 0 < length - gram < 255:
+        raise ValueError("a segment's number of windows travels in one byte: length - gram must be 1 to 254")
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark, "suffix")
     keyed = _keyed(docs, id_col, text_col)

@@ -4,6 +4,7 @@ import collections
 import hashlib
 import json
 import math
+import os
 import random
 import zlib
 
@@ -330,13 +331,14 @@ def test_transform_merge_matches_sorting():
         assert all(len(set(x)) == 1 for x in got.values())
         want = collections.Counter(x[i : i + 8] for x in rows for i in range(len(x) - 7))
         assert {x[0]: len(x) for x in got.values()} == {k: n for k, n in want.items() if n > 1}
-    shards = [suffix_dedup.shard_transform(rows[:20]), suffix_dedup.shard_transform(rows[20:])]
-    order, lcp = suffix_dedup.merge_transforms(shards, 12)
-    n = len(shards[0][0])
-    suffix = [rows[shards[0][0][k]][shards[0][1][k] :] if k < n else rows[20 + shards[1][0][k - n]][shards[1][1][k - n] :] for k in order]
-    assert [s[:12] for s in suffix] == sorted(s[:12] for s in suffix)
-    common = [len(__import__("os").path.commonprefix([a, b])) for a, b in zip(suffix, suffix[1:])]
-    assert [min(c, 12) for c in common] == lcp[1:].tolist()
+    for step in (1, 2, 4):
+        shards = [suffix_dedup.shard_transform(rows[:20], step), suffix_dedup.shard_transform(rows[20:], step)]
+        order, lcp = suffix_dedup.merge_transforms(shards, 12, step)
+        n = len(shards[0][0])
+        suffix = [rows[shards[0][0][k]][shards[0][1][k] :] if k < n else rows[20 + shards[1][0][k - n]][shards[1][1][k - n] :] for k in order]
+        assert [s[:12] for s in suffix] == sorted(s[:12] for s in suffix)
+        common = [len(os.path.commonprefix([a, b])) for a, b in zip(suffix, suffix[1:])]
+        assert [min(c, 12) // step * step for c in common] == lcp[1:].tolist()
 
 
 # 7 BPE
@@ -356,7 +358,18 @@ def test_bpe_cache_is_bounded():
     ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
     e = bpe.Encoder(ranks, public_tokenizers.PATTERN, size=3)
     text = "some words that are more than three of them"
-    assert e.encode(text) == bpe.Encoder(ranks, public_tokenizers.PATTERN).encode(text) and len(e) <= 3
+    assert e.encode(text) == bpe.Encoder(ranks, public_tokenizers.PATTERN).encode(text) and len(e.cache) <= 3
+
+
+def test_bpe_trees_side_by_side():
+    ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    r = random.Random(6)
+    forest = bpe.Forest(ranks)
+    for width in (8, 16, 64):
+        pieces = [bytes(r.choice(b"etaoin \xc3\xa9\xff\x00zq") for _ in range(r.randint(1, width))) for _ in range(400)] + [b"aaaaaaaa", b"ab" * (width // 2)]
+        want = [bpe.merge(p, ranks) for p in pieces]
+        got = [np.frombuffer(x, "<u4").tolist() for x in forest.merge(pieces, width)]
+        assert all(g == w for g, w, p in zip(got, want, pieces) if p not in ranks)
 
 
 # 8 urls
