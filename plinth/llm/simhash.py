@@ -15,8 +15,8 @@ fingerprints have a common star exactly if they are within 2 bits. Rows stay lin
 fingerprint of four lanes (256 bits) whose share of differing bits estimates the angle between the sets. At that distance no
 single block is sure to agree, so the blocks are dealt into many tables of a few blocks each, as many as make a pair at the
 threshold meet with a chance of ``recall``; keys get longer with the number of texts, so their groups stay small. Pairs
-that meet are verified by Hamming distance. In a key with over ``bucket`` fingerprints each meets the key's anchor instead of
-all others; every table has other anchors, so members of one group meet many of them.
+that meet are verified by Hamming distance. In a key with over ``bucket`` fingerprints each meets the key's anchor, the
+member with the least hash, instead of all others; members of one group meet several anchors over the tables.
 
 Defined cases: null and empty texts have fingerprint zero and link like any other; a null id keeps its row and never
 becomes a component's id unless the whole component has none; repeated rows give repeated results; an empty table gives
@@ -200,8 +200,10 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """(id_col, component_id): the smallest id reachable over pairs of texts whose shingle sets are similar."""
     scratch = scratch or Scratch(docs.sparkSession, "similar")
     lanes = ["fp", *[f"fp{i}" for i in range(1, LANES)]]
-    own = scratch.write(fingerprints(docs, id_col, text_col, k, LANES).withColumn("cls", F.xxhash64(*lanes)))
-    classes = scratch.write(own.groupBy("cls", *lanes).agg(F.min(id_col).alias("rep")))
+    own = scratch.write(fingerprints(docs, id_col, text_col, k, LANES))
+    # texts with an equal first lane are one class; the least of their further lanes stands for it
+    classes = own.groupBy(F.col("fp").alias("cls")).agg(F.min(id_col).alias("rep"), F.min(F.struct(*lanes[1:])).alias("l"))
+    classes = scratch.write(classes.select("cls", "rep", F.col("cls").alias("fp"), "l.*"))
     tables = block_tables(classes.count(), similarity, recall)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,12 +219,13 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     keyed = classes.select("cls", *lanes).mapInArrow(deal, "key long, cls long")
     keyed = scratch.write(keyed)
-    groups = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min_by("cls", F.xxhash64("cls", "key")).alias("anchor")).where("n > 1")
+    groups = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min_by("cls", F.xxhash64("cls")).alias("anchor")).where("n > 1")
     shared = scratch.write(keyed.join(groups, "key"))
     scratch.drop(keyed)
     small = shared.where(F.col("n") <= bucket).select("key", "cls")
-    near = small.alias("x").join(small.alias("y"), "key").where("x.cls < y.cls").select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b"))
-    hot = shared.where((F.col("n") > bucket) & (F.col("cls") != F.col("anchor"))).select(F.least("cls", "anchor").alias("a"), F.greatest("cls", "anchor").alias("b"))
+    close = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= bit_limit(similarity, 64, 4.0)  # noqa: E731  the first lane alone rules out most chance meetings
+    near = small.alias("x").join(small.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.cls") < F.col("y.cls")) & close("x.cls", "y.cls")).select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b"))
+    hot = shared.where((F.col("n") > bucket) & (F.col("cls") != F.col("anchor")) & close("cls", "anchor")).select(F.least("cls", "anchor").alias("a"), F.greatest("cls", "anchor").alias("b"))
     pairs = near.unionAll(hot).distinct()
     side = lambda c: classes.select(F.col("cls").alias(c), *[F.col(x).alias(f"{c}_{x}") for x in lanes])
     apart = sum((F.bit_count(F.col(f"a_{x}").bitwiseXOR(F.col(f"b_{x}"))) for x in lanes[1:]), F.bit_count(F.col("a_fp").bitwiseXOR(F.col("b_fp"))))
@@ -230,4 +233,4 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     parts = connected_components(edges, scratch)
     placed = classes.join(parts, classes.cls == parts.node, "left").select("cls", "rep", F.coalesce("component", "cls").alias("part"))
     least = placed.groupBy("part").agg(F.min("rep").alias("component_id"))
-    return own.join(placed.join(least, "part").select("cls", "component_id"), "cls").select(id_col, "component_id")
+    return own.join(placed.join(least, "part").select(F.col("cls").alias("fp"), "component_id"), "fp").select(id_col, "component_id")
