@@ -14,9 +14,9 @@ fingerprints have a common star exactly if they are within 2 bits. Rows stay lin
 ``similar_documents`` is the form for a similarity of shingle sets (by default five words and a Jaccard similarity of 0.8): a
 fingerprint of four lanes (256 bits) whose share of differing bits estimates the angle between the sets. At that distance no
 single block is sure to agree, so the blocks are dealt into many tables of a few blocks each, as many as make a pair at the
-threshold meet with a chance of ``recall``; keys get longer with the number of texts, so their groups stay small. Pairs
-that meet are verified by Hamming distance. In a key with over ``bucket`` fingerprints each meets the key's anchor, the
-member with the least hash, instead of all others; members of one group meet several anchors over the tables.
+threshold meet with a chance of ``recall``; keys get longer with the number of texts, so their groups stay small. Texts
+with equal sets are one class; classes that meet are verified by the Jaccard similarity of the whole sets. In a key with over
+``bucket`` classes each meets the key's anchor, the member with the least hash, instead of all others.
 
 Defined cases: null and empty texts have fingerprint zero and link like any other; a null id keeps its row and never
 becomes a component's id unless the whole component has none; repeated rows give repeated results; an empty table gives
@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from fractions import Fraction
 from itertools import combinations
 
 import numpy as np
@@ -196,15 +197,38 @@ def block_tables(rows: int, similarity: float, recall: float, bits: int = 64 * L
     return out[:n]
 
 
+def _sets(batches: Iterator[pa.RecordBatch], text_col: str, k: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+    """(slice, the distinct shingle hashes of each of its texts in ascending order)."""
+    for batch, data, offsets in text_chunks(batches, text_col):
+        data = lower_ascii(data)
+        starts, ends, counts = words(data, offsets)
+        h, bounds = _shingle_hashes(data, starts, ends, counts, k) if len(starts) else (np.zeros(0, np.uint64), np.zeros(batch.num_rows + 1, np.int64))
+        yield batch, [np.unique(h[a:b]) for a, b in zip(bounds.tolist(), bounds[1:].tolist())]
+
+
+def _set_ids(sets: list[np.ndarray]) -> pa.Array:
+    """A hash of each whole set; 0 for the empty one."""
+    return pa.array(np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) if len(s) else 0 for s in sets], np.uint64).view(np.int64))
+
+
+def _lists(parts: list[np.ndarray]) -> pa.Array:
+    values = np.concatenate([np.zeros(0, np.uint64), *parts])
+    offsets = np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.view(np.int64)))
+
+
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, similarity: float = 0.8, recall: float = 0.96, bucket: int = BUCKET, scratch: Scratch | None = None) -> DataFrame:
     """(id_col, component_id): the smallest id reachable over pairs of texts whose shingle sets are similar."""
     scratch = scratch or Scratch(docs.sparkSession, "similar")
+    kind = dict(docs.dtypes)[id_col]
+    num, den = Fraction(similarity).limit_denominator(10**6).as_integer_ratio()
     lanes = ["fp", *[f"fp{i}" for i in range(1, LANES)]]
-    own = scratch.write(fingerprints(docs, id_col, text_col, k, LANES))
-    # texts with an equal first lane are one class; the least of their further lanes stands for it
-    classes = own.groupBy(F.col("fp").alias("cls")).agg(F.min(id_col).alias("rep"), F.min(F.struct(*lanes[1:])).alias("l"))
-    classes = scratch.write(classes.select("cls", "rep", F.col("cls").alias("fp"), "l.*"))
-    tables = block_tables(classes.count(), similarity, recall)
+
+    def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, sets in _sets(batches, text_col, k):
+            h, bounds = np.concatenate([np.zeros(0, np.uint64), *sets]), np.concatenate([[0], np.cumsum([len(s) for s in sets])])
+            fps = [_majority(_lane(h, i), bounds) for i in range(LANES)]
+            yield pa.RecordBatch.from_arrays([batch.column(id_col), _set_ids(sets), *(pa.array(f.view(np.int64)) for f in fps)], names=[id_col, "cls", *lanes])
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -217,20 +241,38 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                     key = mix(key * np.uint64(16) + nibbles[:, b])
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), cls], names=["key", "cls"])
 
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, sets in _sets(batches, text_col, k):
+            yield pa.RecordBatch.from_arrays([_set_ids(sets), _lists(sets)], names=["cls", "h"])
+
+    own = scratch.write(docs.select(id_col, text_col).mapInArrow(marks, f"`{id_col}` {kind}, cls long, " + ", ".join(f"{x} long" for x in lanes)))
+    # texts with equal sets are one class
+    classes = scratch.write(own.groupBy("cls").agg(F.min(id_col).alias("rep"), *[F.min(x).alias(x) for x in lanes]))
+    tables = block_tables(classes.count(), similarity, recall)
+
     keyed = classes.select("cls", *lanes).mapInArrow(deal, "key long, cls long")
     keyed = scratch.write(keyed)
-    groups = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min_by("cls", F.xxhash64("cls")).alias("anchor")).where("n > 1")
+    groups = keyed.groupBy("key").agg(F.count("*").alias("m"), F.min_by("cls", F.xxhash64("cls")).alias("anchor")).where("m > 1")
     shared = scratch.write(keyed.join(groups, "key"))
     scratch.drop(keyed)
-    small = shared.where(F.col("n") <= bucket).select("key", "cls")
-    close = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= bit_limit(similarity, 64, 4.0)  # noqa: E731  the first lane alone rules out most chance meetings
-    near = small.alias("x").join(small.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.cls") < F.col("y.cls")) & close("x.cls", "y.cls")).select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b"))
-    hot = shared.where((F.col("n") > bucket) & (F.col("cls") != F.col("anchor")) & close("cls", "anchor")).select(F.least("cls", "anchor").alias("a"), F.greatest("cls", "anchor").alias("b"))
-    pairs = near.unionAll(hot).distinct()
-    side = lambda c: classes.select(F.col("cls").alias(c), *[F.col(x).alias(f"{c}_{x}") for x in lanes])
-    apart = sum((F.bit_count(F.col(f"a_{x}").bitwiseXOR(F.col(f"b_{x}"))) for x in lanes[1:]), F.bit_count(F.col("a_fp").bitwiseXOR(F.col("b_fp"))))
-    edges = pairs.join(side("a"), "a").join(side("b"), "b").where(apart <= bit_limit(similarity)).select("a", "b")
-    parts = connected_components(edges, scratch)
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) of classes whose sets are similar."""
+        pairs = scratch.write(pairs.distinct())
+        used = pairs.select(F.col("a").alias("cls")).unionAll(pairs.select("b")).distinct()
+        sets = docs.select(text_col).mapInArrow(whole, "cls long, h array<long>").join(used, "cls", "left_semi")
+        sets = scratch.write(sets.groupBy("cls").agg(F.first("h").alias("h")))
+        both = pairs.join(sets.select(F.col("cls").alias("b"), F.col("h").alias("y")), "b").join(sets.select(F.col("cls").alias("a"), F.col("h").alias("x")), "a")
+        both = both.select("a", "b", F.size("x").alias("p"), F.size("y").alias("q"), F.size(F.array_intersect("x", "y")).alias("o"))
+        edges = scratch.write(both.where(F.col("o").cast("long") * den >= (F.col("p") + F.col("q") - F.col("o")).cast("long") * num).select("a", "b"))
+        scratch.drop(sets)
+        scratch.drop(pairs)
+        return edges
+
+    small = shared.where(F.col("m") <= bucket).select("key", "cls")
+    near = small.alias("x").join(small.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.cls") < F.col("y.cls"))).select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b"))
+    hot = shared.where((F.col("m") > bucket) & (F.col("cls") != F.col("anchor"))).select(F.least("cls", "anchor").alias("a"), F.greatest("cls", "anchor").alias("b"))
+    parts = connected_components(verified(near.unionAll(hot)), scratch)
     placed = classes.join(parts, classes.cls == parts.node, "left").select("cls", "rep", F.coalesce("component", "cls").alias("part"))
-    least = placed.groupBy("part").agg(F.min("rep").alias("component_id"))
-    return own.join(placed.join(least, "part").select(F.col("cls").alias("fp"), "component_id"), "fp").select(id_col, "component_id")
+    least_id = placed.groupBy("part").agg(F.min("rep").alias("component_id"))
+    return own.select(id_col, "cls").join(placed.join(least_id, "part").select("cls", "component_id"), "cls").select(id_col, "component_id")
