@@ -15,8 +15,9 @@ fingerprints have a common star exactly if they are within 2 bits. Rows stay lin
 fingerprint of four lanes (256 bits) whose share of differing bits estimates the angle between the sets. At that distance no
 single block is sure to agree, so the blocks are dealt into many tables of a few blocks each, as many as make a pair at the
 threshold meet with a chance of ``recall``; keys get longer with the number of texts, so their groups stay small. Texts
-with equal sets are one class; classes that meet are verified by the Jaccard similarity of the whole sets. In a key with over
-``bucket`` classes each meets the key's anchor, the member with the least hash, instead of all others.
+with equal sets are one class; classes that meet are verified by the Jaccard similarity of the whole sets. Each class is first
+compared with the anchor of its keys, the member with the least hash. Then all other pairs of a key are compared but for
+those in one component already, crowded keys in blocks of about ``bucket`` members.
 
 Defined cases: null and empty texts have fingerprint zero and link like any other; a null id keeps its row and never
 becomes a component's id unless the whole component has none; repeated rows give repeated results; an empty table gives
@@ -269,10 +270,20 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         scratch.drop(pairs)
         return edges
 
-    small = shared.where(F.col("m") <= bucket).select("key", "cls")
-    near = small.alias("x").join(small.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.cls") < F.col("y.cls"))).select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b"))
-    hot = shared.where((F.col("m") > bucket) & (F.col("cls") != F.col("anchor"))).select(F.least("cls", "anchor").alias("a"), F.greatest("cls", "anchor").alias("b"))
-    parts = connected_components(verified(near.unionAll(hot)), scratch)
+    # each class with its keys' anchors, then all pairs of a key that are not in one component yet
+    stars = verified(shared.where("cls <> anchor").select(F.least("cls", "anchor").alias("a"), F.greatest("cls", "anchor").alias("b")))
+    parts = connected_components(stars, scratch)
+    rest = shared.where("m > 2 and cls <> anchor").join(parts.withColumnRenamed("node", "cls"), "cls", "left").withColumn("part", F.coalesce("component", "cls"))
+    rest = scratch.write(rest.select("key", "cls", "m", "part"))
+    scratch.drop(shared)
+    unlike = rest.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("key")
+    rest = scratch.write(rest.join(unlike, "key"))
+    blocks = F.ceil(F.col("m") / bucket).cast("int")
+    x = rest.withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1))).alias("x")
+    y = rest.withColumn("block", F.pmod(F.xxhash64("cls"), blocks).cast("int")).alias("y")
+    met = (F.col("x.key") == F.col("y.key")) & (F.col("x.block") == F.col("y.block")) & (F.col("x.cls") < F.col("y.cls")) & (F.col("x.part") != F.col("y.part"))
+    edges = stars.unionAll(verified(x.join(y, met).select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b"))))
+    parts = connected_components(edges, scratch)
     placed = classes.join(parts, classes.cls == parts.node, "left").select("cls", "rep", F.coalesce("component", "cls").alias("part"))
     least_id = placed.groupBy("part").agg(F.min("rep").alias("component_id"))
     return own.select(id_col, "cls").join(placed.join(least_id, "part").select("cls", "component_id"), "cls").select(id_col, "component_id")

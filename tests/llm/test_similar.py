@@ -2,6 +2,8 @@
 
 import random
 
+import pytest
+
 from plinth.llm import simhash
 
 WORD = "abcdefgh"
@@ -47,3 +49,19 @@ def test_repeated_line_is_no_link(spark):
     want = brute(rows)
     assert want == {i: i for i in range(6)}
     assert found(spark, rows) == want
+
+
+@pytest.mark.parametrize("bucket", [64, 3])
+def test_crowded_keys(spark, bucket):
+    """Texts of one template share their keys; pairs that are near each other but not near an anchor are still joined."""
+    r = random.Random(2)
+    template = words(r, 300)
+    rows = []
+    for i in range(150):
+        w = template[:250] + words(r, 80)
+        near = list(w)
+        near[300:306] = words(r, 6)
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(near))]
+    want = brute(rows)
+    assert len(set(want.values())) == 150
+    assert found(spark, rows, bucket=bucket) == want
