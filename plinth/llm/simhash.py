@@ -11,13 +11,12 @@ fingerprints go to stars instead. The star of a value is every fingerprint withi
 odd distance, one exact further bit; for distance 2 that is the fingerprint itself and its 64 neighbours, and two
 fingerprints have a common star exactly if they are within 2 bits. Rows stay linear in the group and no link is lost.
 
-``similar_documents`` is the form for a similarity of shingle sets (by default five words and a Jaccard similarity of 0.8): a
-fingerprint of four lanes (256 bits) whose share of differing bits estimates the angle between the sets. At that distance no
-single block is sure to agree, so the blocks are dealt into many tables of a few blocks each, as many as make a pair at the
-threshold meet with a chance of ``recall``; keys get longer with the number of texts, so their groups stay small. Texts
-with equal sets are one class; classes that meet are verified by the Jaccard similarity of the whole sets. Each class is first
-compared with the anchor of its keys, the member with the least hash. Then all other pairs of a key are compared but for
-those in one component already, crowded keys in blocks of about ``bucket`` members.
+``similar_documents`` links texts whose sets of distinct shingle hashes (by default five words) have a Jaccard similarity
+of at least 0.8, and is exact. Texts with equal sets are one class. A prefix filter finds the candidates: two sets of
+similarity t share an element among the first n - ceil(t n) + 1 of each in any common order; here elements that are frequent
+in a sample come last, then by hash. Each class is first compared with the anchor of its keys, the member with the least
+hash. Then all other pairs of a key are compared but for those in one component already, crowded keys in blocks of about
+``bucket`` members. Every link is verified on the whole sets.
 
 Defined cases: null and empty texts have fingerprint zero and link like any other; a null id keeps its row and never
 becomes a component's id unless the whole component has none; repeated rows give repeated results; an empty table gives
@@ -173,31 +172,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return own.join(named, "fp").select(id_col, "fp", "component_id")
 
 
-LANES, BLOCK_BITS = 4, 4
+LANES = 4
+#: Texts whose shingles are counted for the order of the prefix filter.
+ORDER_SAMPLE = 16384
 
 
 def bit_limit(similarity: float, bits: int = 64 * LANES, slack: float = 1.5) -> int:
-    """Differing bits up to which two texts count as similar: the mean at that Jaccard similarity and ``slack`` deviations."""
+    """Differing bits up to which fingerprints suggest that Jaccard similarity: the mean and ``slack`` deviations. No link rests on it."""
     share = math.acos(2 * similarity / (1 + similarity)) / math.pi
     return int(bits * share + slack * math.sqrt(bits * share * (1 - share)))
 
 
-def block_tables(rows: int, similarity: float, recall: float, bits: int = 64 * LANES) -> list[list[int]]:
-    """Blocks of each table. Keys have two bits more than log2(rows), at least 20; there are as many tables as the recall needs.
-
-    Round by round the blocks are shuffled (always alike) and cut into tables, so all blocks are used evenly.
-    """
-    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    per = max(20, math.ceil(math.log2(max(rows, 2))) + 2)
-    per = -(-per // BLOCK_BITS)
-    n = math.ceil(math.log(1 - recall) / math.log(1 - (1 - share) ** (per * BLOCK_BITS)))
-    blocks, out, r = np.arange(bits // BLOCK_BITS), [], np.random.default_rng(SEED)
-    while len(out) < n:
-        order = r.permutation(blocks)
-        out += [order[i : i + per].tolist() for i in range(0, len(order) - per + 1, per)]
-    return out[:n]
-
-
 def _sets(batches: Iterator[pa.RecordBatch], text_col: str, k: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
     """(slice, the distinct shingle hashes of each of its texts in ascending order)."""
     for batch, data, offsets in text_chunks(batches, text_col):
@@ -218,63 +203,85 @@ def _lists(parts: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.view(np.int64)))
 
 
-def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, similarity: float = 0.8, recall: float = 0.96, bucket: int = BUCKET, scratch: Scratch | None = None) -> DataFrame:
+def _frequent(docs: DataFrame, id_col: str, text_col: str, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, counts) of the shingles that occur repeatedly in a sample of texts. They only order the prefixes: any order is exact."""
+    share = min(1.0, ORDER_SAMPLE / max(1, docs.count()))
+    some = docs if share == 1 else docs.where(F.pmod(F.xxhash64(id_col), F.lit(1 << 30)) < int(share * (1 << 30)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, sets in _sets(batches, text_col, k):
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64))], names=["h"])
+
+    got = some.select(text_col).mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("c")).where("c > 1").toArrow()
+    h, c = got.column("h").to_numpy().view(np.uint64), got.column("c").to_numpy()
+    order = np.argsort(h)
+    return h[order], c[order]
+
+
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, similarity: float = 0.8, bucket: int = BUCKET, scratch: Scratch | None = None) -> DataFrame:
     """(id_col, component_id): the smallest id reachable over pairs of texts whose shingle sets are similar."""
     scratch = scratch or Scratch(docs.sparkSession, "similar")
     kind = dict(docs.dtypes)[id_col]
     num, den = Fraction(similarity).limit_denominator(10**6).as_integer_ratio()
-    lanes = ["fp", *[f"fp{i}" for i in range(1, LANES)]]
+    often, times = _frequent(docs, id_col, text_col, k)
 
-    def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, sets in _sets(batches, text_col, k):
-            h, bounds = np.concatenate([np.zeros(0, np.uint64), *sets]), np.concatenate([[0], np.cumsum([len(s) for s in sets])])
-            fps = [_majority(_lane(h, i), bounds) for i in range(LANES)]
-            yield pa.RecordBatch.from_arrays([batch.column(id_col), _set_ids(sets), *(pa.array(f.view(np.int64)) for f in fps)], names=[id_col, "cls", *lanes])
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            bits = np.stack([batch.column(x).to_numpy() for x in lanes], axis=1).view(np.uint8)  # 32 bytes a row
-            nibbles = np.stack([bits & 15, bits >> 4], axis=2).reshape(batch.num_rows, -1).astype(np.uint64)
-            cls = batch.column("cls")
-            for t, blocks in enumerate(tables):
-                key = np.full(batch.num_rows, t + 1, np.uint64)
-                for b in blocks:
-                    key = mix(key * np.uint64(16) + nibbles[:, b])
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), cls], names=["key", "cls"])
-
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, sets in _sets(batches, text_col, k):
-            yield pa.RecordBatch.from_arrays([_set_ids(sets), _lists(sets)], names=["cls", "h"])
+            keys = []
+            for s in sets:
+                rank = np.zeros(len(s), np.int64)
+                if len(often):
+                    at = np.minimum(np.searchsorted(often, s), len(often) - 1)
+                    rank = np.where(often[at] == s, times[at], 0)
+                keys.append(s[np.argsort(rank, kind="stable")[: len(s) - -(-num * len(s) // den) + 1]])
+            yield pa.RecordBatch.from_arrays([batch.column(id_col), _set_ids(sets), pa.array([len(s) for s in sets], pa.int32()), _lists(keys)], names=[id_col, "cls", "n", "keys"])
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, sets in _sets(batches, text_col, k):
+            yield pa.RecordBatch.from_arrays([_set_ids(sets), batch.column(id_col), batch.column(text_col)], names=["cls", "id", "text"])
 
-    own = scratch.write(docs.select(id_col, text_col).mapInArrow(marks, f"`{id_col}` {kind}, cls long, " + ", ".join(f"{x} long" for x in lanes)))
-    # texts with equal sets are one class
-    classes = scratch.write(own.groupBy("cls").agg(F.min(id_col).alias("rep"), *[F.min(x).alias(x) for x in lanes]))
-    tables = block_tables(classes.count(), similarity, recall)
+    def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, left in _sets(batches, "x", k):
+            right = [s for _, sets in _sets(iter([batch]), "y", k) for s in sets]
+            both = [len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(left, right)]
+            keep = [o * den >= (len(x) + len(y) - o) * num for o, x, y in zip(both, left, right)]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    keyed = classes.select("cls", *lanes).mapInArrow(deal, "key long, cls long")
-    keyed = scratch.write(keyed)
-    groups = keyed.groupBy("key").agg(F.count("*").alias("m"), F.min_by("cls", F.xxhash64("cls")).alias("anchor")).where("m > 1")
+    own = scratch.write(docs.select(id_col, text_col).mapInArrow(prefixes, f"`{id_col}` {kind}, cls long, n int, keys array<long>"))
+    # texts with equal sets are one class
+    full = scratch.write(own.groupBy("cls").agg(F.min(id_col).alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys")))
+    placed = scratch.write(own.select(id_col, "cls"))
+    scratch.drop(own)
+    keyed = full.select("cls", "n", F.posexplode("keys").alias("pos", "key"))
+    groups = keyed.groupBy("key").agg(F.count("*").alias("m"), F.min("cls").alias("anchor")).where("m > 1")
     shared = scratch.write(keyed.join(groups, "key"))
-    scratch.drop(keyed)
+    classes = scratch.write(full.select("cls", "rep"))
+    scratch.drop(full)
 
     def verified(pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) of classes whose sets are similar."""
         pairs = scratch.write(pairs.distinct())
         used = pairs.select(F.col("a").alias("cls")).unionAll(pairs.select("b")).distinct()
-        sets = docs.select(text_col).mapInArrow(whole, "cls long, h array<long>").join(used, "cls", "left_semi")
-        sets = scratch.write(sets.groupBy("cls").agg(F.first("h").alias("h")))
-        both = pairs.join(sets.select(F.col("cls").alias("b"), F.col("h").alias("y")), "b").join(sets.select(F.col("cls").alias("a"), F.col("h").alias("x")), "a")
-        both = both.select("a", "b", F.size("x").alias("p"), F.size("y").alias("q"), F.size(F.array_intersect("x", "y")).alias("o"))
-        edges = scratch.write(both.where(F.col("o").cast("long") * den >= (F.col("p") + F.col("q") - F.col("o")).cast("long") * num).select("a", "b"))
-        scratch.drop(sets)
+        # the text of each class's least id: no shuffle of texts to find one
+        first = scratch.write(classes.join(used, "cls", "left_semi").select(F.col("cls").alias("own"), "rep"))
+        texts = docs.select(id_col, text_col).mapInArrow(named, f"cls long, id {kind}, text {dict(docs.dtypes)[text_col]}")
+        texts = scratch.write(texts.join(first, (F.col("cls") == F.col("own")) & F.col("id").eqNullSafe(F.col("rep")), "left_semi").select("cls", "text"))
+        both = pairs.join(texts.select(F.col("cls").alias("b"), F.col("text").alias("y")), "b").join(texts.select(F.col("cls").alias("a"), F.col("text").alias("x")), "a")
+        edges = scratch.write(both.select("a", "b", "x", "y").mapInArrow(similar, "a long, b long"))
+        scratch.drop(texts)
         scratch.drop(pairs)
         return edges
 
+    # sizes of similar sets, and the elements before and after a common key that they can share at most
+    least, most = F.least("x.n", "y.n").cast("long"), F.greatest("x.n", "y.n").cast("long")
+    reach = (F.least("x.pos", "y.pos") + 1 + F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos")) - 1).cast("long")
+    can = (least * den >= most * num) & (reach * (num + den) >= (least + most) * num)
     # each class with its keys' anchors, then all pairs of a key that are not in one component yet
-    stars = verified(shared.where("cls <> anchor").select(F.least("cls", "anchor").alias("a"), F.greatest("cls", "anchor").alias("b")))
+    x, y = shared.where("cls <> anchor").alias("x"), shared.where("cls = anchor").alias("y")
+    stars = verified(x.join(y, (F.col("x.key") == F.col("y.key")) & can).select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b")))
     parts = connected_components(stars, scratch)
     rest = shared.where("m > 2 and cls <> anchor").join(parts.withColumnRenamed("node", "cls"), "cls", "left").withColumn("part", F.coalesce("component", "cls"))
-    rest = scratch.write(rest.select("key", "cls", "m", "part"))
+    rest = scratch.write(rest.select("key", "cls", "n", "pos", "m", "part"))
     scratch.drop(shared)
     unlike = rest.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("key")
     rest = scratch.write(rest.join(unlike, "key"))
@@ -282,8 +289,8 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     x = rest.withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1))).alias("x")
     y = rest.withColumn("block", F.pmod(F.xxhash64("cls"), blocks).cast("int")).alias("y")
     met = (F.col("x.key") == F.col("y.key")) & (F.col("x.block") == F.col("y.block")) & (F.col("x.cls") < F.col("y.cls")) & (F.col("x.part") != F.col("y.part"))
-    edges = stars.unionAll(verified(x.join(y, met).select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b"))))
+    edges = stars.unionAll(verified(x.join(y, met & can).select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b"))))
     parts = connected_components(edges, scratch)
-    placed = classes.join(parts, classes.cls == parts.node, "left").select("cls", "rep", F.coalesce("component", "cls").alias("part"))
-    least_id = placed.groupBy("part").agg(F.min("rep").alias("component_id"))
-    return own.select(id_col, "cls").join(placed.join(least_id, "part").select("cls", "component_id"), "cls").select(id_col, "component_id")
+    joined = classes.join(parts, classes.cls == parts.node, "left").select("cls", "rep", F.coalesce("component", "cls").alias("part"))
+    least_id = joined.groupBy("part").agg(F.min("rep").alias("component_id"))
+    return placed.join(joined.join(least_id, "part").select("cls", "component_id"), "cls").select(id_col, "component_id")

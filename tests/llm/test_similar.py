@@ -65,3 +65,18 @@ def test_crowded_keys(spark, bucket):
     want = brute(rows)
     assert len(set(want.values())) == 150
     assert found(spark, rows, bucket=bucket) == want
+
+
+def test_every_pair_at_the_threshold(spark):
+    """Pairs from 0.7 to 0.9, as many on either side of 0.8."""
+    r = random.Random(3)
+    rows = []
+    for i in range(300):
+        w = words(r, r.randint(60, 200))
+        near = list(w)
+        for _ in range(max(1, round(len(w) * r.uniform(0.012, 0.032)))):
+            near[r.randrange(len(w))] = words(r, 1)[0]
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(near))]
+    want = brute(rows)
+    assert 50 < sum(want[2 * i + 1] == 2 * i for i in range(300)) < 250
+    assert found(spark, rows) == want
