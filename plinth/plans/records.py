@@ -261,7 +261,18 @@ def cluster_sizes(t: Tables) -> DataFrame:
     """
 )
 def related_parties(t: Tables) -> DataFrame:
-    links = t.lineitem.where("l_quantity >= 49").select("l_orderkey", "l_suppkey").join(t.orders.select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    """Over the lines of a quantity of 49 or more only, as its SQL says; ``related_parties_all`` has every line."""
+    return _related(t, t.lineitem.where("l_quantity >= 49"))
+
+
+@query()
+def related_parties_all(t: Tables) -> DataFrame:
+    """Over every line. No SQL: tests compare it with brute force."""
+    return _related(t, t.lineitem)
+
+
+def _related(t: Tables, lines: DataFrame) -> DataFrame:
+    links = lines.select("l_orderkey", "l_suppkey").join(t.orders.select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
     return graph.related_parties(links.select(F.col("o_custkey").alias("party"), F.col("o_orderkey").alias("record"), F.col("l_suppkey").alias("unit")), "party", "record", "unit")
 
 
