@@ -95,7 +95,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     store = sharding.ShardStore(spark, Scratch(spark, "shards").path())
     store.append(docs, F.pmod(F.coalesce("doc_id", F.lit(0)), F.lit(ARRIVALS)).cast("int"), ARRIVALS)
-    store.compact()
+    store.compact(vacuum=True)
     return store.read().select("doc_id", "source", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
 
 
