@@ -3,13 +3,15 @@
 The global histogram of lengths goes through a dynamic program that chooses ``buckets`` boundaries with the least padding;
 a text is padded to the boundary of its bucket, and batches of at most ``budget`` padded tokens form inside each bucket.
 
-The histogram has one bin per length up to ``fine`` tokens and bins of under 1/64 relative width beyond, each represented by
-its longest text; so its size is bounded whatever the corpus, and with all lengths up to ``fine`` the optimum is exact.
+The histogram has a row for each length that occurs, so it grows with the longest text and not with the corpus, and the
+program finds the true optimum over it: with the boundaries before known, the best one is the lowest of a set of lines, and the
+lines' lower envelope is walked once for each bucket (linear in the number of lengths).
 Batches are cut by position in the bucket: rows are numbered inside salted groups and shifted by the groups' offsets, so
 even one bucket with most rows is numbered by many tasks, and each bucket has one batch at most that is not full.
 
 Defined cases: null and empty texts have one token (the end); a text longer than the budget is a batch of its own; repeated
-rows take a place each; a null id is packed like any other; an empty table gives an empty result. Texts count whole.
+rows take a place each; a null id is packed like any other, and rows without id are spread over the salts by their place in the
+table; an empty table gives an empty result; extra columns, also of the names of outputs, play no part. Texts count whole.
 """
 
 from __future__ import annotations
@@ -24,7 +26,8 @@ from pyspark.sql import functions as F
 
 from plinth.llm.common import Scratch, text_chunks, words
 
-BUCKETS, BUDGET, FINE, SALTS, SALT_ROWS = 16, 16_384, 1024, 64, 50_000
+BUCKETS, BUDGET, SALTS, SALT_ROWS = 16, 16_384, 64, 50_000
+_ROW = "__plinth_row"
 
 
 def token_lengths(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -42,43 +45,50 @@ def optimal_boundaries(lengths: np.ndarray, counts: np.ndarray, buckets: int) ->
     """Upper boundaries (some of ``lengths``, ascending, the last always) of at most ``buckets`` buckets with the least
     total of count x boundary, that is the least padding."""
     order = np.argsort(lengths)
-    lengths, counts = np.asarray(lengths, np.float64)[order], np.asarray(counts, np.float64)[order]
-    n = len(lengths)
+    length, count = [int(x) for x in np.asarray(lengths)[order]], np.asarray(counts)[order]
+    n = len(length)
     if not n:
         return np.zeros(0, np.int64)
-    below = np.concatenate([[0.0], np.cumsum(counts)])
-    best = lengths * below[1:]
-    choice = [np.zeros(n, np.int64)]
+    below = [0, *(int(x) for x in np.cumsum(count))]
+    best = [x * b for x, b in zip(length, below[1:])]
+    choice = []
     for _ in range(min(buckets, n) - 1):
-        new, pick = best.copy(), np.full(n, -1, np.int64)
+        # with a boundary at i before: best[i] + (below[j + 1] - below[i + 1]) * length[j], a line in length[j] whose slope falls with i
+        new, pick = list(best), [-1] * n
+        lines: list[tuple[int, int, int]] = []  # (slope, constant, i), each lowest on a range further right
+        at = 0
         for j in range(1, n):
-            total = best[:j] + (below[j + 1] - below[1 : j + 1]) * lengths[j]
-            i = int(total.argmin())
-            if total[i] < new[j]:
-                new[j], pick[j] = total[i], i
+            slope, constant = -below[j], best[j - 1]
+            while len(lines) > 1 and (constant - lines[-2][1]) * (lines[-2][0] - lines[-1][0]) <= (lines[-1][1] - lines[-2][1]) * (lines[-2][0] - slope):
+                lines.pop()
+            lines.append((slope, constant, j - 1))
+            at = min(at, len(lines) - 1)
+            x = length[j]
+            while at + 1 < len(lines) and lines[at + 1][0] * x + lines[at + 1][1] <= lines[at][0] * x + lines[at][1]:
+                at += 1
+            total = lines[at][0] * x + lines[at][1] + below[j + 1] * x
+            if total < new[j]:
+                new[j], pick[j] = total, lines[at][2]
         choice.append(pick)
         best = new
     out, j = [n - 1], n - 1
-    for pick in choice[:0:-1]:
+    for pick in choice[::-1]:
         if pick[j] >= 0:
-            j = int(pick[j])
+            j = pick[j]
             out.append(j)
-    return np.unique(lengths[out]).astype(np.int64)
+    return np.unique([length[i] for i in out]).astype(np.int64)
 
 
-def histogram(lengths: DataFrame, fine: int = FINE) -> tuple[np.ndarray, np.ndarray]:
-    """(longest length, rows) of each bin."""
-    n = F.col("n_tokens")
-    step = F.pow(F.lit(2.0), F.floor(F.log2(n.cast("double"))) - 6)
-    bin_of = F.when(n <= fine, n.cast("double")).otherwise(F.ceil(n / step) * step)
-    got = lengths.groupBy(bin_of.alias("bin")).agg(F.max("n_tokens").alias("n"), F.count("*").alias("c")).select("n", "c").toArrow()  # fine + 64 bins a doubling at most
-    return got["n"].to_numpy(), got["c"].to_numpy()
+def histogram(lengths: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(length, rows) of each length that occurs."""
+    got = lengths.groupBy("n_tokens").agg(F.count("*").alias("c")).toArrow()  # as many rows as the longest text has tokens at most
+    return got["n_tokens"].to_numpy(), got["c"].to_numpy()
 
 
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS, budget: int = BUDGET, scratch: Scratch | None = None) -> DataFrame:
     """(id_col, n_tokens, bucket, bucket_len, batch, slot): batch numbers count within the bucket, slots within the batch."""
     scratch = scratch or Scratch(docs.sparkSession, "packing")
-    lengths = scratch.write(token_lengths(docs, id_col, text_col))
+    lengths = scratch.write(token_lengths(docs, id_col, text_col).withColumn(_ROW, F.monotonically_increasing_id()))  # fixed once written
     n, c = histogram(lengths)
     edges = optimal_boundaries(n, c, buckets)
     if not len(edges):
@@ -86,12 +96,12 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket
     bounds = F.array(*[F.lit(int(e)) for e in edges])
     sizes = [int(c[(n <= e) & (n > (edges[i - 1] if i else 0))].sum()) for i, e in enumerate(edges)]
     salts = F.array(*[F.lit(max(SALTS, s // SALT_ROWS)) for s in sizes])
-    placed = lengths.withColumn("bucket", F.size(F.filter(bounds, lambda e: e < F.col("n_tokens")))).withColumn("h", F.xxhash64(F.col(id_col), F.col("n_tokens")))
+    placed = lengths.withColumn("bucket", F.size(F.filter(bounds, lambda e: e < F.col("n_tokens")))).withColumn("h", F.when(F.col(id_col).isNull(), F.xxhash64(_ROW)).otherwise(F.xxhash64(id_col, "n_tokens")))
     placed = placed.withColumn("salt", F.pmod(F.col("h"), F.element_at(salts, F.col("bucket") + 1)))
     groups = placed.groupBy("bucket", "salt").agg(F.count("*").alias("rows"))
     before = W.partitionBy("bucket").orderBy("salt").rowsBetween(W.unboundedPreceding, -1)
     offsets = groups.select("bucket", "salt", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("offset"))
-    own = placed.withColumn("number", F.row_number().over(W.partitionBy("bucket", "salt").orderBy("h", id_col)))
+    own = placed.withColumn("number", F.row_number().over(W.partitionBy("bucket", "salt").orderBy("h", id_col, _ROW)))
     at = F.col("offset") + F.col("number") - 1
     room = F.greatest(F.lit(1), F.floor(F.lit(budget) / F.col("bucket_len"))).cast("long")
     return (
