@@ -7,12 +7,16 @@ models that have not seen the row. The models that score new texts are fitted on
 Features are the words (runs of letters, A-Z lower-cased) that a text has and the beginnings of longer words, hashed into ``buckets``; for each category the
 ``features`` buckets that tell most are chosen by the z-score of their log-odds. A text counts whole.
 
-The training sample is bounded by ``sample`` labelled rows (those with the least hash of their id) so that the model fits in
-the driver; every text is scored.
-
-Defined cases: null and empty texts have no words and get the prior of the models; a category without both kinds of labels
-has its share of ones as probability everywhere; no labelled rows at all give probability 0; rows labelled twice are taken twice; a
-null id is scored but never trains; repeated rows give repeated results; an empty table gives an empty result.
+The training sample is bounded by ``sample`` labelled rows (those with the least hash of their id). Counts of words by label
+and fold are aggregated by Spark and choose the features; the driver then gets one bit for each row and chosen feature, so what it
+holds is bounded by ``sample`` and ``features`` and not by the texts. Every text is scored.
+
+Defined cases: null and empty texts have no words and get the prior of the models; a row whose label of a category is null takes
+no part in that category's model, but in the others'; a category without both kinds of labels has its share of ones as
+probability everywhere; no labelled rows at all give probability 0; rows labelled twice are taken twice, and so are labelled ids
+that two texts share (beyond twice ``sample`` rows a hash of id and text picks among them); a null id is scored but never
+trains; repeated rows give repeated results; an empty table gives an empty result; long texts count whole. Input columns named
+like an output (p_<category>, rejected) are replaced.
 """
 
 from __future__ import annotations
@@ -25,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plinth.llm.common import lower_ascii, mix, prefix_hash, span_hash, text_chunks, words
+from plinth.llm.common import Scratch, lower_ascii, mix, prefix_hash, span_hash, text_chunks, words
 
 SAMPLE, BUCKETS, FEATURES, FOLDS, RIDGE = 8192, 1 << 20, 1024, 5, 1.0
 #: A word counts as telling from this z-score on; with less, words of a few mislabelled rows would be learnt by heart.
@@ -140,67 +144,75 @@ def _logit(p: np.ndarray) -> np.ndarray:
     return np.log(p / (1 - p))
 
 
-def choose(rows: np.ndarray, cols: np.ndarray, y: np.ndarray, buckets: int, features: int) -> np.ndarray:
-    """Feature number of each bucket, -1 for those not chosen; (rows, cols) must be distinct."""
-    n1 = y.sum()
-    n0 = len(y) - n1
-    a, every = np.bincount(cols, y[rows], buckets), np.bincount(cols, minlength=buckets)
-    b = every - a
-    odds = np.log((a + 0.5) / (n1 - a + 0.5)) - np.log((b + 0.5) / (n0 - b + 0.5))
+def choose(ones: np.ndarray, every: np.ndarray, n1: int, n: int, features: int) -> np.ndarray:
+    """Numbers of the words that tell most, best first; of ``every`` rows with a word, ``ones`` have the label."""
+    a, b = ones.astype(np.float64), (every - ones).astype(np.float64)
+    odds = np.log((a + 0.5) / (n1 - a + 0.5)) - np.log((b + 0.5) / (n - n1 - b + 0.5))
     z = np.abs(odds) / np.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))
     z[every < 4] = 0
     best = np.argsort(-z, kind="stable")[:features]
-    best = best[z[best] >= LEAST_Z]
-    out = np.full(buckets, -1, np.int64)
-    out[best] = np.arange(len(best))
-    return out
+    return best[z[best] >= LEAST_Z]
 
 
-def train(names: list[str], labels: np.ndarray, folds: np.ndarray, rows: np.ndarray, cols: np.ndarray, buckets: int = BUCKETS, features: int = FEATURES) -> Chain:
-    """labels: rows x categories of 0/1; folds: fold of each row; (rows, cols): distinct words of the rows."""
+def train(names: list[str], labels: np.ndarray, folds: np.ndarray, words: np.ndarray, counts: np.ndarray, rows: np.ndarray, cols: np.ndarray, buckets: int = BUCKETS, features: int = FEATURES) -> Chain:
+    """labels: rows x categories of 0, 1 or NaN; folds: fold of each row; words: buckets in ascending order; counts: rows with a
+    word as (category, fold, label, word); (rows, cols): which rows have which words, for all words that can be chosen."""
     chain, before = Chain(), np.zeros((len(labels), 0))
 
-    def one(mask: np.ndarray, y: np.ndarray, z: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+    def one(c: int, out: int | None, y: np.ndarray, z: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+        """(chosen words, weights) from the rows that have the label and are not in fold ``out``."""
+        mask = ~np.isnan(y) if out is None else ~np.isnan(y) & (folds != out)
         if len(np.unique(y[mask])) < 2:
             return None
-        m = mask[rows]
+        own = chosen(counts[c], out, y[mask], features)
+        feature = np.full(len(words), -1)
+        feature[own] = np.arange(len(own))
         number = np.cumsum(mask) - 1
-        feature = choose(number[rows[m]], cols[m], y[mask], buckets, features)
-        f = feature[cols[m]]
-        x = Sparse(number[rows[m]][f >= 0], f[f >= 0], (int(mask.sum()), int(feature.max()) + 1))
-        return feature, fit_logistic(x, z[mask], y[mask])
+        use = mask[rows] & (feature[cols] >= 0)
+        x = Sparse(number[rows[use]], feature[cols[use]], (int(mask.sum()), len(own)))
+        return own, fit_logistic(x, z[mask], y[mask])
+
+    def predicted(own: np.ndarray, w: np.ndarray, z: np.ndarray) -> np.ndarray:
+        weight = np.zeros(len(words))
+        weight[own] = w[: len(own)]
+        return sigmoid(np.bincount(rows, weight[cols], len(labels)) + z @ w[len(own) : -1] + w[-1])
 
-    every = np.ones(len(labels), bool)
     for c, name in enumerate(names):
-        y = labels[:, c].astype(np.float64)
-        z = _logit(before)
-        whole = one(every, y, z) if len(y) else None
+        y, z = labels[:, c], _logit(before)
+        whole = one(c, None, y, z)
+        known = y[~np.isnan(y)]
+        share = float(known.mean()) if len(known) else 0.0
         if whole is None:
-            constant = float(y.mean()) if len(y) else 0.0
-            chain.links.append(Link(name, constant=constant))
-            before = np.concatenate([before, np.full((len(y), 1), constant)], axis=1)
+            chain.links.append(Link(name, constant=share))
+            before = np.concatenate([before, np.full((len(y), 1), share)], axis=1)
             continue
-        chain.links.append(Link(name, *whole))
+        feature = np.full(buckets, -1, np.int64)
+        feature[words[whole[0]]] = np.arange(len(whole[0]))
+        chain.links.append(Link(name, feature, whole[1]))
         if c + 1 < len(names):
-            held = np.full(len(y), y.mean())
+            held = np.full(len(y), share)
             for k in np.unique(folds):
-                part = one(folds != k, y, z)
+                part = one(c, k, y, z)
                 if part is not None:
-                    feature, w = part
-                    f = feature[cols]
-                    inside = (f >= 0) & (folds == k)[rows]
-                    m = len(w) - 1 - c
-                    score = np.bincount(rows[inside], w[f[inside]], len(y)) + z @ w[m : m + c] + w[-1]
-                    held = np.where(folds == k, sigmoid(score), held)
+                    held = np.where(folds == k, predicted(*part, z), held)
             before = np.concatenate([before, held[:, None]], axis=1)
     return chain
 
 
-def fit(docs: DataFrame, labels: DataFrame, names: list[str], id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, folds: int = FOLDS) -> Chain:
-    """A chain over the label columns ``names`` (0/1, in chain order) of labels."""
-    rows_of = labels.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), *[F.coalesce(F.col(n).cast("int"), F.lit(0)).alias(f"y{i}") for i, n in enumerate(names)])
-    few = F.broadcast(rows_of.orderBy(F.xxhash64("id"), "id", *[f"y{i}" for i in range(len(names))]).limit(sample))  # sample rows at most
-    joined = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(few, "id").select("text", F.pmod(F.xxhash64("id", F.lit("fold")), F.lit(folds)).cast("int").alias("fold"), *[f"y{i}" for i in range(len(names))])
+def chosen(counts: np.ndarray, out: int | None, y: np.ndarray, features: int) -> np.ndarray:
+    """The features of a category without fold ``out``, from counts by (fold, label, word)."""
+    own = counts.sum(0) if out is None else counts.sum(0) - counts[out]
+    return choose(own[1], own.sum(0), int(y.sum()), len(y), features)
+
+
+def fit(docs: DataFrame, labels: DataFrame, names: list[str], id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, folds: int = FOLDS, features: int = FEATURES, scratch: Scratch | None = None) -> Chain:
+    """A chain over the label columns ``names`` (0/1 or null, in chain order) of labels."""
+    scratch = scratch or Scratch(docs.sparkSession, "toxicity")
+    ys = [f"y{i}" for i in range(len(names))]
+    rows_of = labels.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), *[F.col(n).cast("int").alias(y) for n, y in zip(names, ys)])
+    few = F.broadcast(rows_of.orderBy(F.xxhash64("id"), "id", *ys).limit(sample))  # sample rows at most
+    fold = F.pmod(F.xxhash64("id", F.lit("fold")), F.lit(folds)).cast("int").alias("fold")
+    joined = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(few, "id").select("text", F.xxhash64("id", "text").alias("pick"), fold, *ys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offsets in text_chunks(batches, "text"):
@@ -210,12 +222,53 @@ def fit(docs: DataFrame, labels: DataFrame, names: list[str], id_col: str = "doc
             packed = pa.array([(seen[a:z] % BUCKETS).astype(np.uint32).tobytes() for a, z in zip(cuts, cuts[1:])], pa.binary())
             yield pa.RecordBatch.from_arrays([packed, *batch.columns[1:]], names=["words", *batch.schema.names[1:]])
 
-    got = joined.mapInArrow(run, "words binary, fold int, " + ", ".join(f"y{i} int" for i in range(len(names)))).toArrow()
-    lists = [np.frombuffer(x.as_buffer(), np.uint32).astype(np.int64) for x in got["words"]]
-    rows = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
-    cols = np.concatenate(lists) if lists else np.zeros(0, np.int64)
-    y = np.stack([got[f"y{i}"].to_numpy() for i in range(len(names))], axis=1) if lists else np.zeros((0, len(names)))
-    return train(names, y, got["fold"].to_numpy(), rows, cols)
+    fields = "pick long, fold int, " + ", ".join(f"{y} int" for y in ys)
+    sampled = scratch.write(joined.mapInArrow(run, f"words binary, {fields}"))
+    n = sampled.count()
+    if n > 2 * sample:  # labelled ids that many texts share
+        sampled = sampled.where(F.pmod("pick", F.lit(1 << 30)) < int((1 << 30) * 2 * sample / n))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = [np.frombuffer(x.as_buffer(), np.uint32).astype(np.int64) for x in batch.column("words")]
+            word, row = np.concatenate([np.zeros(0, np.int64), *lists]), np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+            fold, codes = batch.column("fold").to_numpy(), []
+            for c, y in enumerate(ys):
+                label = batch.column(y).to_numpy(zero_copy_only=False)
+                slot = np.where(np.isnan(label.astype(np.float64)), -1, (c * folds + fold) * 2 + np.nan_to_num(label.astype(np.float64)))
+                known = slot[row] >= 0
+                codes.append(word[known] * (2 * folds * len(ys)) + slot[row][known].astype(np.int64))
+            code, times = np.unique(np.concatenate(codes), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(code // (2 * folds * len(ys))), pa.array((code % (2 * folds * len(ys))).astype(np.int32)), pa.array(times)], names=["word", "slot", "n"])
+
+    by_slot = scratch.write(sampled.select("words", "fold", *ys).mapInArrow(count, "word long, slot int, n long").groupBy("word", "slot").agg(F.sum("n").alias("n")))
+    common = by_slot.groupBy("word").agg(F.sum("n").alias("n")).where("n >= 4").select("word")  # others are never chosen
+    got = by_slot.join(common, "word").toArrow()  # BUCKETS words at most, each with a number for a category, fold and label
+    words, at = np.unique(got["word"].to_numpy(), return_inverse=True)
+    counts = np.zeros((len(ys), folds, 2, len(words)), np.int64)
+    slot = got["slot"].to_numpy()
+    counts[slot // (2 * folds), slot // 2 % folds, slot % 2, at] = got["n"].to_numpy()
+    head = sampled.select("fold", *ys).toArrow()
+    y = np.stack([head[c].to_numpy().astype(np.float64) for c in ys], axis=1)
+    of = head["fold"].to_numpy()
+    picked = [np.zeros(0, np.int64)]
+    for c in range(len(ys)):
+        for out in (None, *range(folds)):
+            own = ~np.isnan(y[:, c]) & (of != out if out is not None else True)
+            picked.append(chosen(counts[c], out, y[own, c], features))
+    picked = np.unique(np.concatenate(picked))
+    words, counts = words[picked], counts[..., picked]
+
+    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [np.packbits(np.isin(words, np.frombuffer(x.as_buffer(), np.uint32))).tobytes() for x in batch.column("words")]
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()), *batch.columns[1:]], names=["has", *batch.schema.names[1:]])
+
+    got = sampled.select("words", "fold", *ys).mapInArrow(bits, "has binary, fold int, " + ", ".join(f"{c} int" for c in ys)).toArrow()  # 2 x sample rows of a bit for each chosen word
+    y = np.stack([got[c].to_numpy().astype(np.float64) for c in ys], axis=1)
+    pairs = [np.flatnonzero(np.unpackbits(np.frombuffer(x.as_buffer(), np.uint8), count=len(words))) for x in got["has"]]
+    rows, cols = np.repeat(np.arange(len(pairs)), [len(x) for x in pairs]), np.concatenate([np.zeros(0, np.int64), *pairs])
+    return train(names, y, got["fold"].to_numpy(), words, counts, rows, cols, features=features)
 
 
 def score(docs: DataFrame, chain: Chain, text_col: str = "text", threshold: float = 0.4, target: str | None = None, drop: bool = False) -> DataFrame:
