@@ -12,25 +12,27 @@ T(v) of histories stand in the same filter under keys of their own, quantised to
 How it scales. Token counts are an ordinary aggregation. A token that makes up 1/HOT or more of all tokens is hot: there
 are HOT of them at most, so their exact counts are broadcast. The filter is built in segments, each by one task from all
 keys that belong to it; keys of a rare history share a segment, those of a hot history are dealt by the whole bigram, so
-no key floods a segment. The filter grows with the corpus; segments are gathered into shards of ``shard_mb`` at most, and
-each shard is broadcast in a pass of its own, so the broadcast has a fixed bound while no n-gram is left out. (A corpus
-whose filter fits in one shard takes one pass.) Occurrences of rare tokens need c(w), which is not broadcast: they travel
-as packed arrays to the task that has the exact counts of their part of the vocabulary and only sums per text come back.
+no key floods a segment. A filter of ``shard_mb`` at most is broadcast and probed while the texts are scanned. The filter
+grows with the corpus, and a larger one stays where it is: the texts' bigrams travel to the tasks that hold their segments
+and are probed there, so the corpus is read once whatever its size, and scores are the same. (Bigrams that make up 1/HOT of
+the training tokens do not travel: their levels, HOT of them at most, are broadcast.) Occurrences of rare tokens need c(w),
+which is not broadcast: they travel as packed arrays to the task that has the exact counts of their part of the vocabulary,
+and only sums come back. Sums find their text by a hash of id and text and not by position, so the order in which a
+recomputed task sees its rows does not matter.
 
 Defined cases: null texts are empty (one end token); a null id counts as id text '' (a training row) and keeps its row;
-repeated rows are learnt from and scored each; an empty table gives an empty result. Texts are processed whole. Tokens are
-told apart by 64-bit hashes.
+repeated rows are learnt from and scored each; an empty table gives an empty result; extra columns, also of the names of
+outputs, play no part. Texts are processed whole. Tokens, and texts that sums come back to, are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plinth.llm.common import Scratch, lower_ascii, mix, prefix_hash, span_hash, text_chunks, words
@@ -40,15 +42,16 @@ END, START = U(0x656E64), U(0x7374617274)
 #: Hot tokens are those with at least 1/HOT of all tokens.
 HOT = 50_000
 #: Quantisation base of counts, bits a filter entry, probes an entry, keys a segment is made for.
-BASE, BITS, PROBES, SEGMENT_KEYS = 1.5, 8, 4, 1_500_000
-SHARD_MB = 96
-#: The partition's number in the scan, the same in each pass; a task's own number is not, where passes are united.
-_PID = "__plinth_partition"
+BASE, BITS, PROBES, SEGMENT_KEYS = 1.5, 8, 4, 1_000_000
+#: Largest filter that is broadcast; tokens that a task holds before it sends them on.
+SHARD_MB, KEEP = 96, 1 << 19
+_HELD, _ROW = "__plinth_held", "__plinth_row"
 _C_KEY, _T_KEY = U(0xC0C0C0C0C0C0C0C1), U(0x7E7E7E7E7E7E7E7F)
 
 
-def held_out(doc_id: object, folds: int = 7, fold: int = 2) -> bool:
-    return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % folds == fold
+def held_out(doc_id: Column, folds: int = 7, fold: int = 2) -> Column:
+    """Whether the CRC-32 of the id as text (null: empty) leaves ``fold`` modulo ``folds``."""
+    return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))), F.lit(folds)) == fold
 
 
 def _tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -99,8 +102,9 @@ def _positions(keys: np.ndarray, level: int | np.ndarray, bits: np.ndarray | int
         yield ((a + U(i) * b) % np.asarray(bits, np.uint64)).astype(np.int64)
 
 
-def build_segment(keys: np.ndarray, counts: np.ndarray, hot32: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(bits packed in bytes, hot histories' numbers, their distinct followers in this segment) of one segment's bigrams."""
+def build_segment(keys: np.ndarray, counts: np.ndarray, hot32: np.ndarray, often: float = np.inf, width: int = BITS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(bits packed in bytes, hot histories' numbers, their distinct followers in this segment, bigrams counted ``often`` or more)
+    of one segment's bigrams."""
     order = np.argsort(keys)
     keys, counts = keys[order], counts[order]
     first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
@@ -116,7 +120,7 @@ def build_segment(keys: np.ndarray, counts: np.ndarray, hot32: np.ndarray) -> tu
     ck, tk = mix(v[rare] ^ _C_KEY), mix(v[rare] ^ _T_KEY)
     every = [(keys, levels_of(total), 1), (ck, levels_of(c[rare]), 1), (tk, levels_of(followers[rare]), 2)]
     entries = sum(int(np.maximum(0, lv - lo + 1).sum()) for _, lv, lo in every)
-    size = max(64, -(-entries * BITS // 64) * 64)
+    size = max(64, -(-entries * width // 64) * 64)
     bits = np.zeros(size, bool)
     for k, lv, lo in every:
         level = lo
@@ -126,7 +130,7 @@ def build_segment(keys: np.ndarray, counts: np.ndarray, hot32: np.ndarray) -> tu
             for pos in _positions(k, level, size):
                 bits[pos] = True
             level += 1
-    return np.packbits(bits, bitorder="little"), at[is_hot], followers[is_hot]
+    return np.packbits(bits, bitorder="little"), at[is_hot], followers[is_hot], keys[total >= often]
 
 
 @dataclass
@@ -143,7 +147,7 @@ class Shard:
         own = seg - self.first
         base, size = self.starts[own], self.sizes[own]
         hit = np.arange(len(keys))
-        for pos in _positions_of(keys, level, size):
+        for pos in _positions(keys, level, size):
             p = base[hit] + pos[hit]
             hit = hit[(bits[p >> 3] >> (p & 7).astype(np.uint8)) & 1 == 1]
         out = np.zeros(len(keys), bool)
@@ -161,10 +165,6 @@ class Shard:
         return out
 
 
-def _positions_of(keys: np.ndarray, level: int, sizes: np.ndarray) -> list[np.ndarray]:
-    return list(_positions(keys, level, sizes))
-
-
 class _Lookup:
     """Sorted hashes with values."""
 
@@ -178,7 +178,7 @@ class _Lookup:
         return at, self.keys[at] == x
 
 
-def _count_tokens(id_col: str, text_col: str, keep: int = 1 << 20):
+def _count_tokens(text_col: str, keep: int = 1 << 19):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, train, every, held = [], [], [], 0
 
@@ -191,7 +191,7 @@ def _count_tokens(id_col: str, text_col: str, keep: int = 1 << 20):
 
         for batch, data, offsets in text_chunks(batches, text_col):
             tok, _, n = _tokens(data, offsets)
-            learn = np.repeat(np.array([not held_out(x) for x in batch.column(id_col).to_pylist()], bool), n)
+            learn = np.repeat(~batch.column(_HELD).to_numpy(zero_copy_only=False), n)
             k, inv = np.unique(tok, return_inverse=True)
             keys.append(k)
             train.append(np.bincount(inv, learn, len(k)))
@@ -210,7 +210,7 @@ def _count_tokens(id_col: str, text_col: str, keep: int = 1 << 20):
     return run
 
 
-def _bigram_blobs(id_col: str, text_col: str, hot_keys: np.ndarray, n_segments: int, keep: int = 1 << 21):
+def _bigram_blobs(text_col: str, hot_keys: np.ndarray, n_segments: int, keep: int = 2 * KEEP):
     hot = _Lookup(hot_keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,7 +235,7 @@ def _bigram_blobs(id_col: str, text_col: str, hot_keys: np.ndarray, n_segments:
 
         for batch, data, offsets in text_chunks(batches, text_col):
             tok, hist, n = _tokens(data, offsets)
-            learn = np.repeat(np.array([not held_out(x) for x in batch.column(id_col).to_pylist()], bool), n)
+            learn = np.repeat(~batch.column(_HELD).to_numpy(zero_copy_only=False), n)
             tok, hist = tok[learn], hist[learn]
             if not len(tok):
                 continue
@@ -252,12 +252,14 @@ def _bigram_blobs(id_col: str, text_col: str, hot_keys: np.ndarray, n_segments:
     return run
 
 
-def _segment_builder(hot32: np.ndarray):
+def _segment_builder(hot32: np.ndarray, often: float, width: int):
     def build(t: pa.Table) -> pa.Table:
         read = lambda name, kind: np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in t[name]] or [np.zeros(0, kind)])
         ones, many, counts = read("ones", np.uint64), read("many", np.uint64), read("counts", np.uint32)
-        bits, at, followers = build_segment(np.concatenate([ones, many]), np.concatenate([np.ones(len(ones), np.int64), counts.astype(np.int64)]), hot32)
-        return pa.table({"seg": pa.array([t["seg"][0].as_py()], pa.int32()), "bits": pa.array([bits.tobytes()], pa.binary()), "hot": pa.array([at.astype(np.int32).tolist()], pa.list_(pa.int32())), "followers": pa.array([followers.astype(np.int64).tolist()], pa.list_(pa.int64()))})
+        bits, at, followers, top = build_segment(np.concatenate([ones, many]), np.concatenate([np.ones(len(ones), np.int64), counts.astype(np.int64)]), hot32, often, width)
+        levels = Shard(0, np.zeros(1, np.int64), np.array([len(bits) * 8]), bits.tobytes()).levels(np.zeros(len(top), np.int64), top)
+        lists = [pa.array([x.tolist()], pa.list_(kind)) for x, kind in ((at, pa.int32()), (followers, pa.int64()), (top.view(np.int64), pa.int64()), (levels, pa.int32()))]
+        return pa.table([t["seg"].slice(0, 1).combine_chunks(), pa.array([bits.tobytes()], pa.binary()), *lists], names=["seg", "bits", "hot", "followers", "top", "levels"])
 
     return build
 
@@ -270,11 +272,11 @@ class BigramModel:
         self.tokens, self.types, self.hot, self.n_segments = tokens, types, hot, n_segments
 
     @classmethod
-    def fit(cls, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT, shard_mb: int = SHARD_MB, segment_keys: int = SEGMENT_KEYS, scratch: Scratch | None = None) -> BigramModel:
+    def fit(cls, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT, shard_mb: int = SHARD_MB, segment_keys: int = SEGMENT_KEYS, bits: int = BITS, scratch: Scratch | None = None) -> BigramModel:
         """Learn from the rows of docs that are not held out; counts of held-out rows only tell which tokens are hot."""
         scratch = scratch or Scratch(docs.sparkSession, "lm")
-        docs = docs.select(id_col, text_col)
-        counts = docs.mapInArrow(_count_tokens(id_col, text_col), "h long, train long, every long").groupBy("h").agg(F.sum("train").alias("train"), F.sum("every").alias("every"))
+        docs = docs.select(text_col, held_out(F.col(id_col)).alias(_HELD))
+        counts = docs.mapInArrow(_count_tokens(text_col), "h long, train long, every long").groupBy("h").agg(F.sum("train").alias("train"), F.sum("every").alias("every"))
         counts = scratch.write(counts)
         tokens, types, every = counts.agg(F.coalesce(F.sum("train"), F.lit(0)), F.count_if(F.col("train") > 0), F.coalesce(F.sum("every"), F.lit(0))).first()
         top = counts.where((F.col("every") * hot >= every) | (F.col("h") == int(END))).select("h", "train").toArrow()  # hot + 1 rows at most
@@ -284,188 +286,308 @@ class BigramModel:
         keys, train = keys[order], train[order]
         hot32 = np.sort(mix(keys) >> U(32))
         n_segments = max(1, -(-tokens // segment_keys))
-        blobs = docs.mapInArrow(_bigram_blobs(id_col, text_col, keys, n_segments), "seg int, ones binary, many binary, counts binary")
-        segments = scratch.write(blobs.groupBy("seg").applyInArrow(_segment_builder(hot32), "seg int, bits binary, hot array<int>, followers array<long>"))
+        blobs = docs.mapInArrow(_bigram_blobs(text_col, keys, n_segments), "seg int, ones binary, many binary, counts binary")
+        build = _segment_builder(hot32, max(1, tokens / hot), bits)
+        segments = scratch.write(blobs.groupBy("seg").applyInArrow(build, "seg int, bits binary, hot array<int>, followers array<long>, top array<long>, levels array<int>"))
         partial = segments.select(F.explode(F.arrays_zip("hot", "followers")).alias("x")).groupBy("x.hot").agg(F.sum("x.followers").alias("n")).toArrow()  # a row per hot history
         by32 = np.zeros(len(hot32), np.int64)
         by32[partial["hot"].to_numpy()] = partial["n"].to_numpy()
         followers = by32[np.searchsorted(hot32, mix(keys) >> U(32))]
-        return cls(scratch, counts, segments, int(tokens), int(types), {"keys": keys, "train": train, "followers": followers}, n_segments, shard_mb)
+        often = segments.select(F.explode(F.arrays_zip("top", "levels")).alias("x")).select("x.top", "x.levels").toArrow()  # hot rows at most
+        big, level = often["top"].to_numpy().view(np.uint64), often["levels"].to_numpy()
+        order = np.argsort(big)
+        return cls(scratch, counts, segments, int(tokens), int(types), {"keys": keys, "train": train, "followers": followers, "bigrams": big[order], "levels": level[order]}, n_segments, shard_mb)
 
-    def shards(self) -> Iterator[Shard]:
-        """Runs of segments of shard_mb at most (one segment at least), read one segment at a time."""
+    def filter_bytes(self) -> int:
+        return self.segments.agg(F.coalesce(F.sum(F.length("bits")), F.lit(0))).first()[0]
+
+    def shard(self) -> Shard:
+        """All segments as one run of bytes, read one segment at a time."""
         sizes = {r.seg: r.n for r in self.segments.select("seg", F.length("bits").alias("n")).toLocalIterator()}
-        first, limit = 0, self.shard_mb << 20
-        while first < self.n_segments:
-            last, total = first, 0
-            while last < self.n_segments and (last == first or total + max(8, sizes.get(last, 8)) <= limit):
-                total += max(8, sizes.get(last, 8))
-                last += 1
-            rows = self.segments.where((F.col("seg") >= first) & (F.col("seg") < last)).select("seg", "bits").orderBy("seg").toLocalIterator()
-            data = bytearray(total)
-            starts = np.zeros(last - first, np.int64)
-            length = np.full(last - first, 64, np.int64)
-            at = np.concatenate([[0], np.cumsum([max(8, sizes.get(i, 8)) for i in range(first, last)])])
-            starts[:] = at[:-1] * 8
-            for r in rows:
-                data[at[r.seg - first] : at[r.seg - first] + len(r.bits)] = r.bits
-                length[r.seg - first] = len(r.bits) * 8
-            yield Shard(first, starts, length, bytes(data))
-            first = last
+        at = np.concatenate([[0], np.cumsum([max(8, sizes.get(i, 8)) for i in range(self.n_segments)])])
+        data = bytearray(int(at[-1]))
+        for r in self.segments.select("seg", "bits").toLocalIterator():
+            data[at[r.seg] : at[r.seg] + len(r.bits)] = r.bits
+        return Shard(0, at[:-1] * 8, np.array([sizes.get(i, 8) * 8 for i in range(self.n_segments)]), bytes(data))
 
     def score(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_bytes: int = 24 << 20) -> DataFrame:
         """(id_col, held_out, n_tokens, n_known, train_tokens, base_score, score), one row per input row."""
-        spark, docs = docs.sparkSession, docs.select(id_col, text_col, F.spark_partition_id().alias(_PID))
+        docs = docs.select(id_col, text_col, held_out(F.col(id_col)).alias(_HELD), F.xxhash64(id_col, F.coalesce(text_col, F.lit(""))).alias(_ROW))
         kind = dict(docs.dtypes)[id_col]
-        parts = max(4, -(-self.tokens * 5 // part_bytes))  # about half of the tokens are rare, 11 bytes each
-        total = None
-        for shard in self.shards():
-            sent = spark.sparkContext.broadcast(shard)
-            run = _score_blobs(id_col, text_col, sent, self.hot, self.n_segments, self.tokens, self.types, parts, shard.first == 0)
-            one = docs.mapInArrow(run, f"part int, flush long, ids array<{kind}>, head binary, hashes binary, docs binary, ratios binary")
-            total = one if total is None else total.unionAll(one)
+        parts = max(4, -(-self.tokens * 8 // part_bytes))  # about half of the tokens are rare, 16 bytes each
+        sent_fields = f"part int, ids array<{kind}>, head binary, rows binary, docs binary, hashes binary, ratios binary"
+        send = _Sender(parts, self.hot, self.tokens, self.types)
+        if self.filter_bytes() <= self.shard_mb << 20:
+            sent = docs.sparkSession.sparkContext.broadcast(self.shard())
+            blobs = docs.mapInArrow(_score_here(id_col, text_col, sent, self.n_segments, send), sent_fields)
+        else:
+            probes = docs.mapInArrow(_probe_blobs(id_col, text_col, self.n_segments, send), f"seg int, ids array<{kind}>, head binary, rows binary, docs binary, keys binary, hashes binary")
+            blobs = probes.groupBy("seg").cogroup(self.segments.select("seg", "bits").groupBy("seg")).applyInArrow(_score_there(send, kind), sent_fields)
         counts = self.counts.select(F.pmod(F.col("h"), F.lit(parts)).cast("int").alias("part"), "h", "train")
-        sums = total.groupBy("part").cogroup(counts.groupBy("part")).applyInArrow(_exact_part(self.tokens, self.types), f"flush long, ids array<{kind}>, head binary")
+        sums = blobs.groupBy("part").cogroup(counts.groupBy("part")).applyInArrow(_exact_part(parts, self.tokens, self.types), f"bucket int, ids array<{kind}>, head binary")
         schema = f"`{id_col}` {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-        return sums.groupBy("flush").applyInArrow(_collect_flush(id_col, self.tokens, self.types), schema)
-
+        return sums.groupBy("bucket").applyInArrow(_collect_bucket(id_col, self.tokens, self.types), schema)
+
+
+_HEAD = np.dtype([("row", "<u8"), ("n", "<i8"), ("held", "<i4"), ("known", "<i8"), ("base", "<f8"), ("model", "<f8")])
+
+
+class _Sender:
+    """What a task keeps of its texts until it is sent on: heads with the shares that are known here, and the tokens that are not."""
+
+    def __init__(self, parts: int, hot: dict[str, np.ndarray], tokens: int, types: int):
+        self.parts, self.hot, self.norm = parts, hot, float(tokens + types + 1)
+
+    def history(self, shard: Shard, seg: np.ndarray, keys: np.ndarray, q: np.ndarray, at: np.ndarray, is_hot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(log10 of T / (c + T), q / T) of bigrams with their quantised counts q; ``at`` is the place of a hot history."""
+        c, t, q = self.hot["train"][at].astype(np.float64), self.hot["followers"][at].astype(np.float64), q.copy()
+        rare = np.flatnonzero(~is_hot)
+        v32 = keys[rare] >> U(32)
+        _, first, inv = np.unique(v32 ^ (seg[rare].astype(np.uint64) << U(32)), return_index=True, return_inverse=True)
+        vs, vk = seg[rare][first], v32[first]
+        cl = shard.levels(vs, mix(vk ^ _C_KEY))
+        tl = np.where(cl > 0, shard.levels(vs, mix(vk ^ _T_KEY), 2), 0)
+        c[rare], t[rare] = VALUES[cl][inv], VALUES[tl][inv]
+        unseen = (c <= 0) | (t <= 0)
+        q[unseen], c[unseen], t[unseen] = 0.0, 0.0, 1.0
+        c = np.maximum(c, q)
+        return np.log10(t) - np.log10(c + t), q / t
+
+    def known(self, head: np.ndarray, doc: np.ndarray, tok: np.ndarray, t_part: np.ndarray, ratio: np.ndarray) -> np.ndarray:
+        """Adds to the heads what can be told here; returns which tokens are rare."""
+        at, is_hot = _Lookup(self.hot["keys"]).find(tok)
+        count, own, n = self.hot["train"][at[is_hot]].astype(np.float64), doc[is_hot], len(head)
+        head["known"] += np.bincount(own, count > 0, n).astype(np.int64)
+        head["base"] += np.bincount(own, np.log10(count + 1.0), n)
+        head["model"] += np.bincount(doc, t_part, n) + np.bincount(own, np.log10(ratio[is_hot] + (count + 1.0) / self.norm), n)
+        return ~is_hot
+
+    def blobs(self, number: int, ids: pa.Array | None, head: np.ndarray, doc: np.ndarray, tok: np.ndarray, ratio: np.ndarray, id_type: pa.DataType) -> pa.RecordBatch:
+        """One row with the heads and one for each part of the vocabulary that has tokens; doc counts within head."""
+        part = (tok.view(np.int64) % self.parts).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        doc, tok, ratio, part = doc[order], tok[order], ratio[order], part[order]
+        cuts = np.searchsorted(part, np.arange(self.parts + 1))
+        some = np.flatnonzero(np.diff(cuts))
+        rows, local, hashes, ratios = [b""], [b""], [b""], [b""]
+        for p in some:
+            a, b = cuts[p], cuts[p + 1]
+            used, own = np.unique(doc[a:b], return_inverse=True)
+            rows.append(head["row"][used].tobytes())
+            local.append(own.astype(np.uint32).tobytes())
+            hashes.append(tok[a:b].tobytes())
+            ratios.append(ratio[a:b].astype(np.float32).tobytes())
+        ids = ids if ids is not None else pa.array([], id_type)
+        lists = pa.ListArray.from_arrays(pa.array([0] + [len(ids)] * (len(some) + 1), pa.int32()), ids)
+        return pa.RecordBatch.from_arrays(
+            [pa.array([number % self.parts, *some.tolist()], pa.int32()), lists, pa.array([head.tobytes()] + [None] * len(some), pa.binary()), *(pa.array(x, pa.binary()) for x in (rows, local, hashes, ratios))],
+            names=["part", "ids", "head", "rows", "docs", "hashes", "ratios"],
+        )
+
+
+def _heads(batch: pa.RecordBatch, n: np.ndarray) -> np.ndarray:
+    head = np.zeros(batch.num_rows, _HEAD)
+    head["row"], head["n"] = batch.column(_ROW).to_numpy().view(np.uint64), n
+    head["held"] = batch.column(_HELD).to_numpy(zero_copy_only=False)
+    return head
+
+
+def _score_here(id_col: str, text_col: str, sent, n_segments: int, send: _Sender, keep: int = KEEP):
+    """Probes the broadcast filter."""
 
-#: Ratios q / T travel as one byte on a logarithmic scale; 0 stands for q = 0.
-_STEP = np.log(1.15)
-
-
-def pack_ratio(r: np.ndarray) -> np.ndarray:
-    out = np.zeros(len(r), np.uint8)
-    some = r > 0
-    out[some] = np.clip(np.round(np.log(r[some]) / _STEP) + 128, 1, 255).astype(np.uint8)
-    return out
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard: Shard = sent.value
+        table = _Lookup(send.hot["keys"])
+        held, size, docs, number = [], 0, 0, 0
 
+        def flush() -> pa.RecordBatch:
+            ids, heads, doc, tok, ratio = zip(*held)
+            ids = pa.concat_arrays(ids)
+            return send.blobs(number, ids, np.concatenate(heads), np.concatenate(doc), np.concatenate(tok), np.concatenate(ratio), ids.type)
 
-UNPACKED = np.concatenate([[0.0], np.exp((np.arange(1, 256) - 128) * _STEP)])
+        for batch, data, offsets in text_chunks(batches, text_col):
+            tok, hist, n = _tokens(data, offsets)
+            at, is_hot = table.find(hist)
+            keys = bigram_keys(hist, tok)
+            seg = segments_of(keys, hist, is_hot, n_segments)
+            t_part, ratio = send.history(shard, seg, keys, VALUES[shard.levels(seg, keys)], at, is_hot)
+            head, doc = _heads(batch, n), np.repeat(np.arange(batch.num_rows), n)
+            rare = send.known(head, doc, tok, t_part, ratio)
+            held.append((batch.column(id_col), head, doc[rare] + docs, tok[rare], ratio[rare].astype(np.float32)))
+            size, docs = size + int(rare.sum()), docs + batch.num_rows
+            if size > keep:
+                yield flush()
+                held, size, docs, number = [], 0, 0, number + 1
+        if held:
+            yield flush()
 
-_HEAD = np.dtype([("n", "<i8"), ("held", "<i4"), ("known", "<i8"), ("base", "<f8"), ("model", "<f8")])
+    return run
 
 
-def _score_blobs(id_col, text_col, sent, hot, n_segments, tokens, types, parts, whole, keep=1 << 21):
-    norm = float(tokens + types + 1)
+def _probe_blobs(id_col: str, text_col: str, n_segments: int, send: _Sender, keep: int = KEEP):
+    """Deals the bigrams of texts to the segments of the filter; those that are hot with their histories are scored here."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard: Shard = sent.value
-        table = _Lookup(hot["keys"])
-        last_segment = shard.first + len(shard.sizes)
-        ids, heads, hashes, where, ratios, held, docs, number = [], [], [], [], [], 0, 0, 0
-        origin = 0
-
-        def flush():
-            h, w, r = np.concatenate(hashes), np.concatenate(where), np.concatenate(ratios)
-            part = (h.view(np.int64) % parts).astype(np.int64)
-            order = np.argsort(part, kind="stable")
-            h, w, r, part = h[order], w[order], r[order], part[order]
-            cuts = np.searchsorted(part, np.arange(parts + 1))
-            some = [p for p in range(parts) if cuts[p + 1] > cuts[p]]
-            every = pa.concat_arrays(ids)
-            own = (origin + number) % parts
-            rows = [own, *some]
-            lists = pa.ListArray.from_arrays(pa.array([0] + [len(every)] * len(rows), pa.int32()), every)
-            cut = lambda x: [b""] + [x[cuts[p] : cuts[p + 1]].tobytes() for p in some]
-            head = np.concatenate(heads).tobytes()
+        table, often = _Lookup(send.hot["keys"]), _Lookup(send.hot["bigrams"])
+        none = Shard(0, np.zeros(1, np.int64), np.array([64]), bytes(8))
+        held, size, docs, number = [], 0, 0, 0
+
+        def flush() -> pa.RecordBatch:
+            ids, heads, doc, keys, tok, seg = zip(*held)
+            ids, head = pa.concat_arrays(ids), np.concatenate(heads)
+            doc, keys, tok, seg = (np.concatenate(x) for x in (doc, keys, tok, seg))
+            order = np.argsort(seg, kind="stable")
+            doc, keys, tok, seg = doc[order], keys[order], tok[order], seg[order]
+            cuts = np.flatnonzero(np.concatenate([[True], seg[1:] != seg[:-1]])) if len(seg) else np.zeros(0, np.int64)
+            rows, local = [b""], [b""]
+            for a, b in zip(cuts, np.append(cuts[1:], len(seg))):
+                used, own = np.unique(doc[a:b], return_inverse=True)
+                rows.append(head["row"][used].tobytes())
+                local.append(own.astype(np.uint32).tobytes())
+            cut = lambda x: [b""] + [x[a:b].tobytes() for a, b in zip(cuts, np.append(cuts[1:], len(seg)))]
+            lists = pa.ListArray.from_arrays(pa.array([0] + [len(ids)] * (len(cuts) + 1), pa.int32()), ids)
             return pa.RecordBatch.from_arrays(
-                [pa.array(rows, pa.int32()), pa.array([origin + number] * len(rows), pa.int64()), lists, pa.array([head] + [None] * len(some), pa.binary()), pa.array(cut(h), pa.binary()), pa.array(cut(w), pa.binary()), pa.array(cut(r), pa.binary())],
-                names=["part", "flush", "ids", "head", "hashes", "docs", "ratios"],
+                [pa.array([number % n_segments, *seg[cuts].tolist()], pa.int32()), lists, pa.array([head.tobytes()] + [None] * len(cuts), pa.binary()), *(pa.array(x, pa.binary()) for x in (rows, local, cut(keys), cut(tok)))],
+                names=["seg", "ids", "head", "rows", "docs", "keys", "hashes"],
             )
 
         for batch, data, offsets in text_chunks(batches, text_col):
-            origin = batch.column(_PID)[0].as_py() << 20
             tok, hist, n = _tokens(data, offsets)
-            v_at, v_hot = table.find(hist)
-            w_at, w_hot = table.find(tok)
+            at, is_hot = table.find(hist)
             keys = bigram_keys(hist, tok)
-            seg = segments_of(keys, hist, v_hot, n_segments)
-            own = (seg >= shard.first) & (seg < last_segment)
-            doc = np.repeat(np.arange(batch.num_rows), n)
-            if not own.all():
-                keys, seg, doc, hist, tok, v_at, v_hot, w_at, w_hot = (x[own] for x in (keys, seg, doc, hist, tok, v_at, v_hot, w_at, w_hot))
-            q = VALUES[shard.levels(seg, keys)]
-            c, t = hot["train"][v_at].astype(np.float64), hot["followers"][v_at].astype(np.float64)
-            rare = np.flatnonzero(~v_hot)
-            v32 = mix(hist[rare]) >> U(32)
-            uniq, first, inv = np.unique(v32 ^ (seg[rare].astype(np.uint64) << U(32)), return_index=True, return_inverse=True)
-            vs, vk = seg[rare][first], v32[first]
-            cl = shard.levels(vs, mix(vk ^ _C_KEY))
-            tl = np.where(cl > 0, shard.levels(vs, mix(vk ^ _T_KEY), 2), 0)
-            c[rare], t[rare] = VALUES[cl][inv], VALUES[tl][inv]
-            unseen = (c <= 0) | (t <= 0)
-            q[unseen], c[unseen], t[unseen] = 0.0, 0.0, 1.0
-            c = np.maximum(c, q)
-            t_part = np.log10(t) - np.log10(c + t)
-            ratio = q / t
-            count = hot["train"][w_at].astype(np.float64)
-            p1 = (count + 1.0) / norm
-            head = np.zeros(batch.num_rows, _HEAD)
-            if whole:
-                head["n"] = n
-            head["held"] = [held_out(x) for x in batch.column(id_col).to_pylist()]
-            m = w_hot
-            head["known"] = np.bincount(doc[m], count[m] > 0, batch.num_rows)
-            head["base"] = np.bincount(doc[m], np.log10(count[m] + 1.0), batch.num_rows)
-            head["model"] = np.bincount(doc, t_part, batch.num_rows) + np.bincount(doc[m], np.log10(ratio[m] + p1[m]), batch.num_rows)
-            if ids and (docs + batch.num_rows > 65_000 or held + int(n.sum()) > keep):  # the same cuts in every pass
+            seg = segments_of(keys, hist, is_hot, n_segments)
+            head, doc = _heads(batch, n), np.repeat(np.arange(batch.num_rows), n)
+            place, here = often.find(keys)
+            here &= is_hot & table.find(tok)[1]
+            q = VALUES[send.hot["levels"][place[here]]] if here.any() else np.zeros(0)
+            t_part, ratio = send.history(none, seg[here], keys[here], q, at[here], is_hot[here])
+            send.known(head, doc[here], tok[here], t_part, ratio)
+            held.append((batch.column(id_col), head, doc[~here] + docs, keys[~here], tok[~here], seg[~here]))
+            size, docs = size + int((~here).sum()), docs + batch.num_rows
+            if size > keep:
                 yield flush()
-                ids, heads, hashes, where, ratios, held, docs, number = [], [], [], [], [], 0, 0, number + 1
-            ids.append(batch.column(id_col))
-            heads.append(head)
-            hashes.append(tok[~m])
-            where.append((doc[~m] + docs).astype(np.uint16))
-            ratios.append(pack_ratio(ratio[~m]))
-            held, docs = held + int(n.sum()), docs + batch.num_rows
-        if ids:
+                held, size, docs, number = [], 0, 0, number + 1
+        if held:
             yield flush()
 
     return run
 
 
-def _exact_part(tokens: int, types: int):
-    """Adds what rare tokens give, from the exact counts of one part of the vocabulary."""
+def _score_there(send: _Sender, id_kind: str, keep: int = KEEP):
+    """Probes one segment of the filter for the bigrams that have come to it; heads pass through."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        bits = right["bits"][0].as_py() if right.num_rows else bytes(8)
+        shard = Shard(0, np.zeros(1, np.int64), np.array([len(bits) * 8]), bits)
+        hot32 = mix(send.hot["keys"]) >> U(32)
+        by32 = np.argsort(hot32)
+        table = _Lookup(hot32[by32])
+        out, held, size = [], [], 0
+        id_type = left.schema.field("ids").type.value_type
+
+        def flush(number: int) -> None:
+            heads, doc, tok, ratio = (np.concatenate(x) for x in zip(*held))
+            out.append(send.blobs(number, None, heads, doc, tok, ratio, id_type))
+
+        docs = 0
+        for number in range(left.num_rows):
+            if left["head"][number].is_valid:
+                empty = np.zeros(0, np.uint64)
+                out.append(send.blobs(number, left["ids"][number].values, np.frombuffer(left["head"][number].as_buffer(), _HEAD), empty.astype(np.int64), empty, empty.astype(np.float32), id_type))
+                continue
+            read = lambda name, kind: np.frombuffer(left[name][number].as_buffer(), kind)  # noqa: B023, E731
+            keys, tok, doc = read("keys", np.uint64), read("hashes", np.uint64), read("docs", np.uint32).astype(np.int64)
+            head = np.zeros(len(read("rows", np.uint64)), _HEAD)
+            head["row"] = read("rows", np.uint64)
+            at, is_hot = table.find(keys >> U(32))
+            seg = np.zeros(len(keys), np.int64)
+            t_part, ratio = send.history(shard, seg, keys, VALUES[shard.levels(seg, keys)], by32[at], is_hot)
+            rare = send.known(head, doc, tok, t_part, ratio)
+            held.append((head, doc[rare] + docs, tok[rare], ratio[rare].astype(np.float32)))
+            size, docs = size + int(rare.sum()), docs + len(head)
+            if size > keep:
+                flush(number)
+                held, size, docs = [], 0, 0
+        if held:
+            flush(left.num_rows)
+        if not out:  # a segment that no text asks for
+            out.append(send.blobs(0, None, np.zeros(0, _HEAD), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.float32), id_type))
+        return pa.Table.from_batches(out)
+
+    return run
+
+
+def _exact_part(buckets: int, tokens: int, types: int):
+    """Adds what rare tokens give, from the exact counts of one part of the vocabulary; deals heads and sums by row."""
     norm = float(tokens + types + 1)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         h, c = right["h"].to_numpy().view(np.uint64), right["train"].to_numpy()
         order = np.argsort(h)
         look, c = _Lookup(h[order]), c[order]
-        heads = []
+        ids, heads, sums = [], [], [np.zeros(0, _HEAD)]
         for row in range(left.num_rows):
             if left["head"][row].is_valid:
-                heads.append(left["head"][row].as_py())
+                head = np.frombuffer(left["head"][row].as_buffer(), _HEAD)
+                own = left["ids"][row].values
+                if len(own):  # texts with what is known of them; else sums only
+                    ids.append(own)
+                    heads.append(head)
+                else:
+                    sums.append(head)
                 continue
-            tok = np.frombuffer(left["hashes"][row].as_buffer(), np.uint64)
-            doc = np.frombuffer(left["docs"][row].as_buffer(), np.uint16).astype(np.int64)
-            ratio = UNPACKED[np.frombuffer(left["ratios"][row].as_buffer(), np.uint8)]
+            read = lambda name, kind: np.frombuffer(left[name][row].as_buffer(), kind)  # noqa: B023, E731
+            tok, doc, ratio, rows = read("hashes", np.uint64), read("docs", np.uint32).astype(np.int64), read("ratios", np.float32).astype(np.float64), read("rows", np.uint64)
             at, found = look.find(tok)
             count = np.where(found, c[at] if len(c) else 0, 0).astype(np.float64)
-            size = int(doc.max()) + 1
-            out = np.zeros(size, _HEAD)
-            out["known"] = np.bincount(doc, count > 0, size)
-            out["base"] = np.bincount(doc, np.log10(count + 1.0), size)
-            out["model"] = np.bincount(doc, np.log10(ratio + (count + 1.0) / norm), size)
-            heads.append(out.tobytes())
-        return pa.table({"flush": left["flush"].combine_chunks(), "ids": left["ids"].combine_chunks(), "head": pa.array(heads, pa.binary())})
+            out = np.zeros(len(rows), _HEAD)
+            out["row"] = rows
+            out["known"] = np.bincount(doc, count > 0, len(rows))
+            out["base"] = np.bincount(doc, np.log10(count + 1.0), len(rows))
+            out["model"] = np.bincount(doc, np.log10(ratio + (count + 1.0) / norm), len(rows))
+            sums.append(out)
+        total = np.concatenate(sums)
+        rows, inv = np.unique(total["row"], return_inverse=True)
+        merged = np.zeros(len(rows), _HEAD)
+        merged["row"] = rows
+        for name in ("known", "base", "model"):
+            merged[name] = np.bincount(inv, total[name], len(rows))
+        head, every = np.concatenate([*heads, np.zeros(0, _HEAD)]), pa.concat_arrays(ids) if ids else None
+        bucket, lists, blobs = [], [], []
+        for x, own in ((head, every), (merged, None)):
+            to = (x["row"] % U(buckets)).astype(np.int64)
+            order = np.argsort(to, kind="stable")
+            cuts = np.searchsorted(to[order], np.arange(buckets + 1))
+            for b in np.flatnonzero(np.diff(cuts)):
+                pick = order[cuts[b] : cuts[b + 1]]
+                bucket.append(int(b))
+                lists.append(own.take(pa.array(pick)).to_pylist() if own is not None else [])
+                blobs.append(x[pick].tobytes())
+        return pa.table([pa.array(bucket, pa.int32()), pa.array(lists, left.schema.field("ids").type), pa.array(blobs, pa.binary())], names=["bucket", "ids", "head"])
 
     return run
 
 
-def _collect_flush(id_col: str, tokens: int, types: int):
-    """Sums the shares of the texts of one flush."""
+def _collect_bucket(id_col: str, tokens: int, types: int):
+    """Adds the sums to their texts; rows that are alike have one sum together and share it."""
     norm = np.log10(float(tokens + types + 1))
 
     def run(t: pa.Table) -> pa.Table:
-        ids = next(x.values for x in t["ids"] if len(x))
-        total = np.zeros(len(ids), _HEAD)
-        for x in t["head"]:
+        ids, heads, sums = [], [np.zeros(0, _HEAD)], [np.zeros(0, _HEAD)]
+        for own, x in zip(t["ids"], t["head"]):
             part = np.frombuffer(x.as_buffer(), _HEAD)
-            for name in _HEAD.names:
-                total[name][: len(part)] += part[name]
-        n = total["n"].astype(np.int64)
-        columns = {"held_out": pa.array(total["held"] > 0), "n_tokens": pa.array(n), "n_known": pa.array(total["known"].astype(np.int64)), "train_tokens": pa.array(np.full(len(n), tokens, np.int64))}
-        return pa.table({id_col: ids} | columns | {"base_score": pa.array(total["base"] - n * norm), "score": pa.array(total["model"].astype(np.float64))})
+            if len(own):
+                ids.append(own.values)
+                heads.append(part)
+            else:
+                sums.append(part)
+        head, total = np.concatenate(heads), np.concatenate(sums)
+        rows, inv, like = np.unique(head["row"], return_inverse=True, return_counts=True)
+        at = np.searchsorted(rows, total["row"])
+        more = {name: np.bincount(at, total[name], len(rows))[inv] / like[inv] for name in ("known", "base", "model")}
+        n = head["n"].astype(np.int64)
+        every = pa.concat_arrays(ids) if ids else pa.array([], t.schema.field("ids").type.value_type)
+        columns = {"held_out": pa.array(head["held"] > 0), "n_tokens": pa.array(n), "n_known": pa.array(np.round(head["known"] + more["known"]).astype(np.int64)), "train_tokens": pa.array(np.full(len(n), tokens, np.int64))}
+        return pa.table({id_col: every} | columns | {"base_score": pa.array(head["base"] + more["base"] - n * norm), "score": pa.array(head["model"] + more["model"])})
 
     return run
