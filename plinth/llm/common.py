@@ -73,6 +73,77 @@ class Scratch:
             return
 
 
+class Bloom:
+    """Which 64-bit hashes a table holds, with false hits but no misses; a bounded bit array built by tasks in slices."""
+
+    PROBES, SLICE_BITS = 4, 1 << 22
+
+    def __init__(self, bits: bytes):
+        self.bits = bits
+
+    @classmethod
+    def places(cls, h: np.ndarray, size: int) -> Iterator[np.ndarray]:
+        a, b = h & np.uint64(0xFFFFFFFF), (h >> np.uint64(32)) | np.uint64(1)
+        for i in range(cls.PROBES):
+            yield ((a + np.uint64(i) * b) % np.uint64(size)).astype(np.int64)
+
+    def has(self, h: np.ndarray) -> np.ndarray:
+        bits, out = np.frombuffer(self.bits, np.uint8), np.ones(len(h), bool)
+        for p in self.places(h, len(bits) * 8):
+            out &= (bits[p >> 3] >> (p & 7).astype(np.uint8)) & 1 == 1
+        return out
+
+    @classmethod
+    def of(cls, hashes: DataFrame, n: int, max_mb: int = 64) -> Bloom | None:
+        """Of the ``n`` values of the first column (long); None where 12 bits each would need over ``max_mb``."""
+        size = max(1 << 12, 12 * n) // 8 * 8
+        if size > max_mb << 23:
+            return None
+        slices = -(-size // cls.SLICE_BITS)
+        column = hashes.columns[0]
+
+        def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                h = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+                p = np.concatenate([np.zeros(0, np.int64), *cls.places(h, size)])
+                which = p // cls.SLICE_BITS
+                order = np.argsort(which, kind="stable")
+                p, which = p[order], which[order]
+                cuts = np.searchsorted(which, np.arange(slices + 1))
+                some = [i for i in range(slices) if cuts[i + 1] > cuts[i]]
+                yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([(p[cuts[i] : cuts[i + 1]] - i * cls.SLICE_BITS).astype(np.uint32).tobytes() for i in some], pa.binary())], names=["slice", "places"])
+
+        def build(t: pa.Table) -> pa.Table:
+            bits = np.zeros(cls.SLICE_BITS, bool)
+            for x in t["places"]:
+                bits[np.frombuffer(x.as_buffer(), np.uint32)] = True
+            return pa.table({"slice": t["slice"].slice(0, 1).combine_chunks(), "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
+
+        out, width = bytearray(size // 8), cls.SLICE_BITS // 8
+        for r in hashes.select(column).mapInArrow(deal, "slice int, places binary").groupBy("slice").applyInArrow(build, "slice int, bits binary").toLocalIterator():
+            a, b = r.slice * width, min(len(out), (r.slice + 1) * width)
+            out[a:b] = r.bits[: b - a]
+        return cls(bytes(out))
+
+
+def forest(hit: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Edges (member, smallest member) of the connected parts of a block of links; linear in its sides."""
+    i, j = np.flatnonzero(hit.any(1)), np.flatnonzero(hit.any(0))
+    if not len(i):
+        return np.zeros((0, 2), np.int64)
+    hit, a, b = hit[np.ix_(i, j)], a[i], b[j]
+    la, lb = a.copy(), b.copy()
+    big = np.iinfo(np.int64).max
+    while True:
+        na = np.minimum(la, np.where(hit, lb[None, :], big).min(1))
+        nb = np.minimum(lb, np.where(hit, na[:, None], big).min(0))
+        if (na == la).all() and (nb == lb).all():
+            break
+        la, lb = na, nb
+    e = np.unique(np.stack([np.concatenate([a, b]), np.concatenate([la, lb])], axis=1), axis=0)
+    return e[e[:, 0] != e[:, 1]]
+
+
 def text_chunks(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Slices of record batches with (slice, bytes of all texts, offsets), about max_bytes each; null texts are empty.
 

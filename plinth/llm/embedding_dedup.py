@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plinth.llm.common import Scratch, connected_components, mix
+from plinth.llm.common import Scratch, connected_components, forest, mix
 
 SAMPLE, CODES, BLOCK, VISITORS = 8192, 16, 2048, 8192
 RECALL = 0.99
@@ -220,27 +220,9 @@ def _compare(threshold: float, side: int = 1024):
                 else:
                     links[ra] += hit @ n[rb]
                     links[rb] += hit.T @ n[ra]
-                edges.append(_forest(hit, ra, rb))
+                edges.append(forest(hit, ra, rb))
         e = np.concatenate(edges) if edges else np.zeros((0, 2), np.int64)
         some = np.flatnonzero(links)
         return pa.table({"cls": pa.array(np.concatenate([cls[some], cls[e[:, 0]]])), "links": pa.array(np.concatenate([links[some], np.zeros(len(e), np.int64)])), "other": pa.array([*([None] * len(some)), *cls[e[:, 1]].tolist()], pa.int64())})
 
     return run
-
-
-def _forest(hit: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Edges (member, smallest member) of the connected parts of a block of links; linear in its sides."""
-    i, j = np.flatnonzero(hit.any(1)), np.flatnonzero(hit.any(0))
-    if not len(i):
-        return np.zeros((0, 2), np.int64)
-    hit, a, b = hit[np.ix_(i, j)], a[i], b[j]
-    la, lb = a.copy(), b.copy()
-    big = np.iinfo(np.int64).max
-    while True:
-        na = np.minimum(la, np.where(hit, lb[None, :], big).min(1))
-        nb = np.minimum(lb, np.where(hit, na[:, None], big).min(0))
-        if (na == la).all() and (nb == lb).all():
-            break
-        la, lb = na, nb
-    e = np.unique(np.stack([np.concatenate([a, b]), np.concatenate([la, lb])], axis=1), axis=0)
-    return e[e[:, 0] != e[:, 1]]

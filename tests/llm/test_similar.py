@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 from plinth.llm import simhash
@@ -51,8 +52,8 @@ def test_repeated_line_is_no_link(spark):
     assert found(spark, rows) == want
 
 
-@pytest.mark.parametrize("bucket", [64, 3])
-def test_crowded_keys(spark, bucket):
+@pytest.mark.parametrize("sizes", [{}, {"block_rows": 20, "hot_times": 10}])
+def test_crowded_keys(spark, sizes):
     """Texts of one template share their keys; pairs that are near each other but not near an anchor are still joined."""
     r = random.Random(2)
     template = words(r, 300)
@@ -64,7 +65,7 @@ def test_crowded_keys(spark, bucket):
         rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(near))]
     want = brute(rows)
     assert len(set(want.values())) == 150
-    assert found(spark, rows, bucket=bucket) == want
+    assert found(spark, rows, **sizes) == want
 
 
 def test_every_pair_at_the_threshold(spark):
@@ -80,3 +81,22 @@ def test_every_pair_at_the_threshold(spark):
     want = brute(rows)
     assert 50 < sum(want[2 * i + 1] == 2 * i for i in range(300)) < 250
     assert found(spark, rows) == want
+
+
+def test_decided_by_row(spark):
+    """Repeated ids and rows: one row of each group stays, and a different text of the same id too."""
+    t, u = " ".join(words(random.Random(4), 80)), " ".join(words(random.Random(5), 80))
+    rows = [(1, t, "x"), (5, t, "x"), (5, u, "x"), (1, t, "x"), (None, t, "x"), (7, None, "x"), (8, "", "x"), (9, " ", "x"), (None, "a b", "x"), (None, "a b", "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, fp string")
+    got = simhash.drop_similar(df)
+    assert got.columns == df.columns
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([(1, t, "x"), (5, u, "x"), (7, None, "x"), (None, "a b", "x")], key=str)
+    assert simhash.drop_similar(df.limit(0)).count() == 0
+
+
+def test_common_elements():
+    g = np.random.default_rng(1)
+    sets = [np.unique(g.integers(0, 90, g.integers(0, 60)).astype(np.uint64)) for _ in range(50)]
+    want = [[len(np.intersect1d(a, b)) for b in sets] for a in sets]
+    for dense in (1, 5, 32):
+        assert simhash.common_elements(sets, dense, 7).tolist() == want
