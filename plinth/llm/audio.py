@@ -4,37 +4,42 @@
 ``audio_features`` parses the container again and yields, per row,
 
 * ``payload``: the sample bytes read back;
-* ``tensors``: windows of the log-mel filterbank, each a flat array of ``FRAMES * MELS`` float32 in row order with its
-  time span in seconds. The last window is padded with the floor value, so every tensor has the same shape;
-  ``to_arrow_tensors`` turns the column into Arrow's fixed-shape tensor type;
+* ``tensors``: the log-mel filterbank in windows of ``FRAMES`` frames, as an Arrow IPC stream whose batch has a row per window:
+  its time span in seconds and a fixed-shape tensor (``FRAMES`` x ``MELS``, float32; Arrow's own tensor type). The last window is
+  padded with the floor value. ``read_tensors`` opens such a cell, ``tensor_digest`` reads a column of them back;
 * ``segments``: active spans by hysteresis on frame energy: a span opens at ``HIGH_DB`` and lasts while it stays over ``LOW_DB``.
 
-Samples are first resampled by a polyphase filter from ``RATE`` to ``RATE * UP / DOWN``. Work is done in blocks of
-samples, so memory follows the block and not the recording.
+Samples are first resampled by a polyphase filter from ``RATE`` to ``RATE * UP / DOWN`` (three of four samples, so three phases).
+A recording is resampled and analysed in blocks of frames that overlap as the filter and the window need; besides the samples
+and the result only one block is in memory.
 
-Defined cases: null texts are empty; an empty text is one padding unit; extra columns pass through where they do
-not clash with the outputs; repeated rows give repeated results; an empty table gives an empty result.
+Defined cases: null texts are empty; an empty text is one padding unit; texts of any length count whole (a Spark value has
+under 2**31 bytes, so the container's 32-bit sizes suffice); extra columns pass through where they do not clash with the outputs
+and those that clash are replaced; null media has null outputs; repeated rows give repeated results; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
 
+import hashlib
 import struct
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.ipc  # noqa: F401  pa.ipc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-RATE, UP, DOWN = 8000, 1, 2
-#: Window and hop in samples after resampling: 32 ms and 16 ms at 4 kHz.
-WINDOW, HOP = 128, 64
+RATE, UP, DOWN = 8000, 3, 4
+#: Window and hop in samples after resampling: 32 ms and 16 ms at 6 kHz.
+WINDOW, HOP = 192, 96
 MELS, FRAMES = 16, 32
 TAPS = 8
 HIGH_DB, LOW_DB, FLOOR_DB = -18.0, -24.0, -80.0
 PAD, UNIT = b" ", 192
-#: Frames whose spectra are computed at once.
-BLOCK = 4096
+#: Frames that are resampled and analysed at once.
+BLOCK = 2048
 
 
 def padded(data: Column, unit: int = UNIT) -> Column:
@@ -91,22 +96,25 @@ def resampling_filter(up: int = UP, down: int = DOWN, taps: int = TAPS) -> np.nd
     return h.reshape(-1, up).T.astype(np.float32)
 
 
-def resample(x: np.ndarray, up: int = UP, down: int = DOWN) -> np.ndarray:
-    """Polyphase resampling: output sample m comes from phase (m * down) mod up only; edges see zeros."""
+def resample(x: np.ndarray, up: int = UP, down: int = DOWN, first: int = 0, last: int | None = None) -> np.ndarray:
+    """Polyphase resampling of x, output samples first .. last (by default all): sample m comes from phase (m * down) mod up
+    only, and from the inputs around m * down / up; edges see zeros."""
     phases = resampling_filter(up, down)
     taps = phases.shape[1]
     left = taps // 2
-    line = np.concatenate([np.zeros(left, np.float32), x.astype(np.float32), np.zeros(taps, np.float32)])
     n = -(-len(x) * up // down)
-    out = np.zeros(n, np.float32)
-    for p in range(up):
-        m = np.flatnonzero((np.arange(min(n, up)) * down) % up == p)
-        if not len(m):
-            continue
-        first, step_in = int(m[0]), down
-        rows = np.lib.stride_tricks.sliding_window_view(line, taps)[(first * down) // up :: step_in]
-        own = out[first::up]
-        own[:] = rows[: len(own)] @ phases[p][::-1]
+    last = n if last is None else min(last, n)
+    # the inputs that these outputs need
+    low, high = first * down // up - left, ((last - 1) * down // up + taps) if last > first else 0
+    line = np.zeros(max(0, high - low), np.float32)
+    a, b = max(low, 0), min(high, len(x))
+    line[a - low : b - low] = x[a:b]
+    out = np.zeros(max(0, last - first), np.float32)
+    for k in range(min(up, len(out))):
+        m = first + k
+        own = out[k::up]
+        rows = np.lib.stride_tricks.sliding_window_view(line, taps)[m * down // up - left - low :: down]
+        own[:] = rows[: len(own)] @ phases[m * down % up][::-1]
     return out
 
 
@@ -123,22 +131,23 @@ def mel_filters(rate: float = RATE * UP / DOWN, window: int = WINDOW, mels: int
 _STATE: dict[str, np.ndarray] = {}
 
 
-def log_mel(y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(frames x MELS log-mel in dB, frame energy in dB); frames overlap by WINDOW - HOP, the last is zero-padded."""
+def frame_count(n: int) -> int:
+    """Frames of n samples; they overlap by WINDOW - HOP, and the last is padded with zeros."""
+    return max(1, -(-max(0, n - WINDOW) // HOP) + 1)
+
+
+def log_mel(y: np.ndarray, n: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(n frames x MELS log-mel in dB, frame energy in dB) of resampled samples."""
     if not _STATE:
         _STATE.update(mel=mel_filters(), hann=np.hanning(WINDOW).astype(np.float32))
-    n = max(1, -(-max(0, len(y) - WINDOW) // HOP) + 1)
+    n = frame_count(len(y)) if n is None else n
     line = np.zeros((n - 1) * HOP + WINDOW, np.float32)
     line[: len(y)] = y
-    frames = np.lib.stride_tricks.sliding_window_view(line, WINDOW)[::HOP]
-    mel, energy = np.empty((n, MELS), np.float32), np.empty(n, np.float32)
-    for at in range(0, n, BLOCK):
-        part = frames[at : at + BLOCK] * _STATE["hann"]
-        spectrum = np.fft.rfft(part, axis=1)
-        power = (spectrum.real**2 + spectrum.imag**2).astype(np.float32) / WINDOW
-        mel[at : at + BLOCK] = 10.0 * np.log10(np.maximum(power @ _STATE["mel"], 1e-8))
-        energy[at : at + BLOCK] = 10.0 * np.log10(np.maximum(np.einsum("ij,ij->i", part, part) / WINDOW, 1e-8))
-    return mel, energy
+    part = np.lib.stride_tricks.sliding_window_view(line, WINDOW)[::HOP] * _STATE["hann"]
+    spectrum = np.fft.rfft(part, axis=1)
+    power = (spectrum.real**2 + spectrum.imag**2).astype(np.float32) / WINDOW
+    mel = 10.0 * np.log10(np.maximum(power @ _STATE["mel"], 1e-8))
+    return mel, 10.0 * np.log10(np.maximum(np.einsum("ij,ij->i", part, part) / WINDOW, 1e-8))
 
 
 def hysteresis(energy: np.ndarray, high: float = HIGH_DB, low: float = LOW_DB) -> np.ndarray:
@@ -150,17 +159,28 @@ def hysteresis(energy: np.ndarray, high: float = HIGH_DB, low: float = LOW_DB) -
     return np.stack([starts[keep], ends[keep]], axis=1)
 
 
-def features_of(samples: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(windows x FRAMES x MELS in float32, active frame spans) of unsigned 8-bit samples."""
-    y = resample((samples.astype(np.float32) - 128.0) / 128.0)
-    mel, energy = log_mel(y)
-    windows = -(-len(mel) // FRAMES)
-    out = np.full((windows * FRAMES, MELS), FLOOR_DB, np.float32)
-    out[: len(mel)] = np.round(mel, 2)
+def features_of(samples: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray]:
+    """(windows x FRAMES x MELS in float32, active frame spans) of unsigned 8-bit samples, ``block`` frames at a time."""
+    n = -(-len(samples) * UP // DOWN)
+    frames = frame_count(n)
+    windows = -(-frames // FRAMES)
+    out, energy = np.full((windows * FRAMES, MELS), FLOOR_DB, np.float32), np.empty(frames, np.float32)
+    # inputs of a block's outputs: a filter's length more on either side
+    margin = 2 * resampling_filter().shape[1] * UP
+    for at in range(0, frames, block):
+        end = min(at + block, frames)
+        first, last = at * HOP, min((end - 1) * HOP + WINDOW, n)
+        base = max(0, first * DOWN // UP - margin) // DOWN * DOWN  # a multiple of DOWN inputs is a whole number of outputs
+        part = (samples[base : last * DOWN // UP + margin].astype(np.float32) - 128.0) / 128.0
+        shift = base * UP // DOWN
+        y = resample(part, first=first - shift, last=last - shift)
+        mel, energy[at:end] = log_mel(y, end - at)
+        out[at:end] = np.round(mel, 2)
     return out.reshape(windows, FRAMES, MELS), hysteresis(energy)
 
 
-TENSOR = pa.struct([("start_s", pa.float64()), ("end_s", pa.float64()), ("values", pa.list_(pa.float32()))])
+#: Rows of a tensors cell.
+TENSOR = pa.schema([("start_s", pa.float64()), ("end_s", pa.float64()), ("values", pa.fixed_shape_tensor(pa.float32(), (FRAMES, MELS), dim_names=("frame", "mel")))])
 SEGMENT = pa.struct([("start_s", pa.float64()), ("end_s", pa.float64())])
 
 
@@ -168,7 +188,7 @@ def audio_features(media: DataFrame, media_col: str = "media", batch_bytes: int
     """media plus payload, tensors and segments; see the module's text. Rows with null media have null outputs."""
     keep = [c for c in media.columns if c not in ("payload", "tensors", "segments")]
     fields = ", ".join(f"`{c}` {t}" for c, t in media.select(*keep).dtypes)
-    schema = f"{fields}, payload binary, tensors array<struct<start_s: double, end_s: double, values: array<float>>>, segments array<struct<start_s: double, end_s: double>>"
+    schema = f"{fields}, payload binary, tensors binary, segments array<struct<start_s: double, end_s: double>>"
     step = HOP / (RATE * UP / DOWN)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,35 +205,58 @@ def audio_features(media: DataFrame, media_col: str = "media", batch_bytes: int
 
 
 def _feature_batch(batch: pa.RecordBatch, keep: list[str], media_col: str, step: float) -> pa.RecordBatch:
-    payloads, values, windows, spans, active = [], [], [0], [], [0]
-    valid = []
+    payloads, tensors, spans, active, valid = [], [], [np.zeros((0, 2))], [0], []
     for x in batch.column(media_col):
         valid.append(x.is_valid)
         if not x.is_valid:
             payloads.append(None)
-            windows.append(windows[-1])
+            tensors.append(None)
             active.append(active[-1])
             continue
         _, samples = read_wav(x.as_buffer())
-        tensor, segments = features_of(samples)
+        values, segments = features_of(samples)
         payloads.append(samples.tobytes())
-        values.append(tensor.reshape(len(tensor), -1))
-        windows.append(windows[-1] + len(tensor))
+        tensors.append(write_tensors(values, step))
         spans.append(segments)
         active.append(active[-1] + len(segments))
-    flat = np.concatenate(values) if values else np.zeros((0, FRAMES * MELS), np.float32)
-    inner = pa.ListArray.from_arrays(pa.array(np.arange(len(flat) + 1, dtype=np.int32) * (FRAMES * MELS)), pa.array(flat.ravel()))
-    number = np.arange(len(flat)) - np.repeat(np.array(windows[:-1]), np.diff(windows))
-    starts = number * (FRAMES * step)
-    mask = pa.array([not v for v in valid])
-    tensors = pa.ListArray.from_arrays(pa.array(np.array(windows, np.int32)), pa.StructArray.from_arrays([pa.array(starts), pa.array(starts + FRAMES * step), inner], fields=list(TENSOR)), mask=mask)
-    lines = np.concatenate(spans) * step if spans else np.zeros((0, 2))
-    segments = pa.ListArray.from_arrays(pa.array(np.array(active, np.int32)), pa.StructArray.from_arrays([pa.array(lines[:, 0].astype(np.float64)), pa.array(lines[:, 1].astype(np.float64))], fields=list(SEGMENT)), mask=mask)
-    return pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(payloads, pa.binary()), tensors, segments], names=[*keep, "payload", "tensors", "segments"])
-
-
-def to_arrow_tensors(tensors: pa.Array) -> pa.Array:
-    """The values of a tensors column as Arrow fixed-shape tensors (FRAMES x MELS, float32), one per window."""
-    flat = tensors.flatten().field("values").flatten()
-    kind = pa.fixed_shape_tensor(pa.float32(), (FRAMES, MELS), dim_names=("frame", "mel"))
-    return pa.ExtensionArray.from_storage(kind, pa.FixedSizeListArray.from_arrays(flat, FRAMES * MELS))
+    lines = np.concatenate(spans) * step
+    segments = pa.ListArray.from_arrays(pa.array(np.array(active, np.int32)), pa.StructArray.from_arrays([pa.array(lines[:, 0]), pa.array(lines[:, 1])], fields=list(SEGMENT)), mask=pa.array([not v for v in valid]))
+    return pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(payloads, pa.binary()), pa.array(tensors, pa.binary()), segments], names=[*keep, "payload", "tensors", "segments"])
+
+
+def write_tensors(values: np.ndarray, step: float) -> bytes:
+    """Windows of frames (each ``step`` seconds) as an Arrow IPC stream of fixed-shape tensors with time spans."""
+    start = np.arange(len(values)) * (FRAMES * step)
+    storage = pa.FixedSizeListArray.from_arrays(pa.array(values.ravel()), FRAMES * MELS)
+    batch = pa.RecordBatch.from_arrays([pa.array(start), pa.array(start + FRAMES * step), pa.ExtensionArray.from_storage(TENSOR.field("values").type, storage)], schema=TENSOR)
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, TENSOR) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def read_tensors(cell: bytes | pa.Buffer) -> pa.Table:
+    """(start_s, end_s, values) of the windows in one cell; ``values`` has Arrow's fixed-shape tensor type."""
+    return pa.ipc.open_stream(cell).read_all()
+
+
+def tensor_digest(features: DataFrame, out: str = "digest") -> DataFrame:
+    """features with ``out`` instead of tensors: windows, frames, mels and the SHA-256 of all spans and values, read back from the cells."""
+    keep = [c for c in features.columns if c not in ("tensors", out)]
+    schema = ", ".join(f"`{c}` {t}" for c, t in features.select(*keep).dtypes) + f", `{out}` string"
+
+    def one(cell: pa.Scalar) -> str | None:
+        if not cell.is_valid:
+            return None
+        t = read_tensors(cell.as_buffer()).combine_chunks()
+        values = t["values"].combine_chunks().to_numpy_ndarray()
+        digest = hashlib.sha256(values.tobytes())
+        for name in ("start_s", "end_s"):
+            digest.update(t[name].to_numpy().tobytes())
+        return ":".join([*map(str, values.shape), digest.hexdigest()])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array([one(x) for x in batch.column("tensors")], pa.string())], names=[*keep, out])
+
+    return features.select(*keep, "tensors").mapInArrow(run, schema)

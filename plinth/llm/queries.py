@@ -31,9 +31,8 @@ def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    got = audio.audio_features(audio.store_audio(docs))
+    got = audio.tensor_digest(audio.audio_features(audio.store_audio(docs)))
     active = F.aggregate("segments", F.lit(0.0), lambda s, x: s + x["end_s"] - x["start_s"])
-    feature = F.concat_ws(":", F.size("tensors").cast("string"), F.size("segments").cast("string"), F.format_number(active, 3), F.lower(F.hex(F.xxhash64("tensors", "segments"))))
     return got.select(
         "doc_id",
         "n_bytes",
@@ -42,7 +41,7 @@ def op2_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.crc32(F.expr("substring(payload, -16, 16)")).alias("tail_crc32"),
         F.length("media").cast("long").alias("media_bytes"),
         F.sha2("media", 256).alias("media_sha256"),
-        feature.alias("feature"),
+        F.concat_ws(":", "digest", F.size("segments").cast("string"), F.format_number(active, 3)).alias("feature"),
     )
 
 
