@@ -14,11 +14,13 @@ How it scales. Equal vectors are one class from the start. Of two cells only the
 each pair is looked at once. Cells with over ``block`` residents are split into blocks, and the visitors of cells with many
 visitors are dealt over several copies of the residents, so tasks stay bounded while every pair is still compared. Pairs are
 counted and reduced to a spanning forest inside a task and never written. The codebooks are fitted on ``sample`` classes
-(those with the least hashes); all vectors are indexed.
+(those with the least hashes); all vectors are indexed. Codebooks grow with the root of the number of classes, up to
+``most_codes``, so that a cell holds about ``CELL`` classes; beyond that cells are split into blocks.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components, and rows without label, link with
 nothing; vectors of different sizes never link; repeated ids are counted as vectors of their own; an empty table gives an
-empty result. Links count other vectors, equal ones included.
+empty result; extra columns play no part, and names like kept or label in the input do not clash. Links count other vectors,
+equal ones included.
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ from pyspark.sql import functions as F
 
 from plinth.llm.common import Scratch, connected_components, forest, mix
 
-SAMPLE, CODES, BLOCK, VISITORS = 8192, 16, 2048, 8192
+SAMPLE, CODES, MOST_CODES, CELL, BLOCK, VISITORS = 8192, 16, 256, 512, 2048, 8192
 RECALL = 0.99
 
 
@@ -117,7 +119,7 @@ def _lower(own: np.ndarray, row: np.ndarray, cell: np.ndarray) -> np.ndarray:
 
 
 def near_duplicates(
-    vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", threshold: float = 0.93, recall: float = RECALL, codes: int = CODES, block: int = BLOCK, visitors: int = VISITORS, sample: int = SAMPLE, scratch: Scratch | None = None
+    vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", threshold: float = 0.93, recall: float = RECALL, codes: int | None = None, most_codes: int = MOST_CODES, block: int = BLOCK, visitors: int = VISITORS, sample: int = SAMPLE, scratch: Scratch | None = None
 ) -> DataFrame:
     """(id_col, n_links, component_id, kept), one row per input row."""
     spark = vectors.sparkSession
@@ -127,7 +129,8 @@ def near_duplicates(
     picked = classes.select("vec", "cls").orderBy("cls").limit(sample).select("vec").toArrow()
     if picked.num_rows == 0:
         return base.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
-    dims = classes.agg(F.max(F.size("vec"))).first()[0]
+    dims, many = classes.agg(F.max(F.size("vec")), F.count("*")).first()
+    codes = codes or min(most_codes, max(CODES, round((many / CELL) ** 0.5)))
     x, _ = _units(picked.combine_chunks().to_batches()[0], dims)
     grid = spark.sparkContext.broadcast(Grid.fit(x, codes, threshold, recall))
 
@@ -146,7 +149,12 @@ def near_duplicates(
 
     kind = dict(classes.dtypes)["label"]
     sizes = classes.mapInArrow(survey, f"label {kind}, dims int, cell int, residents long, visitors long").groupBy("label", "dims", "cell").agg(F.sum("residents").alias("r"), F.sum("visitors").alias("v"))
-    big = {(r.label, r.dims, r.cell): (-(-r.r // block), -(-r.v // visitors)) for r in sizes.where((F.col("r") > block) | (F.col("v") > visitors)).toLocalIterator()}  # rows / block cells at most
+    # blocks of a cell, and copies of each block: the residents of later blocks visit the earlier ones too
+    shape = sizes.withColumn("nb", F.greatest(F.lit(1), F.ceil(F.col("r") / block)).cast("int"))
+    shape = shape.withColumn("nv", F.ceil((F.col("v") + F.when(F.col("nb") > 1, F.col("r")).otherwise(0)) / visitors).cast("int")).where("nb > 1 or nv > 1")
+    big: dict = {}
+    for r in shape.select("label", "dims", "cell", "nb", "nv").toLocalIterator():  # fewer than rows / min(block, visitors) cells
+        big.setdefault((r.label, r.dims), {})[r.cell] = (r.nb, max(r.nv, 1))
     large = spark.sparkContext.broadcast(big)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,21 +168,36 @@ def near_duplicates(
                 cls = batch.column("cls").to_numpy()
                 h = mix(cls.view(np.uint64))
                 labels = batch.column("label").to_pylist()
-                out = []  # (row, cell, block, copy, is visitor)
+                # (row, cell, is visitor) with the cell's blocks and copies
+                who, where = np.concatenate([np.arange(len(own)), row]), np.concatenate([own, cell])
+                guest = np.repeat([0, 1], [len(own), len(row)])
+                nb, nv = np.ones((2, len(who)), np.int64)
                 if large.value:
-                    for i in range(len(own)):
-                        nb, nv = large.value.get((labels[i], int(sizes[i]), int(own[i])), (1, 1))
-                        b = int(h[i] % np.uint64(max(nb, 1)))
-                        out.extend((i, own[i], b, c, 0) for c in range(max(nv, 1)))
-                        # residents of a later block of the own cell are met as a visitor of that block
-                        out.extend((i, own[i], later, int(h[i] >> np.uint64(32)) % max(nv, 1), 1) for later in range(b + 1, nb))
-                    for i, c in zip(row.tolist(), cell.tolist()):
-                        nb, nv = large.value.get((labels[i], int(sizes[i]), c), (1, 1))
-                        out.extend((i, c, b, int(h[i] >> np.uint64(32)) % max(nv, 1), 1) for b in range(max(nb, 1)))
-                    rows = np.array(out, np.int64).reshape(-1, 5)
-                else:
-                    zero = np.zeros(len(own) + len(row), np.int64)
-                    rows = np.stack([np.concatenate([np.arange(len(own)), row]), np.concatenate([own, cell]), zero, zero, np.repeat([0, 1], [len(own), len(row)])], axis=1)
+                    for key in {(labels[i], int(sizes[i])) for i in range(len(own))}:
+                        table = large.value.get(key)
+                        if table:
+                            mine = np.flatnonzero(np.array([(labels[i], int(sizes[i])) == key for i in range(len(own))])[who])
+                            cells = np.array(sorted(table))
+                            shapes = np.array([table[c] for c in cells.tolist()])
+                            at = np.minimum(np.searchsorted(cells, where[mine]), len(cells) - 1)
+                            hit = cells[at] == where[mine]
+                            nb[mine[hit]], nv[mine[hit]] = shapes[at[hit], 0], shapes[at[hit], 1]
+                block_of = (h[who] % nb.astype(np.uint64)).astype(np.int64)
+                copy_of = ((h[who] >> np.uint64(32)) % nv.astype(np.uint64)).astype(np.int64)
+                resident = guest == 0
+                # residents: each copy of their block, and as visitors one copy of each later block; visitors: one copy of each block
+                parts = []
+                for pick, times, make in (
+                    (resident, nv, lambda p, k: (block_of[p], k, np.zeros(len(p), np.int64))),
+                    (resident, nb - 1 - block_of, lambda p, k: (block_of[p] + 1 + k, copy_of[p], np.ones(len(p), np.int64))),
+                    (~resident, nb, lambda p, k: (k, copy_of[p], np.ones(len(p), np.int64))),
+                ):
+                    n = np.where(pick, times, 0)
+                    p = np.repeat(np.arange(len(who)), n)
+                    k = np.arange(len(p)) - np.repeat(np.cumsum(n) - n, n)
+                    b, c, g = make(p, k)
+                    parts.append(np.stack([who[p], where[p], b, c, g], axis=1))
+                rows = np.concatenate(parts)
                 order = np.lexsort((rows[:, 4], rows[:, 3], rows[:, 2], rows[:, 1], sizes[rows[:, 0]]))
                 rows = rows[order]
                 take = pa.array(rows[:, 0])
