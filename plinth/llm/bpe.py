@@ -11,7 +11,8 @@ Ranks are read on the driver and broadcast; a vocabulary's size does not grow wi
 a cache of bounded size for each worker.
 
 Defined cases: null and empty texts have no tokens and decode to nothing; repeated rows give repeated results; an empty
-table gives an empty result; columns that clash with the output are replaced. Special tokens are ordinary text.
+table gives an empty result; columns that clash with the output are replaced. Special tokens are ordinary text. A byte that the
+vocabulary has no rank for raises KeyError.
 """
 
 from __future__ import annotations
@@ -122,7 +123,11 @@ class Forest:
         m = len(pieces)
         sizes = np.array([len(p) for p in pieces])
         token = np.full((m, width + 2), -1, np.int64)  # column 0 and the last stand for no neighbour
-        token[:, 1:-1][np.arange(width)[None, :] < sizes[:, None]] = self.bytes[np.frombuffer(b"".join(pieces), np.uint8)]
+        raw = np.frombuffer(b"".join(pieces), np.uint8)
+        own = self.bytes[raw]
+        if (own < 0).any():
+            raise KeyError(bytes([raw[own.argmin()]]))
+        token[:, 1:-1][np.arange(width)[None, :] < sizes[:, None]] = own
         after = np.tile(np.minimum(np.arange(1, width + 3), width + 1), (m, 1))
         before = np.tile(np.maximum(np.arange(-1, width + 1), 0), (m, 1))
         place = np.arange(width)
