@@ -187,22 +187,33 @@ def valid_topic(c: Column, deny_tokens: list[str] = (), deny_prefixes: list[str]
     return ok
 
 
-def strip_wrapping_brackets(c: Column, rounds: int = 4) -> Column:
-    """Matching outer brackets peeled, up to ``rounds`` of them; a numbered head such as (1) stays."""
-    out = F.trim(c)
-    for _ in range(rounds):
-        peeled = F.trim(F.regexp_extract(out, r"(?s)^(?:\((.*)\)|（(.*)）|\[(.*)\]|【(.*)】)$", 0))
-        inner = F.trim(F.substr(peeled, F.lit(2), F.greatest(F.length(peeled) - 2, F.lit(0))))
-        out = F.when((peeled != "") & ~out.rlike(r"^[（(【\[][0-9]+[)）】\]]"), inner).otherwise(out)
-    return out
+@F.pandas_udf(T_.StringType())
+def strip_wrapping_brackets(texts: pd.Series) -> pd.Series:
+    """pandas: matching outer brackets peeled, however many; a numbered head such as (1) stays."""
+
+    def peel(t: str) -> str:
+        pairs, t = {"(": ")", "（": "）", "[": "]", "【": "】"}, t.strip()
+        while len(t) > 1 and pairs.get(t[0]) == t[-1] and not re.match(r"[（(【\[]\d+[)）】\]]", t):
+            t = t[1:-1].strip()
+        return t
+
+    return texts.map(peel, na_action="ignore")
 
 
 def summary_line(text: Column, title: Column, least: int = 12, most: int = 220, metadata: str = r"(?i)^(updated|published|contact|tel|fax)\b") -> Column:
-    """First line of ``least`` characters that is neither the title nor metadata, cut to ``most``; else the first line."""
+    """First line of ``least`` characters that is neither the title nor metadata, cut to ``most``; else the first line.
+
+    Lines and title are worked out once for a text: the inner functions see them as variables.
+    """
     lines = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), squeeze), lambda x: x != "")
-    good = F.filter(lines, lambda x: (F.length(x) >= least) & ~x.eqNullSafe(squeeze(title)) & ~x.rlike(metadata))
-    pick = F.coalesce(F.get(good, F.lit(0)), F.get(lines, F.lit(0)), F.lit(""))
-    return F.when(F.length(pick) > most, F.concat(F.rtrim(F.substring(pick, 1, most)), F.lit("..."))).otherwise(pick)
+
+    def pick(s: Column) -> Column:
+        good = F.filter(s["lines"], lambda x: (F.length(x) >= least) & ~x.eqNullSafe(s["title"]) & ~x.rlike(metadata))
+        return F.coalesce(F.get(good, F.lit(0)), F.get(s["lines"], F.lit(0)), F.lit(""))
+
+    cut = lambda x: F.when(F.length(x) > most, F.concat(F.rtrim(F.substring(x, 1, most)), F.lit("..."))).otherwise(x)
+    once = F.transform(F.array(F.struct(lines.alias("lines"), squeeze(title).alias("title"))), pick)
+    return F.get(F.transform(once, cut), F.lit(0))
 
 
 def budget_amount(text: Column, labels: str, units: str = "円|千円|万円|億円") -> Column:

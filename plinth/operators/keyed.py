@@ -36,8 +36,12 @@ def only_match(df: DataFrame, keys: list[str], target: str) -> DataFrame:
     return n.where(F.col(target) == F.col("__most")).drop("__most")
 
 
-def merge(old: DataFrame, new: DataFrame, keys: list[str], keep: list[str] = ()) -> DataFrame:
-    """Keyed upsert: new rows, with ``keep`` columns taken from the old row where there is one, and old rows without a new one."""
+def merge(old: DataFrame, new: DataFrame, keys: list[str], keep: list[str] = (), order: list[str] | None = None) -> DataFrame:
+    """Keyed upsert: new rows, with ``keep`` columns taken from the old row where there is one, and old rows without a new one.
+
+    Of several new rows of one key the largest by ``order`` (by default all their other columns) counts.
+    """
+    new = latest_per_key(new, keys, order or [c for c in new.columns if c not in keys]).select(*new.columns)
     kept = old.select(*keys, *[F.col(c).alias(f"__old_{c}") for c in keep], F.lit(True).alias("__had"))
     updated = new.join(kept, keys, "left")
     for c in keep:
@@ -65,12 +69,27 @@ def collect_sorted(value: Column, order: Column) -> Column:
     return F.transform(F.array_sort(F.collect_list(F.struct(order.alias("o"), value.alias("v")))), lambda x: x["v"])
 
 
-def apply_alias(df: DataFrame, aliases: DataFrame, column: str, rounds: int = 3) -> DataFrame:
-    """Values replaced by what they were merged into; ``aliases`` is (old, new), chains are followed ``rounds`` times."""
-    for _ in range(rounds):
-        a = aliases.select(F.col("old").alias(column), F.col("new").alias("__new"))
-        df = df.join(a, column, "left").withColumn(column, F.coalesce("__new", column)).drop("__new").select(*df.columns)
-    return df
+def alias_roots(aliases: DataFrame) -> DataFrame:
+    """(old, new): what each merged value ends at. Chains are followed to their end by doubling; values of a cycle, and those that
+    lead to one, end at the cycle's least value. Of several targets of one value the least counts."""
+    step = aliases.where("old <> new").groupBy("old").agg(F.min("new").alias("new"))
+    step = step.withColumn("least", F.least("old", "new"))
+    reach, many = 1, step.count()
+    while True:
+        after = step.select(F.col("old").alias("new"), F.col("new").alias("__next"), F.col("least").alias("__least"))
+        open_ = step.join(after, "new", "left")
+        if reach > many or open_.where("__next is not null").isEmpty():
+            break
+        step = open_.select("old", F.coalesce("__next", "new").alias("new"), F.least("least", F.coalesce("__least", "least")).alias("least"))
+        reach *= 2
+    # a target that is still merged itself stands on a cycle, and after so many steps its least value is the cycle's
+    return open_.select("old", F.coalesce("__least", "new").alias("new")).where("old <> new")
+
+
+def apply_alias(df: DataFrame, aliases: DataFrame, column: str) -> DataFrame:
+    """Values replaced by what they were merged into; ``aliases`` is (old, new), see ``alias_roots``."""
+    a = alias_roots(aliases).select(F.col("old").alias(column), F.col("new").alias("__new"))
+    return df.join(a, column, "left").withColumn(column, F.coalesce("__new", column)).select(*df.columns)
 
 
 def distinct_key(df: DataFrame, key: str, order: list[str], out: str) -> DataFrame:

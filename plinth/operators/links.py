@@ -1,6 +1,7 @@
 """Joins that are not plain equality: prefixes, contained names, near dates, shared contacts, fuzzy titles.
 
-Each has a blocking key that turns it into an equality join with a residual condition; none is a nested loop.
+Each has a blocking key that turns it into an equality join with a residual condition; none is a nested loop, and a key that
+very many rows share gives members of a class rather than all their pairs.
 """
 
 from __future__ import annotations
@@ -36,6 +37,16 @@ def contact_pairs(left: DataFrame, right: DataFrame, columns: list[tuple[str, st
     return out.distinct()
 
 
+def contact_classes(df: DataFrame, id_col: str, contact: str) -> DataFrame:
+    """(id, contact, first_id, members) of rows with a non-blank contact: the smallest id that has it and how many do.
+
+    Rows of one contact share first_id, so no pairs are written however many there are.
+    """
+    own = df.where(~T.blank(F.col(contact))).select(id_col, contact).distinct()
+    classes = own.groupBy(contact).agg(F.min(id_col).alias("first_id"), F.count("*").alias("members"))
+    return own.join(classes, contact)
+
+
 def near_days(left: DataFrame, right: DataFrame, keys: list[str], a: str, b: str, days: int) -> DataFrame:
     """Pairs with equal keys whose dates are at most ``days`` apart; ``gap_days`` is b - a.
 
@@ -48,38 +59,103 @@ def near_days(left: DataFrame, right: DataFrame, keys: list[str], a: str, b: str
     return l.join(r, [*keys, "__bucket"]).withColumn("gap_days", gap).where(F.abs("gap_days") <= days).drop("__bucket")
 
 
-def year_window(left: DataFrame, right: DataFrame, left_year: str, right_year: str, tolerance: int = 1) -> DataFrame:
-    """Pairs whose years differ by ``tolerance`` at most, and those of right rows without a year (0)."""
-    l = left.withColumn("__year", F.explode(F.array_union(F.array(F.lit(0)), F.sequence(F.col(left_year) - tolerance, F.col(left_year) + tolerance))))
-    return l.join(right.withColumn("__year", F.col(right_year)), "__year").drop("__year")
+def year_window(left: DataFrame, right: DataFrame, left_year: str, right_year: str, tolerance: int = 1, salts: int = 32) -> DataFrame:
+    """Pairs whose years differ by ``tolerance`` at most, and those of right rows without a year (0).
+
+    Every left row meets the right rows without a year: these are repeated for each salt, and a left row has one salt.
+    """
+    salt = F.pmod(F.xxhash64(*left.columns), F.lit(salts)).cast("int")
+    years = F.sequence(F.col(left_year) - tolerance, F.col(left_year) + tolerance)
+    keys = F.concat(F.array(F.struct(F.lit(0).alias("y"), salt.alias("s"))), F.transform(F.filter(years, lambda y: y != 0), lambda y: F.struct(y.cast("int").alias("y"), F.lit(0).alias("s"))))
+    l = left.withColumn("__k", F.explode(keys))
+    every = F.when(F.col(right_year) == 0, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    r = right.withColumn("__s", F.explode(every)).withColumn("__k", F.struct(F.col(right_year).cast("int").alias("y"), F.col("__s").alias("s"))).drop("__s")
+    return l.join(r, "__k").drop("__k")
+
+
+def active_at(rows: DataFrame, slots: DataFrame, keys: list[str], day: str, start: str, end: str) -> DataFrame:
+    """rows x slots of equal keys whose interval [start, end] holds the row's day (dates; a null start or end is open).
+
+    A slot is listed under each year it touches; open ends go to the years that rows have, so the join is an equality join on
+    keys and year with the interval as residual.
+    """
+    span = rows.agg(F.min(F.year(day)).alias("__first"), F.max(F.year(day)).alias("__last"))
+    bounds = slots.join(F.broadcast(span))  # one row
+    low, high = F.greatest(F.coalesce(F.year(start), "__first"), "__first"), F.least(F.coalesce(F.year(end), "__last"), "__last")
+    listed = bounds.where(low <= high).withColumn("__year", F.explode(F.sequence(low, high))).drop("__first", "__last")
+    hit = rows.withColumn("__year", F.year(day)).join(listed, [*keys, "__year"])
+    return hit.where((F.col(start).isNull() | (F.col(start) <= F.col(day))) & (F.col(end).isNull() | (F.col(end) >= F.col(day)))).drop("__year")
+
+
+def _grams(c: Column, sizes: tuple[int, ...] = (1, 2, 3)) -> Column:
+    """The distinct substrings of some lengths."""
+
+    def of(n: int) -> Column:
+        return F.when(F.length(c) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - n + 1, F.lit(1))), lambda i: F.substr(c, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+
+    return F.array_distinct(F.concat(*map(of, sizes)))
+
+
+def contained_names(names: DataFrame, aliases: DataFrame, name: str, alias: str) -> DataFrame:
+    """Pairs (name, alias) of distinct names and rows of aliases where one text holds the other.
+
+    A text that holds another has its first three characters (or all of a shorter one), so pairs meet by equality on these.
+    """
+    head = lambda c: F.substring(c, 1, 3)
+    n, a = names.where(F.length(name) > 0), aliases.where(F.length(alias) > 0)
+    inside = n.withColumn("__k", F.explode(_grams(F.col(name)))).join(a.withColumn("__k", head(alias)), "__k").where(F.col(name).contains(F.col(alias)))
+    around = n.withColumn("__k", head(name)).join(a.withColumn("__k", F.explode(_grams(F.col(alias)))), "__k").where(F.col(alias).contains(F.col(name)) & (F.length(alias) > F.length(name)))
+    return inside.unionByName(around).drop("__k")
 
 
 def best_reference(rows: DataFrame, aliases: DataFrame, name: str, alias: str, score: Column, order: list[Column]) -> DataFrame:
-    """rows with the best alias by (score, order): the reference list is broadcast only while Spark sees that it is small.
+    """rows with the best alias by (score, order), null columns without one; ``score`` is null where an alias does not match.
 
-    ``score`` is null where an alias does not match. Names are matched once each and joined back, so the pair count is
-    distinct names x aliases; both sides are reference data.
+    Names are matched once each, by blocks of their characters (``contained_names``), and joined back.
     """
-    names = rows.select(name).distinct()
-    hit = names.join(aliases, F.col(name).contains(F.col(alias)) | F.col(alias).contains(F.col(name)), "inner").withColumn("__score", score).where("__score is not null")
+    hit = contained_names(rows.select(name).distinct(), aliases, name, alias).withColumn("__score", score).where("__score is not null")
     own = [c for c in aliases.columns]
     best = hit.groupBy(name).agg(F.max_by(F.struct(*own), F.struct("__score", *order)).alias("__best"))
     return rows.join(best.select(name, *[F.col(f"__best.`{c}`").alias(c) for c in own]), name, "left")
 
 
+def contained_phrases(texts: DataFrame, phrases: DataFrame, text_id: str, text: str, phrase_id: str, phrase: str) -> DataFrame:
+    """(text_id, phrase_id) of phrases that a text holds anywhere, also inside words.
+
+    A phrase's key is its longest inner word, which stands whole in any text that holds the phrase. A phrase without inner
+    words is keyed by the first three characters of its longest word, which stand inside one of the text's words. Only the
+    texts' distinct words, or their grams where such phrases exist, are exploded, and each candidate is verified.
+    """
+    p = phrases.select(phrase_id, phrase).where(F.length(phrase) > 0)
+    parts = F.split(phrase, r"\s")
+    inner = F.filter(F.slice(parts, 2, F.greatest(F.size(parts) - 2, F.lit(0))), lambda x: x != "")
+    longest = lambda words: F.get(F.transform(F.array_sort(F.transform(words, lambda x: F.struct((-F.length(x)).alias("n"), x.alias("w")))), lambda x: x["w"]), F.lit(0))
+    whole = p.where(F.size(inner) > 0).withColumn("__k", longest(inner))
+    solid = F.filter(parts, lambda x: x != "")
+    short = p.where((F.size(inner) == 0) & (F.size(solid) > 0)).withColumn("__k", F.substring(longest(solid), 1, 3))
+    blank = p.where(F.size(solid) == 0).withColumn("__k", F.lit(" "))
+    words = texts.select(text_id, F.explode(F.array_distinct(F.split(text, r"\s"))).alias("__w")).where("__w <> ''")
+    grams = words.select(text_id, F.explode(_grams(F.col("__w"))).alias("__k")).distinct()
+    spaced = texts.where(F.col(text).rlike(r"\s")).select(text_id, F.lit(" ").alias("__k"))
+    hit = words.withColumnRenamed("__w", "__k").join(whole, "__k").unionByName(grams.join(short, "__k")).unionByName(spaced.join(blank, "__k"))
+    found = hit.select(text_id, phrase_id).distinct()
+    return texts.select(text_id, text).join(found, text_id).join(p, phrase_id).where(F.col(text).contains(F.col(phrase))).select(text_id, phrase_id)
+
+
 def related_title_pairs(df: DataFrame, id_col: str, key: str, least: int = 10, ratio: float = 0.75) -> DataFrame:
-    """(a, b), a < b, of rows with equal keys or with a key inside the other (see ``related_titles``).
+    """(a, b, kind) that link rows with equal keys or with a key inside the other (see ``related_titles``).
 
-    Rows are reduced to distinct keys. Candidates share one of the shorter key's blocks: the shorter key of length n is cut
-    into aligned pieces of ``piece`` characters, the longer gives every piece it has; a contained key has its first piece
-    inside the longer key. Equal keys pair by the key itself.
+    Rows are reduced to distinct keys, each with its smallest id. ``same`` rows tie every other row of a key to that id, and
+    ``near`` rows tie the smallest ids of two keys, a < b; so a key that very many rows have gives as many rows and not all
+    their pairs. Candidates share one of the shorter key's blocks: the longer key gives every piece of ``least`` characters
+    that it has, and a contained key has its first piece among them.
     """
-    piece = least
-    keys = df.where(F.length(key) > 0).select(key).distinct()
-    first = keys.where(F.length(key) >= least).select(F.col(key).alias("short"), F.substring(key, 1, piece).alias("piece"))
-    every = keys.where(F.length(key) >= least).select(F.col(key).alias("long"), F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(key) - piece + 1), lambda i: F.substr(F.col(key), i, F.lit(piece))))).alias("piece"))
-    near = first.join(every, "piece").where((F.length("short") < F.length("long")) & F.col("long").contains(F.col("short")) & (F.length("short") >= ratio * F.length("long"))).select("short", "long").distinct()
-    own = df.select(F.col(id_col).alias("i"), F.col(key).alias("k"))
-    equal = own.alias("x").join(own.alias("y"), F.col("x.k") == F.col("y.k")).where("x.i < y.i and length(x.k) > 0").select(F.col("x.i").alias("a"), F.col("y.i").alias("b"))
-    crossed = near.join(own.withColumnsRenamed({"i": "si", "k": "short"}), "short").join(own.withColumnsRenamed({"i": "li", "k": "long"}), "long").select(F.least("si", "li").alias("a"), F.greatest("si", "li").alias("b"))
-    return equal.unionAll(crossed).distinct()
+    own = df.select(F.col(id_col).alias("i"), F.col(key).alias("k")).where(F.length("k") > 0)
+    keys = own.groupBy("k").agg(F.min("i").alias("rep"))
+    first = keys.where(F.length("k") >= least).select(F.col("k").alias("short"), F.col("rep").alias("x"), F.substring("k", 1, least).alias("piece"))
+    pieces = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("k") - least + 1), lambda i: F.substr(F.col("k"), i, F.lit(least))))
+    every = keys.where(F.length("k") >= least).select(F.col("k").alias("long"), F.col("rep").alias("y"), F.explode(pieces).alias("piece"))
+    near = first.join(every, "piece").where((F.length("short") < F.length("long")) & F.col("long").contains(F.col("short")) & (F.length("short") >= ratio * F.length("long")))
+    near = near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.lit("near").alias("kind")).distinct()
+    same = own.join(keys, "k").where("i <> rep").select(F.col("rep").alias("a"), F.col("i").alias("b"), F.lit("same").alias("kind"))
+    return same.unionByName(near)

@@ -92,14 +92,48 @@ def build_slots(events: DataFrame) -> DataFrame:
     """Slots of events (party, effective, event_id, from_unit, to_unit, title, full_name, confidence), all text but the last two.
 
     Events run in (effective or source date, event id) order per party; undated events come first and open slots without a
-    start. One party's events are one group: a career, not a hot key.
+    start. A party whose events each leave the unit of the event before has at most one open slot, and its slots are the runs of
+    one unit: these are windows and aggregates. Other parties go through the state machine, one ordered fold each.
     """
+    key = F.coalesce("effective", F.lit(""))
+    w = W.partitionBy("party").orderBy(key, "event_id")
+    to, origin, before = F.coalesce("to_unit", F.lit("")), F.coalesce("from_unit", F.lit("")), F.lag(F.coalesce("to_unit", F.lit(""))).over(w)
+    rows = events.withColumns({"__to": to, "__before": before, "__day": key})
+    moves = F.col("__before").isNull() | ((origin == F.col("__before")) & ((F.col("__to") == F.col("__before")) | ~(F.col("__to").contains(F.col("__before")) | F.col("__before").contains(F.col("__to")))))
+    rows = rows.withColumn("__chain", F.min(moves & (F.col("__to") != "")).over(W.partitionBy("party")))
+    return _chained(rows.where("__chain"), w).unionByName(_folded(rows.where("not __chain").select(*events.columns)))
+
+
+def _chained(rows: DataFrame, w: W) -> DataFrame:
+    """Slots as runs of one unit."""
+    start = F.col("__before").isNull() | (F.col("__before") != F.col("__to"))
+    full = F.first("full_name").over(w)
+    own = F.coalesce("confidence", F.when(start, F.when(full, 0.82).otherwise(0.68)).otherwise(0.72))
+    runs = rows.withColumns({"slot": F.sum(start.cast("int")).over(w) - 1, "__own": own, "__order": F.row_number().over(w)}).groupBy("party", "slot").agg(
+        F.min_by("__to", "__order").alias("unit"),
+        F.max_by("title", F.when(F.coalesce("title", F.lit("")) != "", F.col("__order"))).alias("title"),
+        F.min_by("__day", "__order").alias("active_from"),
+        F.max("__own").alias("confidence"),
+        F.count("*").cast("int").alias("events"),
+    )
+    after = F.lead("active_from").over(W.partitionBy("party").orderBy("slot"))
+    day = F.try_to_date(F.substring(after, 1, 10), "yyyy-MM-dd")
+    end = F.when(after.isNull() | (after == ""), "").otherwise(F.coalesce(F.date_format(F.date_sub(day, 1), "yyyy-MM-dd"), after))
+    number = F.col("slot").cast("int")
+    return runs.select(
+        "party", number.alias("slot"), "unit", F.coalesce("title", F.lit("")).alias("title"), "active_from", end.alias("active_to"), "confidence", F.when(number > 0, number - 1).alias("previous_slot"), F.when(after.isNotNull(), number + 1).alias("next_slot"), "events"
+    )
+
+
+def _folded(events: DataFrame) -> DataFrame:
+    """Slots by the state machine."""
 
     def fold(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.assign(k=rows.effective.fillna("")).sort_values(["k", "event_id"], kind="stable")
         state = SlotFold(bool(rows.full_name.iloc[0]))
-        for r in rows.itertuples():
-            state.step(r.effective or "", r.from_unit or "", r.to_unit or "", r.title or "", None if pd.isna(r.confidence) else float(r.confidence))
+        fields = [rows[c].fillna("").tolist() for c in ("effective", "from_unit", "to_unit", "title")]
+        for day, origin, to, title, c in zip(*fields, rows.confidence.astype(float).tolist()):
+            state.step(day, origin, to, title, None if c != c else c)
         party = rows.party.iloc[0]
         return pd.DataFrame([(party, s.number, s.unit, s.title, s.start, s.end, s.confidence, s.previous, s.next, s.events) for s in state.slots], columns=[c.split()[0] for c in SLOT_SCHEMA.split(", ")]).astype({"previous_slot": "Int32", "next_slot": "Int32"})
 

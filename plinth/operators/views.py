@@ -124,7 +124,7 @@ def party_detail(a: Archive, party_key: str) -> dict[str, DataFrame]:
     linked = a.linked()
     own = linked.join(pid, "party_id", "left_semi").join(a.live_records(), "record_id")
     moves = a.transfers.join(a.transfer_links.where(F.col("link_status").isin(LINKED)).join(pid, "party_id", "left_semi").select("event_id"), "event_id", "left_semi")
-    near = related_parties(linked, "party_id", "record_id", "unit_id").join(pid, "party_id", "left_semi")
+    near = related_parties(linked, "party_id", "record_id", "unit_id", only=pid)
     return {"party": who, "records": own.orderBy(F.desc("observed_at"), F.desc("record_id")), "units": own.groupBy("unit_raw").agg(F.min("observed_at").alias("first_seen"), F.max("observed_at").alias("last_seen"), F.count_distinct("record_id").alias("records")), "transfers": moves.orderBy("effective", "event_id"), "related": near, "topics": a.rollups.join(pid, "party_id", "left_semi").orderBy(F.desc("spotlight")), "notes": a.notes.join(pid, "party_id", "left_semi").orderBy(F.desc("created_at"))}
 
 

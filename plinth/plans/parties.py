@@ -119,7 +119,7 @@ def transfer_decision(t: Tables) -> DataFrame:
 @query(
     f"""
     WITH s AS (SELECT l_partkey AS mention_id, mention_id AS party_id, CAST(least({_IDENTITY}, 0.98) AS DOUBLE) AS score, contact, l_linenumber AS record_count,
-      CASE WHEN l_partkey % 3 = 0 THEN 'full_name' WHEN l_partkey % 3 = 1 THEN 'surname_only' ELSE 'unknown' END AS quality FROM ({_sql_flags(_FLAGS)}) WHERE l_partkey % 5 > 0 OR l_suppkey % 40 = 0),
+      CASE WHEN l_partkey % 3 = 0 THEN 'full_name' WHEN l_partkey % 3 = 1 THEN 'surname_only' ELSE 'unknown' END AS quality FROM ({_sql_flags(_FLAGS)})),
     r AS (SELECT *, row_number() OVER w AS k, round(score - lead(score) OVER w, 4) AS gap, count(*) OVER (PARTITION BY mention_id) AS n FROM s WINDOW w AS (PARTITION BY mention_id ORDER BY score DESC, contact DESC, record_count DESC, party_id)),
     d AS (SELECT *, CASE WHEN n = 1 AND quality = 'full_name' AND score >= 0.90 THEN 1 WHEN n = 1 AND contact AND score >= 0.80 THEN 2 WHEN n = 1 THEN 3 WHEN contact AND gap >= 0.12 THEN 4 ELSE 5 END AS rule FROM r WHERE k = 1)
     SELECT mention_id, CASE WHEN rule <= 4 THEN party_id END AS party_id, CASE WHEN rule <= 2 THEN 'auto_matched' ELSE 'review_pending' END AS link_status,
@@ -128,7 +128,7 @@ def transfer_decision(t: Tables) -> DataFrame:
     """
 )
 def identity_decision(t: Tables) -> DataFrame:
-    e = evidence(t, _FLAGS).where("l_partkey % 5 > 0 or l_suppkey % 40 = 0")
+    e = evidence(t, _FLAGS)
     quality = F.when(F.col("l_partkey") % 3 == 0, "full_name").when(F.col("l_partkey") % 3 == 1, "surname_only").otherwise("unknown")
     scored = e.select(F.col("l_partkey").alias("mention_id"), F.col("mention_id").alias("party_id"), scores.identity_score({n: F.col(n) for n in _FLAGS}, F.col("l_linenumber")).alias("score"), "contact", F.col("l_linenumber").alias("record_count"), quality.alias("quality"), F.lit(0.4).alias("source_confidence"))
     return resolution.decide_mentions(scored)
@@ -189,14 +189,14 @@ def fallback_mentions(t: Tables) -> DataFrame:
 
 @query(
     """
-    WITH o AS (SELECT o_orderkey AS record, year(o_orderdate) AS y FROM orders), p AS (SELECT DISTINCT p_brand AS topic, CAST(1992 + (p_size % 8) AS BIGINT) * (p_size % 3 > 0)::INT AS topic_year FROM part WHERE p_size <= 12)
+    WITH o AS (SELECT o_orderkey AS record, year(o_orderdate) AS y FROM orders), p AS (SELECT DISTINCT p_brand AS topic, CAST(1992 + (p_size % 8) AS BIGINT) * (p_size % 3 > 0)::INT AS topic_year FROM part)
     SELECT topic, topic_year, count(*) AS records FROM o JOIN p ON topic_year = 0 OR abs(y - topic_year) <= 1 GROUP BY ALL
     """
 )
 def year_window_topics(t: Tables) -> DataFrame:
     """Topics of a year meet records of that year and its neighbours, topics without a year meet all; counted before the join."""
     years = t.orders.groupBy(F.year("o_orderdate").alias("y")).agg(F.count("*").alias("n"))
-    p = t.part.where("p_size <= 12").select(F.col("p_brand").alias("topic"), F.when(F.col("p_size") % 3 > 0, 1992 + F.col("p_size") % 8).otherwise(0).cast("long").alias("topic_year")).distinct()
+    p = t.part.select(F.col("p_brand").alias("topic"), F.when(F.col("p_size") % 3 > 0, 1992 + F.col("p_size") % 8).otherwise(0).cast("long").alias("topic_year")).distinct()
     return links.year_window(years, p, "y", "topic_year").groupBy("topic", "topic_year").agg(F.sum("n").alias("records"))
 
 

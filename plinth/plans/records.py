@@ -253,7 +253,7 @@ def cluster_sizes(t: Tables) -> DataFrame:
 
 @query(
     """
-    WITH l AS (SELECT DISTINCT o_custkey AS party, o_orderkey AS record, l_suppkey AS unit FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_quantity >= 49),
+    WITH l AS (SELECT DISTINCT o_custkey AS party, o_orderkey AS record, l_suppkey AS unit FROM orders JOIN lineitem ON l_orderkey = o_orderkey),
     r AS (SELECT x.party, y.party AS other, count(*) AS n FROM (SELECT DISTINCT party, record FROM l) x JOIN (SELECT DISTINCT party, record FROM l) y ON x.record = y.record AND x.party <> y.party GROUP BY ALL),
     u AS (SELECT x.party, y.party AS other, count(*) AS n FROM (SELECT DISTINCT party, unit FROM l) x JOIN (SELECT DISTINCT party, unit FROM l) y ON x.unit = y.unit AND x.party <> y.party GROUP BY ALL),
     b AS (SELECT coalesce(r.party, u.party) AS party, coalesce(r.other, u.other) AS other, coalesce(r.n, 0) AS shared_records, coalesce(u.n, 0) AS shared_units FROM r FULL JOIN u ON r.party = u.party AND r.other = u.other)
@@ -261,18 +261,8 @@ def cluster_sizes(t: Tables) -> DataFrame:
     """
 )
 def related_parties(t: Tables) -> DataFrame:
-    """Over the lines of a quantity of 49 or more only, as its SQL says; ``related_parties_all`` has every line."""
-    return _related(t, t.lineitem.where("l_quantity >= 49"))
-
-
-@query()
-def related_parties_all(t: Tables) -> DataFrame:
-    """Over every line. No SQL: tests compare it with brute force."""
-    return _related(t, t.lineitem)
-
-
-def _related(t: Tables, lines: DataFrame) -> DataFrame:
-    links = lines.select("l_orderkey", "l_suppkey").join(t.orders.select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    """Customers that share orders or suppliers, over every line."""
+    links = t.lineitem.select("l_orderkey", "l_suppkey").join(t.orders.select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
     return graph.related_parties(links.select(F.col("o_custkey").alias("party"), F.col("o_orderkey").alias("record"), F.col("l_suppkey").alias("unit")), "party", "record", "unit")
 
 
@@ -323,7 +313,7 @@ def expired_filter(t: Tables) -> DataFrame:
 
 @query(
     """
-    WITH o AS (SELECT o_orderkey AS id, o_orderstatus AS status FROM orders), n AS (SELECT o_orderkey AS id, 'new' AS status FROM orders WHERE o_orderkey % 3 = 0 UNION ALL SELECT -o_orderkey, 'new' FROM orders WHERE o_orderkey % 100 = 0)
+    WITH o AS (SELECT o_orderkey AS id, o_orderstatus AS status FROM orders), n AS (SELECT o_orderkey AS id, 'new' AS status FROM orders WHERE o_orderkey % 3 = 0 UNION SELECT -o_orderkey, 'new' FROM orders WHERE o_orderkey % 100 = 0)
     SELECT n.id, coalesce(o.status, n.status) AS status FROM n LEFT JOIN o ON n.id = o.id UNION ALL SELECT id, status FROM o WHERE id NOT IN (SELECT id FROM n)
     """
 )
@@ -335,12 +325,12 @@ def record_upsert(t: Tables) -> DataFrame:
     return keyed.merge(old, new, ["id"], ["status"])
 
 
-@query("SELECT c_custkey, CASE WHEN c_custkey % 10 = 0 THEN CAST(c_custkey / 10 AS BIGINT) ELSE c_custkey END AS party FROM customer")
+@query("SELECT c_custkey, CASE WHEN c_custkey = 0 THEN 0 ELSE CAST(regexp_replace(CAST(c_custkey AS VARCHAR), '0+$', '') AS BIGINT) END AS party FROM customer")
 def merged_parties(t: Tables) -> DataFrame:
-    """Parties after a merge of every tenth into another: an alias map, followed through chains once."""
+    """Parties after a merge of every tenth into another: an alias map whose chains (100 to 10 to 1) are followed to their end."""
     c = t.customer.select("c_custkey", F.col("c_custkey").alias("party"))
     aliases = t.customer.where("c_custkey % 10 = 0").select(F.col("c_custkey").alias("old"), F.expr("c_custkey div 10").alias("new"))
-    return keyed.apply_alias(c, aliases, "party", rounds=1)
+    return keyed.apply_alias(c, aliases, "party")
 
 
 @query(

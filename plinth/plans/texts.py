@@ -23,13 +23,12 @@ def contact_extract(t: Tables) -> DataFrame:
     return d.select("doc_id", T.email_key(T.first_email(F.col("text"))).alias("email"), T.first_phone(F.col("text")).alias("phone"))
 
 
-@query(rf"WITH e AS (SELECT doc_id, CASE WHEN regexp_matches(text, '{_EMAIL}') THEN lang || split_part(lower(regexp_extract(text, '{_EMAIL}')), '@', 2) ELSE '' END AS email FROM documents) SELECT a.doc_id AS left_id, b.doc_id AS right_id FROM e a JOIN e b ON a.email = b.email AND a.email <> '' AND a.doc_id < b.doc_id")
+@query(rf"WITH e AS (SELECT doc_id, lang || split_part(lower(regexp_extract(text, '{_EMAIL}')), '@', 2) AS contact FROM documents WHERE regexp_matches(text, '{_EMAIL}')) SELECT doc_id, contact, min(doc_id) OVER (PARTITION BY contact) AS first_id, count(*) OVER (PARTITION BY contact) AS members FROM e")
 def shared_contacts(t: Tables) -> DataFrame:
-    """Documents of one language with one mail domain."""
+    """Documents of one language with one mail domain, as classes."""
     domain = F.element_at(F.split(T.email_key(T.first_email(F.col("text"))), "@"), 2)
-    e = t.documents.where(F.col("text").rlike(_EMAIL)).select("doc_id", F.concat("lang", domain).alias("email"))
-    a, b = e.select(F.col("doc_id").alias("left_id"), F.col("email").alias("a")), e.select(F.col("doc_id").alias("right_id"), F.col("email").alias("b"))
-    return links.contact_pairs(a, b, [("a", "b")]).where("left_id < right_id").select("left_id", "right_id").distinct()
+    e = t.documents.where(F.col("text").rlike(_EMAIL)).select("doc_id", F.concat("lang", domain).alias("contact"))
+    return links.contact_classes(e, "doc_id", "contact").select("doc_id", "contact", "first_id", "members")
 
 
 @query(
@@ -66,9 +65,9 @@ def prefix_candidates(t: Tables) -> DataFrame:
 
 @query(
     r"""
-    WITH k AS (SELECT doc_id, regexp_replace(lower(split_part(text, chr(10), 1)), '[^a-z]+', '', 'g') AS k FROM documents)
-    SELECT a.doc_id AS a, b.doc_id AS b FROM k a JOIN k b ON a.doc_id < b.doc_id AND a.k <> '' AND b.k <> ''
-    AND (a.k = b.k OR (least(length(a.k), length(b.k)) >= 10 AND least(length(a.k), length(b.k)) >= 0.75 * greatest(length(a.k), length(b.k)) AND (contains(a.k, b.k) OR contains(b.k, a.k))))
+    WITH k AS (SELECT doc_id, regexp_replace(lower(split_part(text, chr(10), 1)), '[^a-z]+', '', 'g') AS k FROM documents), r AS (SELECT k, min(doc_id) AS rep FROM k WHERE k <> '' GROUP BY k)
+    SELECT rep AS a, doc_id AS b, 'same' AS kind FROM k JOIN r USING (k) WHERE doc_id <> rep
+    UNION ALL SELECT least(x.rep, y.rep), greatest(x.rep, y.rep), 'near' FROM r x JOIN r y ON length(x.k) < length(y.k) AND length(x.k) >= 10 AND length(x.k) >= 0.75 * length(y.k) AND contains(y.k, x.k)
     """
 )
 def fuzzy_title_pairs(t: Tables) -> DataFrame:
@@ -190,17 +189,9 @@ def latest_link_choice(t: Tables) -> DataFrame:
     """
 )
 def declared_topic_links(t: Tables) -> DataFrame:
-    """Declared phrases contained in texts: candidates share a block of the phrase, so no pair without it is looked at.
-
-    A phrase's key is its rarest word of 5 letters or more; a text gives each of its words once.
-    """
-    words = lambda c: F.array_distinct(F.split(c, r"\s+"))
-    b = t.benchmark.select("item_id", F.col("text").alias("phrase"))
-    inner = b.select("item_id", "phrase", F.explode(F.filter(F.slice(F.split("phrase", " "), 2, F.greatest(F.size(F.split("phrase", " ")) - 2, F.lit(1))), lambda x: (x != "") & ~x.rlike(r"\s"))).alias("w"))
-    best = inner.groupBy("item_id").agg(F.max_by(F.struct("phrase", "w"), F.struct(F.length("w"), "w")).alias("k")).select("item_id", "k.phrase", "k.w")
-    d = t.documents.select("doc_id", "text")
-    hit = d.select("doc_id", F.explode(words(F.col("text"))).alias("w")).join(best.select("item_id", "w"), "w").select("doc_id", "item_id").distinct()
-    return d.join(hit, "doc_id").join(best.select("item_id", "phrase"), "item_id").where(F.col("text").contains(F.col("phrase"))).select("doc_id", "item_id")
+    """Declared phrases contained in texts, by blocks of their words."""
+    phrases = t.benchmark.select("item_id", F.col("text").alias("phrase"))
+    return links.contained_phrases(t.documents.select("doc_id", "text"), phrases, "doc_id", "text", "item_id", "phrase")
 
 
 @query()

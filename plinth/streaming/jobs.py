@@ -30,14 +30,18 @@ def first_seen(links: DataFrame, at: str, key: str, late: str = "1 day") -> Data
 
 
 def upsert_sink(path: str, keys: list[str], keep: list[str] = ()):
-    """foreachBatch function: a keyed upsert into versions of a Parquet table; replaying a batch writes the same version."""
+    """foreachBatch function: a keyed upsert into versions of a Parquet table, each made from the newest one before it, so numbers
+    may be skipped; replaying a batch writes the same version. A version is the whole table: for tables that are small
+    beside their stream."""
 
     def run(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        before = f"{path}/v{number - 1}"
-        if number > 0:
-            batch = merge(spark.read.parquet(before), batch, keys, list(keep))
-        batch.write.mode("overwrite").parquet(f"{path}/v{number}")
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        names = [f.getPath().getName() for f in fs.listStatus(folder)] if fs.exists(folder) else []
+        before = [n for n in (int(x[1:]) for x in names if x[1:].isdigit()) if n < number and fs.exists(folder.suffix(f"/v{n}/_SUCCESS"))]
+        old = spark.read.parquet(f"{path}/v{max(before)}") if before else batch.limit(0)
+        merge(old, batch, keys, list(keep)).write.mode("overwrite").parquet(f"{path}/v{number}")
 
     return run
 

@@ -79,6 +79,61 @@ def test_merge_and_alias(spark):
     assert rows(keyed.distinct_key(spark.createDataFrame([("k", 1), ("k", 2), ("z", 3)], "k string, n int"), "k", ["n"], "key"), "key") == [("k",), ("k-2",), ("z",)]
 
 
+def test_alias_chains_and_cycles(spark):
+    """A chain of any length ends at its last value, a cycle and what leads to it at the cycle's least value."""
+    chain = [(i, i + 1) for i in range(1, 41)]
+    a = spark.createDataFrame([*chain, (60, 62), (62, 61), (61, 60), (59, 62), (70, 70)], "old int, new int")
+    got = dict(rows(keyed.alias_roots(a)))
+    assert got == {i: 41 for i in range(1, 41)} | {62: 60, 61: 60, 59: 60}
+    assert rows(keyed.apply_alias(spark.createDataFrame([(3,), (70,), (None,)], "p int").na.drop(), a, "p")) == [(41,), (70,)]
+    assert keyed.alias_roots(a.limit(0)).count() == 0
+
+
+def test_merge_takes_one_row_a_key(spark):
+    old = spark.createDataFrame([(1, "a", 0)], "id int, title string, n int")
+    new = spark.createDataFrame([(1, "x", 1), (1, "b", 2), (2, "c", 1), (2, "c", 1)], "id int, title string, n int")
+    assert rows(keyed.merge(old, new, ["id"], order=["n"])) == [(1, "b", 2), (2, "c", 1)]
+
+
+def test_contained_phrases(spark):
+    texts = spark.createDataFrame([(1, "abc foo bar foobar"), (2, "nothing"), (3, None)], "d int, t string")
+    phrases = ["foo", "c foo", "foo b", "bc foo b", "foo bar f", "bar bar", "x", " ", "", None]
+    p = spark.createDataFrame(list(enumerate(phrases)), "i int, p string")
+    want = [(d, i) for d, t in [(1, "abc foo bar foobar"), (2, "nothing")] for i, x in enumerate(phrases) if x and x in t]
+    assert rows(links.contained_phrases(texts, p, "d", "t", "i", "p")) == want
+    assert {i for _, i in want} >= {0, 1, 2, 3, 4}
+
+
+def test_contained_names(spark):
+    names = ["総務部財政課", "財政", "課", "ab", "部"]
+    aliases = ["財政課", "財", "総務部財政課", "xaby", "z", ""]
+    n, a = spark.createDataFrame([(x,) for x in names], "n string"), spark.createDataFrame([(x,) for x in aliases], "a string")
+    assert rows(links.contained_names(n, a, "n", "a")) == sorted((x, y) for x in names for y in aliases if y and (x in y or y in x))
+
+
+def test_active_at(spark):
+    day = lambda y, m, d: dt.date(y, m, d)
+    r = spark.createDataFrame([(1, "k", day(2020, 5, 1)), (2, "k", day(2023, 1, 1)), (3, "z", day(2020, 5, 1))], "i int, k string, day date")
+    s = spark.createDataFrame([("k", "open", None, None), ("k", "to", None, day(2020, 5, 1)), ("k", "from", day(2020, 5, 2), None), ("k", "in", day(2019, 1, 1), day(2021, 1, 1)), ("y", "other", None, None)], "k string, s string, a date, b date")
+    got = rows(links.active_at(r, s, ["k"], "day", "a", "b").select("i", "s"))
+    assert got == [(1, "in"), (1, "open"), (1, "to"), (2, "from"), (2, "open")]
+
+
+def test_slots_without_the_fold(spark):
+    """Parties whose events follow each other need no state machine, and both ways give the same."""
+    import random
+
+    r, made = random.Random(5), []
+    for p in range(60):
+        unit = ""
+        for e in range(r.randint(1, 7)):
+            to = r.choice(["甲課", "乙課", "甲課係", "丙部", ""] if p % 2 else ["甲課", "乙課", "丙部"])
+            made.append((f"p{p}", r.choice(["2024-01-%02d" % r.randint(1, 28), "", None]), e, unit if r.random() < 0.9 else r.choice(["丙部", ""]), to, r.choice(["", "t1", None]), p % 3 > 0, r.choice([None, 0.5, 0.9])))
+            unit = to
+    df = spark.createDataFrame(made, "party string, effective string, event_id int, from_unit string, to_unit string, title string, full_name boolean, confidence double")
+    assert rows(slots.build_slots(df).select(*[c.split()[0] for c in slots.SLOT_SCHEMA.split(", ")]), "party", "slot", "unit", "title", "active_from", "active_to", "confidence", "previous_slot", "next_slot", "events") == rows(slots._folded(df), "party", "slot", "unit", "title", "active_from", "active_to", "confidence", "previous_slot", "next_slot", "events")
+
+
 def test_unique_match_needs_one_target(spark):
     df = spark.createDataFrame([("u", 1), ("u", 1), ("v", 1), ("v", 2), ("w", None)], "k string, t int")
     assert rows(keyed.only_match(df, ["k"], "t")) == [("u", 1)]
@@ -99,7 +154,7 @@ def test_links(spark):
     r = spark.createDataFrame([("k", dt.date(2024, 1, 31)), ("k", dt.date(2024, 2, 1)), ("k", dt.date(2023, 12, 2))], "k string, b date")
     assert [x.gap_days for x in links.near_days(l, r, ["k"], "a", "b", 30).orderBy("b").collect()] == [-30, 30]
     t = spark.createDataFrame([(1, "abcdefghijkl"), (2, "abcdefghijkl"), (3, "xabcdefghijkl"), (4, "short"), (5, "")], "i int, k string")
-    assert rows(links.related_title_pairs(t, "i", "k")) == [(1, 2), (1, 3), (2, 3)]
+    assert rows(links.related_title_pairs(t, "i", "k")) == [(1, 2, "same"), (1, 3, "near")]
 
 
 def test_topics_skip_contained_tokens(spark):

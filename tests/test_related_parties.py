@@ -1,4 +1,4 @@
-"""related_parties_all against brute force on the smallest tables."""
+"""related_parties against brute force on the smallest tables."""
 
 import collections
 from pathlib import Path
@@ -25,6 +25,6 @@ def test_all_lines_count(spark):
         records, units = n["record"][p, q], n["unit"][p, q]
         each[p].append((-(3 * records + units), -records, -units, q))
     want = {(p, q, -r, -u, -s, k) for p, rows in each.items() for k, (s, r, u, q) in enumerate(sorted(rows)[:8], 1)}
-    rows = catalog.queries()["related_parties_all"](spark, DATA).collect()
+    rows = catalog.queries()["related_parties"](spark, DATA).collect()
     assert {(r.party, r.other, r.shared_records, r.shared_units, r.score, r["rank"]) for r in rows} == want
     assert len(rows) == len(want) > 0
