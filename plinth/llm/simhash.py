@@ -438,10 +438,10 @@ def _similar_rows(docs: DataFrame, id_col: str, text_col: str, k: int, similarit
     blocks_of = F.explode(F.sequence(F.lit(0), F.col("cut") - 1))
 
     def dealt(rows: DataFrame, by_class: DataFrame, size: Column | int) -> DataFrame:
-        """rows for every pair of blocks that they take part in, with what by_class has of their class, and a task of about 4 MB."""
+        """rows for every pair of blocks that they take part in, with what by_class has of their class, and a task of about 1 MB."""
         moved = rows.agg(F.coalesce(F.sum(F.col("cut") * size), F.lit(0))).first()[0]
         pairs = rows.select("bundle", "cls", "n", "block", blocks_of.alias("other")).select("bundle", "cls", "n", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-        task = F.pmod(F.xxhash64("bundle", "i", "j"), F.lit(max(8, int(moved // (4 << 20)) + 1))).cast("int")
+        task = F.pmod(F.xxhash64("bundle", "i", "j"), F.lit(max(64, int(moved // (1 << 20)) + 1))).cast("int")
         return pairs.join(by_class, "cls").withColumn("task", task).groupBy("task")
 
     possible = dealt(placed, classes.select("cls", "sketch"), 300).applyInArrow(_possible_task(num, den), "bundle long, cls long")

@@ -99,3 +99,84 @@ def fill_mentions(mentions: DataFrame, records: DataFrame, record: str = "record
     inherited = none.where(related).select(record, F.col("related_unit").alias("unit"), F.col("related_party").alias("party"), F.when(F.col("related_party").isNotNull(), 0.25).otherwise(0.12).alias("confidence"), F.lit("related_record").alias("section"))
     source = none.where(~related & (F.coalesce(F.trim("source_unit"), F.lit("")) != "")).select(record, F.col("source_unit").alias("unit"), F.lit(None).cast("string").alias("party"), F.lit(0.05).alias("confidence"), F.lit("source_list").alias("section"))
     return own.unionByName(inherited).unionByName(source)
+
+
+def mention_rows(mentions: DataFrame) -> DataFrame:
+    """Mentions with the fields that resolution compares: name and party keys, quality, contact keys."""
+    from plinth.functions import text as T
+
+    return mentions.withColumns({"name_norm": T.name_key(F.col("party_raw")), "party_key": T.party_key(F.col("party_raw")), "quality": T.name_quality(F.col("party_raw")), "email": T.email_key(F.coalesce("email", F.lit(""))), "phone": T.phone_key(F.col("phone"))})
+
+
+def party_by_contact(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """(record_id, party_id) of rows (record_id, email, phone) without a party whose contact leads to exactly one party.
+
+    known: (record_id, party_id, email, phone) of records with a party; a record's own rows do not count. Candidates are counted
+    per contact, so a contact that very many parties share gives no pairs.
+    """
+    each = lambda df, cols: df.select(*cols, F.explode(F.array_distinct(F.array(F.concat(F.lit("e:"), "email"), F.concat(F.lit("p:"), "phone")))).alias("contact")).where("length(contact) > 2")
+    parties = each(known.na.fill("", ["email", "phone"]), ["record_id", "party_id"]).select("contact", "party_id", "record_id").distinct()
+    by = parties.groupBy("contact").agg(F.min("party_id").alias("low"), F.max("party_id").alias("high"))
+    asked = each(rows.na.fill("", ["email", "phone"]), ["record_id"]).distinct()
+    own = asked.join(parties, ["contact", "record_id"], "left_semi")
+    elsewhere = asked.join(own, ["contact", "record_id"], "left_anti").join(by, "contact").select("record_id", "low", "high")
+    mine = own.join(parties.withColumnRenamed("record_id", "other"), "contact").where("other <> record_id").groupBy("record_id", "contact").agg(F.min("party_id").alias("low"), F.max("party_id").alias("high")).select("record_id", "low", "high")
+    return elsewhere.unionByName(mine).groupBy("record_id").agg(F.min("low").alias("party_id"), F.max("high").alias("high")).where("party_id = high").select("record_id", "party_id")
+
+
+def party_by_slot(rows: DataFrame, slots: DataFrame) -> DataFrame:
+    """(record_id, name) of rows (record_id, unit, day) whose unit has exactly one active slot with a name that has a blank inside.
+
+    slots: unit, name, start, end (dates, null is open). The interval join meets by unit and year.
+    """
+    from plinth.operators.links import active_at
+
+    full = slots.where(F.col("name").contains(" "))
+    hit = active_at(rows.select("record_id", "unit", "day"), full.select("unit", "name", "start", "end"), ["unit"], "day", "start", "end")
+    return hit.groupBy("record_id").agg(F.min("name").alias("name"), F.max("name").alias("high")).where("name = high").select("record_id", "name")
+
+
+def identity_candidates(mentions: DataFrame, parties: DataFrame, limit: int = 10) -> DataFrame:
+    """(mention_id, party_id, rank): the first ``limit`` parties of each mention whose name equals or begins it or begins with it.
+
+    mentions: mention_id, name_norm, unit_id; parties: party_id, name_norm, unit_id, record_count. Order: equal names, equal
+    units, more records, lower ids; at most three times ``limit`` by name and records are looked at, as a reviewer's list.
+    """
+    from plinth.operators.keyed import top_k
+    from plinth.operators.links import prefix_pairs
+
+    p = parties.select("party_id", F.col("name_norm").alias("party_name"), F.col("unit_id").alias("party_unit"), "record_count")
+    names = prefix_pairs(mentions.select("name_norm").distinct(), p.select("party_name").distinct(), "name_norm", "party_name", 2)
+    hit = mentions.select("mention_id", "name_norm", "unit_id").join(names, "name_norm").join(p, "party_name")
+    hit = hit.withColumns({"exact": F.col("name_norm") == F.col("party_name"), "same_unit": F.coalesce(F.col("unit_id") == F.col("party_unit"), F.lit(False))})
+    first = top_k(hit, ["mention_id"], [F.desc("exact"), F.desc("record_count"), F.asc("party_id")], 3 * limit).drop("rank")
+    return top_k(first, ["mention_id"], [F.desc("exact"), F.desc("same_unit"), F.desc("record_count"), F.asc("party_id")], limit).select("mention_id", "party_id", "exact", "same_unit", "rank")
+
+
+def distinct_same_year(before: dict[str, Column], now: dict[str, Column]) -> Column:
+    """Whether two mentions of one name are of different people: one year, units that do not overlap, one of them a surname only.
+
+    before, now: name, year, unit, quality.
+    """
+    from plinth.functions.units import overlap
+
+    units = (before["unit"] != "") & (now["unit"] != "") & ~overlap(before["unit"], now["unit"])
+    return F.coalesce((before["name"] == now["name"]) & (before["year"] == now["year"]) & units & ((before["quality"] == "surname_only") | (now["quality"] == "surname_only")), F.lit(False))
+
+
+def upsert_links(links: DataFrame, new: DataFrame, key: str) -> DataFrame:
+    """Links with new ones by key; reviewed links stay as they are."""
+    reviewed = links.where(F.col("link_status").isin(REVIEWED))
+    fresh = new.join(reviewed.select(key), key, "left_anti").select(*links.columns)
+    return links.join(fresh.select(key), key, "left_anti").unionByName(fresh)
+
+
+def relink(links: DataFrame, scored: DataFrame, names: DataFrame, decide, key: str) -> DataFrame:
+    """links with those of the affected ``names`` (name) decided anew from scored candidates (with name); others are not looked at.
+
+    ``decide`` is decide_transfers or decide_mentions. An affected automatic link that is no longer decided goes.
+    """
+    hit = scored.join(names.select("name").distinct(), "name", "left_semi")
+    new = decide(hit)
+    gone = hit.select(key).distinct().join(links.where(~F.col("link_status").isin(REVIEWED)).select(key), key, "left_semi")
+    return upsert_links(links.join(gone, key, "left_anti"), new, key)

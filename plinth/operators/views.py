@@ -80,7 +80,7 @@ def current_unit(a: Archive) -> DataFrame:
     moved = a.transfer_links.where(F.col("link_status").isin(LINKED)).select("event_id", "party_id").join(a.transfers.where(F.col("to_unit_id").isNotNull()), "event_id")
     by_transfer = latest_per_key(moved.select("party_id", "to_unit_id", "effective", "event_id"), ["party_id"], ["effective", "event_id"]).select("party_id", F.col("to_unit_id").alias("t"))
     seen = a.linked().where(F.col("unit_id").isNotNull()).join(a.live_records().select("record_id", "observed_at"), "record_id")
-    by_record = latest_per_key(seen.select("party_id", "unit_id", "observed_at", "record_id"), ["party_id"], ["observed_at", "record_id"]).select("party_id", F.col("unit_id").alias("r"))
+    by_record = latest_per_key(seen.select("party_id", "unit_id", "observed_at", "record_id"), ["party_id"], ["observed_at", "record_id", "unit_id"]).select("party_id", F.col("unit_id").alias("r"))
     return by_transfer.join(by_record, "party_id", "full").select("party_id", F.coalesce("t", "r").alias("unit_id"), F.when(F.col("t").isNotNull(), "transfer").otherwise("record").alias("source"))
 
 
@@ -99,7 +99,7 @@ def roster(a: Archive, as_of: str, limits: tuple[int, int, int, int] = (300, 500
     open_events = a.transfers.join(a.transfer_links.where(F.col("link_status").isin(LINKED)).select("event_id"), "event_id", "left_anti")
     moves = latest_per_key(open_events.select("name_norm", "to_unit_id", "effective", "event_id"), ["name_norm"], ["effective", "event_id"]).orderBy("name_norm").limit(limits[2]).select(F.lit("transfer").alias("kind"), F.col("name_norm").alias("name"), F.col("to_unit_id").alias("unit_id"), F.lit(0.3).alias("confidence"))
     loose = a.mentions.where(~T.blank(F.col("party_raw"))).join(a.mention_links.where(F.col("link_status").isin(LINKED)).select("mention_id"), "mention_id", "left_anti")
-    seen = loose.groupBy(F.col("party_raw").alias("name"), "unit_id").agg(F.max("confidence").alias("confidence")).orderBy(F.desc("confidence"), "name").limit(limits[3]).select(F.lit("mention").alias("kind"), "name", "unit_id", "confidence")
+    seen = loose.groupBy(F.col("party_raw").alias("name"), "unit_id").agg(F.max("confidence").alias("confidence")).orderBy(F.desc("confidence"), "name", "unit_id").limit(limits[3]).select(F.lit("mention").alias("kind"), "name", "unit_id", "confidence")
     every = confirmed.unionByName(active).unionByName(moves).unionByName(seen)
     return every.join(a.units.select("unit_id", "top_unit"), "unit_id", "left").select("kind", F.coalesce("top_unit", F.lit("unknown")).alias("top_unit"), "name", "unit_id", "confidence")
 
@@ -139,6 +139,12 @@ def note_list(a: Archive) -> DataFrame:
     return a.notes.join(a.parties.select("party_id", "display_name"), "party_id").orderBy(F.desc("created_at"), F.desc("note_id"))
 
 
+def note_detail(a: Archive, note_id: int) -> DataFrame:
+    """One note with its party's name and its record's title."""
+    n = a.notes.where(F.col("note_id") == note_id)
+    return n.join(a.parties.select("party_id", "display_name"), "party_id", "left").join(a.records.select("record_id", F.col("title").alias("record_title")), "record_id", "left").select("note_id", "title", "content", "created_at", "display_name", "record_title")
+
+
 def records_without_party(a: Archive) -> DataFrame:
     """Live records none of whose mentions names a party, the latest first."""
     named = a.mentions.where(~T.blank(F.col("party_raw"))).select("record_id")
