@@ -23,9 +23,12 @@ _OWN: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where it is unset (tests) a folder of this process."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset a local master (tests, the bench) gets a
+    folder of this process; on a cluster, whose machines would not see it, that is an error."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         app = spark.sparkContext.applicationId
         path = _OWN.get(app) or _OWN.setdefault(app, tempfile.mkdtemp(prefix="plinth-checkpoint-"))
     return path.rstrip("/")
@@ -41,11 +44,14 @@ def remove(spark: SparkSession, path: str) -> None:
 class Scratch:
     """Tables written to the shared folder to cut lineage; they outlive a lost executor.
 
-    ``write`` returns the reread table and ``drop`` removes one early. What is left goes when the session's
+    The session then passes 2,000 rows at a time to Python unless it says otherwise: rows hold whole texts, and batches of them
+    count in both processes. ``write`` returns the reread table and ``drop`` removes one early. What is left goes when the session's
     process ends, since lazily returned results may still read it.
     """
 
     def __init__(self, spark: SparkSession, name: str):
+        if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":  # the default: whole texts in batches of tens of MB
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
         self.spark, self.root = spark, f"{shared_dir(spark)}/plinth-{name}-{uuid.uuid4().hex[:12]}"
         self.count = 0
         atexit.register(self.close)

@@ -21,9 +21,10 @@ are bundles, groups of classes of which any two may be similar, and come from tw
   (here elements that are frequent in a sample of texts come last). Each key's classes go to the bundle of the key's least
   class, so a group of near copies makes few bundles however many keys it shares.
 
-A lossless check thins the bundles before any set travels: the numbers of a set's elements in 128 ranges of the hash are its
-sketch, and the sum of the differences of two sketches is no more than the number of elements in which the sets differ, which
-for similarity t is at most (1 - t) / (1 + t) of both sizes together. Classes without a possible partner leave the bundle.
+A lossless check thins the bundles before any set travels: the numbers of a set's elements in equal ranges of the hash (a power
+of two of them, 128 or more, about a quarter of its elements) are its sketch, and the sum of the differences of two sketches is no
+more than the number of elements in which the sets differ, which for similarity t is at most (1 - t) / (1 + t) of both sizes
+together. Classes without a possible partner leave the bundle.
 
 Keys travel as packed arrays in one shuffle. A key that the sample shows as frequent is dealt over many tasks and meets in
 its bundle only. Bundles are cut into blocks by rows and bytes, and each pair of blocks is a task of its own, which counts
@@ -330,8 +331,9 @@ def common_elements(sets: list[np.ndarray], dense: int = 32, width: int = 4096)
 
 
 def _sketch(s: np.ndarray) -> bytes:
-    """Elements of a set in each of 128 ranges of the hash, 65,535 at most; a smaller number never adds to a difference."""
-    return np.minimum(np.bincount((s >> np.uint64(57)).astype(np.int64), minlength=128), 65_535).astype(np.uint16).tobytes()
+    """Elements of a set in equal ranges of the hash, 255 at most; a smaller number never adds to a difference."""
+    bits = max(7, (max(1, len(s) // 4) - 1).bit_length())
+    return np.minimum(np.bincount((s >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits), 255).astype(np.uint8).tobytes()
 
 
 def _block_pairs(t: pa.Table) -> Iterator[np.ndarray]:
@@ -348,23 +350,39 @@ def _block_pairs(t: pa.Table) -> Iterator[np.ndarray]:
             yield order[a:b]
 
 
+def possible_partners(n: np.ndarray, sketches: list[np.ndarray], num: int, den: int, block: np.ndarray | None = None) -> np.ndarray:
+    """Which of the sets (sizes in ascending order) may be similar to another, of another block if blocks are given."""
+    widths = np.array([len(x) for x in sketches])
+    some, folded = np.zeros(len(n), bool), {}
+    for a in range(len(n)):
+        end = int(np.searchsorted(n, n[a] * den // num, "right"))  # larger sets cannot be similar
+        if end <= a + 1:
+            continue
+        w = int(widths[a])
+        if w not in folded:  # sets of this many ranges and the next ones, folded to as many
+            rows = np.flatnonzero((widths >= w) & (widths <= 4 * w))
+            folded[w] = int(rows[0]), np.stack([sketches[i].reshape(w, -1).sum(1, dtype=np.int32) for i in rows])
+        base, table = folded[w]
+        near = np.abs(table[a + 1 - base : end - base] - table[a - base]).sum(1) * (den + num) <= (n[a + 1 : end] + n[a]) * (den - num)
+        if block is not None:
+            near &= block[a + 1 : end] != block[a]
+        if near.any():
+            some[a] = True
+            some[a + 1 : end][near] = True
+    return some
+
+
 def _possible_task(num: int, den: int):
     """(bundle, cls) of the classes that may have a partner by the sketches of a pair of blocks."""
 
     def run(t: pa.Table) -> pa.Table:
         bundle, cls, block, n = (t[c].to_numpy() for c in ("bundle", "cls", "block", "n"))
         i, j = t["i"].to_numpy(), t["j"].to_numpy()
-        sketches = np.stack([np.frombuffer(x.as_buffer(), np.uint16) for x in t["sketch"]]).astype(np.int32)
+        sketches = [np.frombuffer(x.as_buffer(), np.uint8) for x in t["sketch"]]
         some = np.zeros(len(cls), bool)
         for own in _block_pairs(t):
-            mine, sizes, blocks, across = sketches[own], n[own], block[own], i[own[0]] != j[own[0]]
-            for a in range(len(own)):
-                near = np.abs(mine[a + 1 :] - mine[a]).sum(1) * (den + num) <= (sizes[a + 1 :] + sizes[a]) * (den - num)
-                if across:
-                    near &= blocks[a + 1 :] != blocks[a]
-                if near.any():
-                    some[own[a]] = True
-                    some[own[a + 1 :][near]] = True
+            own = own[np.argsort(n[own], kind="stable")]
+            some[own] |= possible_partners(n[own], [sketches[x] for x in own], num, den, block[own] if i[own[0]] != j[own[0]] else None)
         return pa.table([pa.array(bundle[some]), pa.array(cls[some])], names=["bundle", "cls"])
 
     return run
@@ -444,7 +462,7 @@ def _similar_rows(docs: DataFrame, id_col: str, text_col: str, k: int, similarit
         task = F.pmod(F.xxhash64("bundle", "i", "j"), F.lit(max(64, int(moved // (1 << 20)) + 1))).cast("int")
         return pairs.join(by_class, "cls").withColumn("task", task).groupBy("task")
 
-    possible = dealt(placed, classes.select("cls", "sketch"), 300).applyInArrow(_possible_task(num, den), "bundle long, cls long")
+    possible = dealt(placed, classes.select("cls", "sketch"), F.greatest(F.lit(128), F.col("n") / 3) + 50).applyInArrow(_possible_task(num, den), "bundle long, cls long")
     placed = scratch.write(placed.join(possible.distinct(), ["bundle", "cls"]))
     # the sets of the classes that are left, read from one row of each
     used = scratch.write(classes.join(placed.select("cls").distinct(), "cls", "left_semi").select("cls", F.col("lead.row").alias("row")))

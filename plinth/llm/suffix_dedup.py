@@ -46,7 +46,7 @@ LENGTH, GRAM = 100, 40
 #: Different segments of one anchor that a bucket takes, bytes of segments a bucket is made for, bytes a shard sorts.
 CAP, BUCKET_BYTES, SHARD_BYTES = 2000, 1 << 19, 1 << 16
 #: Bytes of packed rows a class task is made for; bounds of the Bloom filter and of the list of frequent anchors.
-PART_BYTES, BLOOM_MB, FREQUENT = 12 << 20, 64, 100_000
+PART_BYTES, BLOOM_MB, FREQUENT = 8 << 20, 64, 100_000
 _POSITION = U((1 << 24) - 1)
 _LAST = (1 << 63) - 1
 _KEY, _TH, _SPANS = "__plinth_key", "__plinth_hash", "__plinth_spans"
@@ -96,7 +96,7 @@ def segments(data: np.ndarray, offsets: np.ndarray, length: int, gram: int, bloc
 class _Packer:
     """Packs segment rows of many texts into one binary per part; equal segments of one packing collapse here."""
 
-    def __init__(self, parts: int, hot: np.ndarray, length: int, keep: int = 1 << 19):
+    def __init__(self, parts: int, hot: np.ndarray, length: int, keep: int = 1 << 18):
         self.parts, self.hot, self.length, self.keep = parts, hot, length, keep
         self.ids: list[np.ndarray] = []
         self.rows: list[tuple] = []

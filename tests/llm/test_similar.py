@@ -94,6 +94,29 @@ def test_decided_by_row(spark):
     assert simhash.drop_similar(df.limit(0)).count() == 0
 
 
+def test_sketches_lose_no_pair():
+    """Every set with a similar partner passes, whatever the sizes; most others do not."""
+    g = np.random.default_rng(6)
+    sets = []
+    for n in (1, 3, 40, 400, 511, 520, 5000):
+        for _ in range(6):
+            s = np.unique(g.integers(0, 2**63, n).astype(np.uint64) * np.uint64(2))
+            sets += [s, np.unique(np.concatenate([s[len(s) // 12 :], g.integers(0, 2**63, n // 12).astype(np.uint64)]))]
+    sets.sort(key=len)
+    n = np.array([len(s) for s in sets])
+    sketches = [np.frombuffer(simhash._sketch(s), np.uint8) for s in sets]
+    both = simhash.common_elements(sets)
+    hit = both * 5 >= (n[:, None] + n[None, :] - both) * 4
+    np.fill_diagonal(hit, False)
+    assert hit.any(1).sum() > 20
+    assert (simhash.possible_partners(n, sketches, 4, 5) >= hit.any(1)).all()
+    blocks = np.arange(len(sets)) % 2
+    assert (simhash.possible_partners(n, sketches, 4, 5, blocks) >= (hit & (blocks[:, None] != blocks[None, :])).any(1)).all()
+    alone = [np.unique(g.integers(0, 2**63, 600).astype(np.uint64) * np.uint64(2)) for _ in range(30)]
+    alone.sort(key=len)
+    assert not simhash.possible_partners(np.array([len(s) for s in alone]), [np.frombuffer(simhash._sketch(s), np.uint8) for s in alone], 4, 5).any()
+
+
 def test_common_elements():
     g = np.random.default_rng(1)
     sets = [np.unique(g.integers(0, 90, g.integers(0, 60)).astype(np.uint64)) for _ in range(50)]
