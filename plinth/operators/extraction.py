@@ -12,6 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T_
 
+from plinth.functions.assignments import Words, parse_article
+from plinth.functions.pdf import pdf_text
+
 _ANCHOR = r"(?is)<a\b([^>]*)>(.*?)</a>"
 
 
@@ -157,54 +160,93 @@ def zip_entries(files: DataFrame, path: str = "path", content: str = "content",
     return files.select(path, content).mapInPandas(run, "path string, name string, content binary")
 
 
-# The ditto mark, and the words that mark a departure.
-DITTO, DEPARTURES = "同", ("退職", "retired")
+def pdf_texts(files: DataFrame, path: str = "path", content: str = "content", *keep: str) -> DataFrame:
+    """(path, keep..., text) of PDF files; '' for what cannot be read. Parsing has no built-in form, so batches go through Arrow."""
+    kinds = dict(files.dtypes)
 
+    def run(batches):
+        for batch in batches:
+            yield batch[[path, *keep]].assign(text=[pdf_text(x) for x in batch[content]])
 
-def expand_ditto(text: str, before: str, suffixes: list[str]) -> str:
-    """A leading ditto mark stands for the beginning of the assignment before, up to its first suffix in list order."""
-    if not text.startswith(DITTO):
-        return text
-    for s in suffixes:
-        at = before.find(s)
-        if at >= 0:
-            return before[: at + len(s)] + text[len(DITTO) :]
-    return before + text[len(DITTO) :]
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in (path, *keep))
+    return files.select(path, *keep, content).mapInPandas(run, f"{schema}, text string")
 
 
-def parse_assignment_lines(lines: list[tuple[str, str]], suffixes: list[str]) -> list[dict[str, str]]:
-    """Rows of an article's lines (kind, text): a heading starts a section and forgets the assignment before.
+def zip_texts(files: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
+    """(path, text): the texts of a ZIP's PDF entries in the order of their names, parted by lines of three dashes."""
+    texts = pdf_texts(zip_entries(files, path, content), path, "content", "name").where("text <> ''")
+    own = texts.groupBy(path).agg(F.array_sort(F.collect_list(F.struct("name", "text"))).alias("t"))
+    return own.select(path, F.array_join(F.transform("t", lambda x: x["text"]), "\n---\n").alias("text"))
 
-    A line reads ``to(from) name``, or ``to name`` without a former assignment. Lines of another shape give no row.
-    """
-    out, section, before = [], "", ""
-    for kind, text in lines:
-        if kind == "heading":
-            section, before = text.strip(), ""
-            continue
-        m = re.match(r"^\s*(\S+?)(?:[(（]([^)）]*)[)）])?[\s　]+(\S.*?)\s*$", text)
-        if not m:
-            continue
-        to, origin, name = expand_ditto(m[1], before, suffixes), m[2] or "", m[3]
-        before = to
-        gone = any(d in to or d in section for d in DEPARTURES)
-        out.append({"section": section, "name": name, "to": "" if gone else to, "from": to if gone and not origin else origin})
-    return out
 
+def with_attachments(records: DataFrame, links: DataFrame, texts: DataFrame, id_col: str) -> DataFrame:
+    """records (id, raw_text) with pdf_urls, zip_urls (distinct, in order) and the texts (url, text) of both after their own."""
+    pdf, archives = (attachments(links, id_col, x).withColumnRenamed("urls", f"{x[1:]}_urls") for x in (".pdf", ".zip"))
+    out = records.join(pdf, id_col, "left").join(archives, id_col, "left")
+    none = F.array().cast("array<string>")
+    out = out.withColumns({c: F.coalesce(c, none) for c in ("pdf_urls", "zip_urls")})
+    each = out.select(id_col, F.posexplode(F.concat("pdf_urls", "zip_urls")).alias("n", "url")).join(texts.where("text <> ''"), "url")
+    added = each.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("n", "text"))).alias("t"))
+    out = out.join(added.select(id_col, F.array_join(F.transform("t", lambda x: x["text"]), "\n").alias("__more")), id_col, "left")
+    return out.withColumn("raw_text", F.concat_ws("\n", "raw_text", "__more")).drop("__more")
 
-def article_rows(articles: DataFrame, id_col: str, lines: str, suffixes: list[str]) -> DataFrame:
-    """(id, position, section, name, to, from) by a fold over each article's own lines (array of struct(kind, text))."""
+
+def crawl_links(fetch, address: str, keywords: list[str], marker: str = "kiji", most: int = 1) -> list[dict[str, str]]:
+    """Links of a list page and the pages its pager leads to: those with ``marker`` in the address and a text that has a keyword
+    (any text without keywords), absolute, the first of each address. It stops when a page adds nothing.
+
+    ``fetch`` gives the HTML of an address; the loop belongs to the crawler and runs where it runs.
+    """
+    from urllib.parse import urljoin
+
+    found: dict[str, dict[str, str]] = {}
+    at, seen = address, set()
+    for _ in range(most):
+        if not at or at in seen:
+            break
+        seen.add(at)
+        html, before = fetch(at), len(found)
+        for kind, value, text in outline(html):
+            if kind == "link" and marker in value and text and (not keywords or any(k in text for k in keywords)):
+                found.setdefault(urljoin(at, value), {"url": urljoin(at, value), "label": text, "list_url": address})
+        after = re.search(r"(?is)<(?:a|link)\b(?=[^>]*\brel\s*=\s*[\"']?next)[^>]*\bhref\s*=\s*[\"']([^\"']+)", html)
+        if len(found) == before or not after:
+            break
+        at = urljoin(at, after[1])
+    return list(found.values())
+
+
+def effective_date(title: Column, body: Column, published: Column) -> Column:
+    """The first date of the title, else of the body, else the publication date, as text; a date without a year takes that of publication."""
+    from plinth.functions import dates as D
+
+    year = D.year_of(published)
+    of = lambda c: F.when(c.rlike(r"\d{1,4}年\s*\d{1,2}月\s*\d{1,2}日|\d{1,2}月\s*\d{1,2}日|\d{4}[/-]\d{1,2}[/-]\d{1,2}"), D.iso_text(D.parse_text_date(c, F.when(year > 0, year))))
+    return F.coalesce(F.when(of(title) != "", of(title)), F.when(of(body) != "", of(body)), published)
+
+
+def article_rows(articles: DataFrame, id_col: str, title: str, lines: str, words: Words = Words()) -> DataFrame:
+    """(id, position, section, name, to_unit, to_title, from_unit, from_title, evidence) by a fold over each article's own lines
+    (array of struct(kind, text)); lines that are no rows give none."""
+    columns = ["section", "name", "to_unit", "to_title", "from_unit", "from_title", "evidence"]
 
     def run(batches):
         for batch in batches:
             rows = []
-            for i, own in zip(batch[id_col], batch[lines]):
-                parsed = parse_assignment_lines([(x["kind"], x["text"]) for x in (own if own is not None else [])], suffixes)
-                rows += [(i, n, r["section"], r["name"], r["to"], r["from"]) for n, r in enumerate(parsed)]
-            yield pd.DataFrame(rows, columns=[id_col, "position", "section", "name", "to_unit", "from_unit"])
+            for i, about, own in zip(batch[id_col], batch[title], batch[lines]):
+                parsed = parse_article([(x["kind"], x["text"]) for x in (own if own is not None else [])], about or "", words)
+                rows += [(i, n, *(r[c] for c in columns)) for n, r in enumerate(parsed)]
+            yield pd.DataFrame(rows, columns=[id_col, "position", *columns])
 
     kind = dict(articles.dtypes)[id_col]
-    return articles.select(id_col, lines).mapInPandas(run, f"`{id_col}` {kind}, position int, section string, name string, to_unit string, from_unit string")
+    return articles.select(id_col, title, lines).mapInPandas(run, f"`{id_col}` {kind}, position int, " + ", ".join(f"{c} string" for c in columns))
+
+
+def rows_of_year(features: DataFrame, articles: DataFrame, words: Words = Words()) -> DataFrame:
+    """Transfer rows of features (feature, article_url) and their articles (article_url, title, published_at, body, lines)."""
+    one = features.select("feature", "article_url").distinct().join(articles, "article_url")
+    dated = one.withColumn("effective_date", effective_date(F.col("title"), F.col("body"), F.col("published_at")))
+    return dated.select("feature", "article_url", "title", "published_at", "effective_date").join(article_rows(dated, "article_url", "title", "lines", words), "article_url")
 
 
 class _Outline(HTMLParser):

@@ -72,3 +72,70 @@ def declared_topics(sources: DataFrame) -> DataFrame:
     named = sources.withColumn("source_key", files.source_key("source_type", "title", "url", "published_at"))
     rows = named.select("source_key", D.year_of(day).alias("year"), F.posexplode(T.split_topics(F.col("topic_names"))).alias("i", "name"))
     return rows.select("source_key", T.compact(F.col("name")).alias("topic"), "year", topics.declared_weight(F.col("i")).alias("weight"), topics.declared_confidence(F.col("i")).alias("confidence"))
+
+
+def replace_events(sources: DataFrame, events: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(sources, events) with those of the new rows' sources replaced.
+
+    rows: the columns of a transfer file and a position. A source is upserted by its key; its events are replaced as a whole, rows
+    without a name make none and leave a gap in event_index.
+    """
+    keyed_rows = rows.withColumn("source_key", files.source_key("source_type", "title", "url", "published_at", "effective_date"))
+    one = keyed_rows.groupBy("source_key").agg(*[F.min(c).alias(c) for c in ("source_type", "title", "url", "published_at", "effective_date")])
+    merged = keyed.merge(sources, one.select(*sources.columns), ["source_key"])
+    named = keyed_rows.where(~T.blank(F.col("person_name"))).select("source_key", F.col("position").cast("int").alias("event_index"), T.name_key(F.col("person_name")).alias("name"), "from_department", "to_department", "to_title", F.when(F.col("effective_date") != "", F.col("effective_date")).otherwise(F.col("published_at")).alias("effective"))
+    rest = events.join(one.select("source_key"), "source_key", "left_anti")
+    return merged, rest.unionByName(named.select(*events.columns))
+
+
+def edit_records(records: DataFrame, edits: DataFrame, order: str = "decided_at") -> DataFrame:
+    """records with the newest edit of each (record_id, any of the record's columns, order) in place: null fields of an edit keep
+    what was there, and the review status is the edit's."""
+    fields = [c for c in edits.columns if c in records.columns and c != "record_id"]
+    newest = edits.groupBy("record_id").agg(F.max_by(F.struct(*fields), order).alias("e"))
+    both = records.join(newest, "record_id", "left")
+    return both.select(*[F.coalesce(F.col(f"e.{c}"), F.col(c)).alias(c) if c in fields else F.col(c) for c in records.columns])
+
+
+def add_notes(notes: DataFrame, new: DataFrame) -> DataFrame:
+    """notes with new ones (party_id, record_id, title, content, created_at) after the largest id; blank contents are left out."""
+    from plinth.operators.directory import numbered
+
+    own = new.where(~T.blank(F.col("content")))
+    return notes.unionByName(numbered(own, notes, "note_id", ["created_at", "party_id", "title"]).select(*notes.columns))
+
+
+def notification(title: Column, unit: Column, party: Column, deadline: Column, url: Column, most: int = 180) -> Column:
+    """The message of a new record: fields with what to say where they are blank, cut to ``most`` characters before the address."""
+    say = lambda c, other: F.when(T.blank(c), F.lit(other)).otherwise(F.trim(c))
+    body = F.concat_ws("\n", say(title, "(no title)"), F.concat(F.lit("unit: "), say(unit, "unknown")), F.concat(F.lit("party: "), say(party, "not stated")), F.concat(F.lit("deadline: "), say(deadline, "none")))
+    short = F.when(F.char_length(body) > most, F.concat(F.substring(body, 1, most - 3), F.lit("..."))).otherwise(body)
+    return F.concat_ws("\n", short, url)
+
+
+def notify(messages: DataFrame, column: str, send) -> int:
+    """Send each message by ``send`` (a function of a text), a partition at a time; returns how many there were."""
+
+    def run(rows) -> None:
+        for r in rows:
+            send(r[0])
+
+    chosen = messages.select(column).where(F.col(column).isNotNull())
+    chosen.foreachPartition(run)
+    return chosen.count()
+
+
+def save_record(record: DataFrame, records: DataFrame, mentions: DataFrame, text: str = "raw_text") -> tuple[DataFrame, DataFrame]:
+    """(records, mentions) after new or changed records (record_id and the columns of records): upsert, then their mentions anew."""
+    after = keyed.merge(records, record.select(*records.columns), ["record_id"], ["review_status"])
+    return after, replace_mentions(mentions, mentions_of(record, "record_id", text), "record_id")
+
+
+def import_topic_sources(rows: DataFrame, sources: DataFrame, known: DataFrame, evidence: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(sources, topics, evidence) after rows of a topic file (source_type, title, url, published_at, topic_names)."""
+    made = declared_topics(rows)
+    keyed_rows = rows.withColumn("source_key", files.source_key("source_type", "title", "url", "published_at"))
+    after = topics.upsert_sources(sources, keyed_rows.select(*sources.columns), "title")
+    new = made.withColumn("topic_key", topics.topic_key(F.col("topic"), F.col("year"), F.lit("declared")))
+    fields = new.select("topic_key", F.col("topic").alias("name"), "year", F.lit("declared").alias("origin"), F.lit("").alias("description"), "weight")
+    return after, topics.upsert_topics(known, fields), topics.replace_source_topics(evidence, new.select("source_key", "topic_key", "confidence"))

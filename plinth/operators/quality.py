@@ -86,3 +86,20 @@ def funnel(df: DataFrame, key: str, flags: dict[str, Column], sample: Column | N
 def ratio(part: Column, whole: Column) -> Column:
     """One-digit percentage, empty without a whole."""
     return F.when(whole > 0, F.format_string("%.1f%%", 100.0 * part / whole)).otherwise("")
+
+
+def summary_lines(rows: DataFrame, key: str, total: str, missing: str, k: int = 10) -> DataFrame:
+    """(part, rank, key, n) of per-source counts: the sums over all sources, then the ``k`` sources with most rows and those with
+    most missing ones."""
+    sums = rows.agg(F.sum(total).alias(total), F.sum(missing).alias(missing))
+    parts = sums.select(F.explode(F.array(*[F.struct(F.lit("all").alias("part"), F.lit(i + 1).alias("rank"), F.lit(c).alias("key"), F.col(c).cast("long").alias("n")) for i, c in enumerate((total, missing))])).alias("x")).select("x.*")
+    for part, column in (("most rows", total), ("most missing", missing)):
+        top = rows.select(key, column).orderBy(F.desc(column), F.asc(key)).limit(k)
+        ranked = top.groupBy().agg(F.slice(F.sort_array(F.collect_list(F.struct(F.negative(F.col(column)).alias("m"), F.col(key).cast("string").alias("key")))), 1, k).alias("a"))  # k rows
+        parts = parts.unionAll(ranked.select(F.lit(part).alias("part"), F.posexplode("a").alias("i", "r")).select("part", (F.col("i") + 1).alias("rank"), "r.key", (-F.col("r.m")).cast("long").alias("n")))
+    return parts
+
+
+def viable_roster_mention(quality: Column, confidence: Column, contact: Column, unit: Column, records: Column) -> Column:
+    """Whether a mention without a party may stand in a roster: a full name, a contact, two records, or a unit with enough confidence."""
+    return (quality == "full_name") | contact | (records >= 2) | ((unit != "") & (confidence >= 0.75)) | (confidence >= 0.9)

@@ -77,3 +77,77 @@ def binary_files(spark: SparkSession, path: str, pattern: str) -> DataFrame:
 
 
 RECORD_SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in "url source_type title source_list_url source_unit summary purpose budget application_deadline submission_deadline published_at raw_text fetched_at review_status".split()] + [T.StructField("pdf_urls", T.ArrayType(T.StringType())), T.StructField("zip_urls", T.ArrayType(T.StringType()))])
+
+
+def runtime_path(env: str, runtime: str, bundled: str) -> str:
+    """The path that the environment names, else the runtime copy, which is made from the bundled file where there is none yet."""
+    import os
+    import shutil
+    from pathlib import Path
+
+    named = os.environ.get(env, "").strip()
+    if named:
+        return named
+    if not Path(runtime).exists() and Path(bundled).exists():
+        Path(runtime).parent.mkdir(parents=True, exist_ok=True)
+        shutil.copy2(bundled, runtime)
+    return runtime if Path(runtime).exists() else bundled
+
+
+def bootstrap(folder: str, seeds: dict[str, str], force: bool = False) -> dict[str, int]:
+    """Seed files copied into a runtime folder, {name: path}; existing ones stay unless forced. Counts of copied and kept."""
+    import shutil
+    from pathlib import Path
+
+    out = {"copied": 0, "kept": 0}
+    Path(folder).mkdir(parents=True, exist_ok=True)
+    for name, path in seeds.items():
+        target = Path(folder) / name
+        fresh = force or not target.exists()
+        if fresh:
+            shutil.copy2(path, target)
+        out["copied" if fresh else "kept"] += 1
+    return out
+
+
+def read_hierarchy(spark: SparkSession, path: str, base: str = "") -> DataFrame:
+    """Units in two levels: rows without a top unit are left out, addresses are absolute, with the keys that names are matched by."""
+    from plinth.functions import text as N
+    from plinth.operators.extraction import absolute_url
+
+    df = read_csv(spark, path, HIERARCHY_COLUMNS[:2], HIERARCHY_COLUMNS).where(F.trim("top_unit") != "")
+    for c in ("top_url", "child_url"):
+        df = df.withColumn(c, F.when(F.col(c) == "", "").otherwise(absolute_url(F.lit(base), F.col(c))) if base else F.col(c))
+    return df.withColumns({"top_key": N.compact(F.col("top_unit")), "child_key": N.compact(F.col("child_name"))})
+
+
+#: Tables of an archive and their columns; ``empty_archive`` makes them without rows.
+ARCHIVE_SCHEMAS = {
+    "records": "record_id long, url string, title string, source_type string, source_unit string, published_at string, fetched_at string, raw_text string, review_status string",
+    "mentions": "mention_id long, record_id long, unit_id long, unit_raw string, party_raw string, quality string, confidence double, email string, phone string",
+    "mention_links": "mention_id long, party_id long, link_status string, confidence double",
+    "parties": "party_id long, party_key string, display_name string, is_verified int, note string",
+    "units": "unit_id long, name string, top_unit string",
+    "slots": "slot_id long, party_id long, name_norm string, unit_id long, title string, active_from string, active_to string, confidence double",
+    "transfers": "event_id long, effective string, name_norm string, from_unit_id long, to_unit_id long, title string",
+    "transfer_links": "event_id long, party_id long, link_status string, confidence double",
+    "record_topics": "record_id long, topic string, is_priority int, confidence double",
+    "rollups": "party_id long, topic string, spotlight double",
+    "notes": "note_id long, party_id long, record_id long, title string, content string, created_at string",
+}
+
+
+def empty_archive(spark: SparkSession) -> dict[str, DataFrame]:
+    return {name: spark.createDataFrame([], schema) for name, schema in ARCHIVE_SCHEMAS.items()}
+
+
+def backfill(mentions: DataFrame, appearances: DataFrame) -> DataFrame:
+    """mentions and a row for every appearance (record_id, unit_raw, party_raw, email, phone) of records without any: quality from
+    the name, and a confidence of 0.9 with a contact, 0.7 with a name, 0.5 with a unit, else 0 (fixed values)."""
+    from plinth.functions import text as N
+
+    none = appearances.join(mentions.select("record_id").distinct(), "record_id", "left_anti")
+    contact = ~N.blank(F.col("email")) | ~N.blank(F.col("phone"))
+    confidence = F.when(contact, 0.9).when(~N.blank(F.col("party_raw")), 0.7).when(~N.blank(F.col("unit_raw")), 0.5).otherwise(0.0)
+    new = none.select("record_id", "unit_raw", "party_raw", N.name_quality(F.col("party_raw")).alias("quality"), confidence.alias("confidence"), "email", "phone")
+    return mentions.select(*new.columns).unionByName(new)

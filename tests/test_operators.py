@@ -184,12 +184,6 @@ def test_zip_entries(spark):
     assert [(r.path, r.name, bytes(r.content)) for r in extraction.zip_entries(df).collect()] == [("x.zip", "a.pdf", b"one")]
 
 
-def test_ditto_lines():
-    lines = [("heading", "部長級"), ("li", "総務部長(財政課長) 甲野 一郎"), ("li", "同広報課長(企画課長) 乙野 二郎"), ("heading", "退職"), ("li", "税務課長 丙野 三郎"), ("li", "x")]
-    got = extraction.parse_assignment_lines(lines, ["部", "課"])
-    assert [(r["section"], r["name"], r["to"], r["from"]) for r in got] == [("部長級", "甲野 一郎", "総務部長", "財政課長"), ("部長級", "乙野 二郎", "総務部広報課長", "企画課長"), ("退職", "丙野 三郎", "", "税務課長")]
-
-
 def test_validation_and_causes(spark):
     df = spark.createDataFrame([("1", "", "2024-02-30"), ("2", "x", ""), ("3", "x", "2024-02-29"), ("4", "x", "2024-02-29")], "row string, name string, day string")
     got = rows(quality.validate_rows(df, "row", ["name"], ["day"], {"name": ["x"]}, ["name", "day"]))
