@@ -49,7 +49,7 @@ def _any(words: tuple[str, ...]) -> str:
 
 DEFAULT = Words()
 #: A family and a given name at the end of a line, each of one to five name characters.
-_NAME = re.compile(r"(?:^|(?<=[\s)）]))([㐀-鿿々ぁ-んァ-ヶー]{1,5}) ([㐀-鿿々ぁ-んァ-ヶー]{1,5})(?:" + "|".join(HONORIFICS) + r")?$")
+_NAME = re.compile(r"(?:^|(?<=[\s)）]))([㐀-鿿々ぁ-んァ-ヶー]{1,5}) ([㐀-鿿々ぁ-んァ-ヶー]{1,5}?)(?:" + "|".join(HONORIFICS) + r")?$")
 _PARTS = re.compile(r"^(.*?)\s*[(（]([^()（）]+)[)）]$")
 
 

@@ -22,6 +22,16 @@ def slots_by_lead(events: DataFrame, party: str, unit: str, at: str, tie: str) -
     return runs.select(party, unit, F.col(at).alias("active_from"), F.lead(at).over(w).alias("active_to"), F.col("__before").alias("previous_unit"), F.lead(unit).over(w).alias("next_unit"))
 
 
+def movement_summary(history: DataFrame, party: str, unit: str, order: list[str], before: int = 3) -> DataFrame:
+    """(party, current, previous, units): the last unit, up to ``before`` different ones before it (the latest first) and how many
+    different units there were."""
+    w = W.partitionBy(party).orderBy(*order)
+    runs = history.withColumn("__b", F.lag(unit).over(w)).where((F.col(unit) != "") & (F.col("__b").isNull() | (F.col("__b") != F.col(unit))))
+    last = runs.groupBy(party, unit).agg(F.max(F.struct(*order)).alias("__at"))
+    back = last.groupBy(party).agg(F.transform(F.sort_array(F.collect_list(F.struct("__at", F.col(unit).alias("u"))), asc=False), lambda x: x["u"]).alias("b"))
+    return back.select(party, F.get("b", F.lit(0)).alias("current"), F.slice("b", 2, before).alias("previous"), F.size("b").alias("units"))
+
+
 @dataclass
 class _Slot:
     number: int

@@ -75,6 +75,25 @@ def unit_list(a: Archive) -> DataFrame:
     return a.units.join(g, "unit_id").where("records > 0 or parties > 0").select("unit_id", "name", "top_unit", "records", "parties")
 
 
+def unit_profiles(a: Archive, keywords: int = 6, people: int = 3, least: int = 4) -> DataFrame:
+    """(unit_id, name, top_unit, records, keywords, people) of units with records.
+
+    Keywords are the words of the unit's name (2 points) and of the titles of its live records (1 point each), the best by points,
+    length and text; people are the first names of linked parties.
+    """
+    from plinth.operators.topics import tokens
+
+    own = a.mentions.where(F.col("unit_id").isNotNull()).select("unit_id", "record_id").distinct()
+    counts = own.groupBy("unit_id").agg(F.count("*").alias("records"))
+    named = a.units.select("unit_id", F.explode(tokens(F.col("name"), least)).alias("token"), F.lit(2).alias("w"))
+    titled = own.join(a.live_records().select("record_id", "title"), "record_id").select("unit_id", F.explode(tokens(F.col("title"), least)).alias("token"), F.lit(1).alias("w"))
+    points = named.unionByName(titled).groupBy("unit_id", "token").agg(F.sum("w").alias("n"))
+    best = top_k(points, ["unit_id"], [F.desc("n"), F.desc(F.length("token")), F.desc("token")], keywords).groupBy("unit_id").agg(collect_sorted(F.col("token"), F.col("rank")).alias("keywords"))
+    linked = a.linked().where(F.col("unit_id").isNotNull()).join(a.parties, "party_id").select("unit_id", "display_name").distinct()
+    first = top_k(linked, ["unit_id"], [F.asc("display_name")], people).groupBy("unit_id").agg(collect_sorted(F.col("display_name"), F.col("rank")).alias("people"))
+    return a.units.join(counts, "unit_id").join(best, "unit_id").join(first, "unit_id", "left").select("unit_id", "name", "top_unit", "records", "keywords", "people")
+
+
 def current_unit(a: Archive) -> DataFrame:
     """(party_id, unit_id, source): the latest transfer's unit, else that of the latest record."""
     moved = a.transfer_links.where(F.col("link_status").isin(LINKED)).select("event_id", "party_id").join(a.transfers.where(F.col("to_unit_id").isNotNull()), "event_id")

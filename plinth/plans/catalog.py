@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from plinth.plans import archive, events, parties, records, texts  # noqa: F401  registration
+from plinth.plans import archive, events, fields, parties, records, registers, texts  # noqa: F401  registration
 from plinth.plans.registry import QUERIES, SQL, Query
 
 
