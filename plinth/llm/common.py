@@ -150,8 +150,8 @@ def forest(hit: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return e[e[:, 0] != e[:, 1]]
 
 
-def text_chunks(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """Slices of record batches with (slice, bytes of all texts, offsets), about max_bytes each; null texts are empty.
+def text_chunks(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 1 << 20, max_rows: int = 8192) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Slices of record batches with (slice, bytes of all texts, offsets), about max_bytes and max_rows at most; null texts are empty.
 
     One text over max_bytes makes a slice of its own, so memory follows the longest text and not the batch.
     """
@@ -163,7 +163,7 @@ def text_chunks(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int =
         start = 0
         while start < len(col):
             end = int(np.searchsorted(offsets, offsets[start] + max_bytes, "right")) - 1
-            end = min(max(end, start + 1), len(col))
+            end = min(max(end, start + 1), start + max_rows, len(col))
             own = offsets[start : end + 1]
             yield batch.slice(start, end - start), data[own[0] : own[-1]], own - own[0]
             start = end

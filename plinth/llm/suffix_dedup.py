@@ -11,7 +11,8 @@ How it works.
 2. *Classes.* Equal segments are one class; all but its earliest member are repeats. Anchors with several different
    segments may still share single windows: these segments, one per class, go on.
 3. *Merged Burrows-Wheeler transforms.* The bytes of those segments are fetched by a second scan that probes a Bloom
-   filter of their places (a false hit only adds a true segment). A bucket holds all segments of its anchors. Its segments
+   filter of their places (a false hit only adds a true segment; where so many are asked that the filter would exceed its bound,
+   a join with the places keeps the others out). A bucket holds all segments of its anchors. Its segments
    are split into shards, each shard sorts its own suffixes and has its own transform, and the transforms are merged by
    interleave refinement: starting from the concatenation, each round orders all suffixes by one more leading step with a
    stable distribution by transform symbol and the shards' LF mappings (four bytes a round where a bucket's symbols fit in 16
@@ -25,7 +26,7 @@ Anchors so frequent that one task should not hold their segments are found on a
 sample only decides how rows are dealt: every segment of every text takes part.
 
 Defined cases: null texts are empty; texts shorter than ``length`` are unchanged; rows that share an id count as one
-document; a null id sorts last; repeated rows are unchanged by each other; an empty table gives an empty result. ids must
+document; a null id sorts last, and the id 2**63 - 1 counts as null; repeated rows are unchanged by each other; an empty table gives an empty result. ids must
 be whole numbers. Columns of the input pass through, and those that clash with the outputs are replaced. Classes are told
 apart by two 64-bit hashes, all else by bytes.
 """
@@ -383,7 +384,7 @@ class _Bloom:
 
 
 def _bloom(asked: DataFrame, n: int, kind: int) -> _Bloom:
-    """Filter of the asked places; BLOOM_MB at most (then with more false hits, which do no harm), built in slices."""
+    """Filter of the asked places; BLOOM_MB at most, then with more false hits, built in slices."""
     size = min(max(1 << 12, 12 * n), BLOOM_MB << 23) // 8 * 8
     slices = max(1, -(-size // (1 << 22)))
 
@@ -475,6 +476,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 )
 
         rows = keyed.mapInArrow(fetch, "bucket int, id long, th long, s long, bytes binary")
+        if 12 * asked[1][0] > BLOOM_MB << 23:
+            rows = rows.join(found.where("kind = 1").select("id", "th", "s").distinct(), ["id", "th", "s"], "left_semi")
         spans.append(rows.groupBy("bucket").applyInArrow(_bucket_task(length), "id long, th long, s long, e long"))
     if 2 in asked:
         wide = spark.sparkContext.broadcast(_bloom(found, asked[2][0], 2))
