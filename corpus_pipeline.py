@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and reread as the next stage's
 docs. All but the last return the columns of documents.
+
+Defined cases: a null text counts as empty: it has no toxic words and stays, is one near-copy group with all texts without words,
+has nothing to cut and one token. A null id is scored, grouped, cut (after all other ids) and packed like any other. Repeated rows
+and ids are decided by row: of equal rows one stays. Long texts count whole. An empty table gives an empty result. Further
+columns of documents pass all stages but the last, whatever their names.
 """
 
 from __future__ import annotations
@@ -38,7 +43,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("toxicity", drop_toxic), ("simhash", drop_near_copies), ("suffix_array", cut_repeats), ("packing", pack)]
 
-#: SQL cannot express the fitted classifier; tests hold each stage against brute force.
+#: SQL cannot express the fitted classifier; tests/llm/test_pipeline.py holds the rows against brute force.
 ORACLE_SQL = None
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from plinth.functions import text as T
 from plinth.functions import units as U
 from plinth.operators import extraction, keyed, links, quality, topics
-from plinth.plans.registry import Tables, query
+from plinth.plans.registry import SQL, Tables, query
 
 _EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
 
@@ -212,3 +212,57 @@ def pager_templates(t: Tables) -> DataFrame:
 def amount_extract(t: Tables) -> DataFrame:
     d = t.documents.where(F.col("text").rlike("[0-9][0-9,]{5,}"))
     return d.select("doc_id", F.regexp_extract("text", "([0-9][0-9,]{5,})", 1).alias("amount"))
+
+
+@query(f"WITH h AS ({SQL['html_links']}) SELECT page_id, count(*) AS links, count(*) FILTER (WHERE contains(label, 'a') OR contains(label, 'er')) AS matched FROM h GROUP BY page_id")
+def matched_links(t: Tables) -> DataFrame:
+    """Links of each page and how many have a keyword in their label: the diagnosis of a source's coverage."""
+    found = extraction.match_links(extraction.html_links(t.pages, "page_id", "html"), ["a", "er"])
+    return found.groupBy("page_id").agg(F.count("*").alias("links"), F.count_if("matched").alias("matched"))
+
+
+@query(f"""
+    WITH h AS ({SQL['html_links']}), p AS (SELECT page_id, regexp_extract(url, '^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]+)', 1) AS root, regexp_extract(url, '^([^?#]*/)', 1) AS folder, regexp_extract(url, '^([a-zA-Z]+:)', 1) AS scheme FROM pages)
+    SELECT page_id, position, CASE WHEN regexp_matches(href, '^[a-zA-Z][a-zA-Z0-9+.-]*:') THEN href WHEN starts_with(href, '//') THEN scheme || href WHEN starts_with(href, '/') THEN root || href ELSE folder || href END AS address FROM h JOIN p USING (page_id)
+""")
+def absolute_links(t: Tables) -> DataFrame:
+    found = extraction.html_links(t.pages, "page_id", "html", ["url"])
+    return found.select("page_id", "position", extraction.absolute_url(F.col("url"), F.col("href")).alias("address"))
+
+
+@query(f"WITH h AS ({SQL['html_links']}) SELECT page_id, array_to_string(list(href ORDER BY first), '|') AS urls FROM (SELECT page_id, href, min(position) AS first FROM h WHERE ends_with(lower(href), 'e') GROUP BY ALL) GROUP BY page_id")
+def attachment_links(t: Tables) -> DataFrame:
+    """Distinct addresses of one ending, in order."""
+    found = extraction.attachments(extraction.html_links(t.pages, "page_id", "html"), "page_id", "e")
+    return found.select("page_id", F.array_join("urls", "|").alias("urls"))
+
+
+@query("SELECT page_id, CASE page_id % 3 WHEN 0 THEN '2024-01-' || (10 + page_id % 20) WHEN 1 THEN '2023-05-' || (10 + page_id % 20) ELSE '' END AS day FROM pages")
+def html_dates(t: Tables) -> DataFrame:
+    """Dates of pages that got a time element or a meta element."""
+    day = F.concat(F.lit("-"), (10 + F.col("page_id") % 20).cast("string"))
+    time, meta = F.concat(F.lit("<p><time class='x' datetime=\"2024-01"), day, F.lit("T10:00\">")), F.concat(F.lit("<meta property='article:published_time' content='2023-05"), day, F.lit("T00:00'>"))
+    own = F.when(F.col("page_id") % 3 == 0, F.concat(meta, time)).when(F.col("page_id") % 3 == 1, meta).otherwise("")
+    return t.pages.select("page_id", extraction.html_published(F.concat(own, F.col("html"))).alias("day"))
+
+
+_KANJI = "一二三四五六七八九"
+
+
+@query(f"""
+    WITH k AS (SELECT p_partkey, p_partkey % 9 + 1 AS h, p_partkey % 8 + 2 AS t, p_partkey % 7 + 1 AS u, string_split('{_KANJI}', '') AS d FROM part)
+    SELECT p_partkey, h * 10000 + t * 100 + u AS value, '締切 ' || (h * 100 + t * 10 + u) || '円 ' || u || ' AB' AS text FROM k
+""")
+def numerals(t: Tables) -> DataFrame:
+    """Numerals as numbers, and normalized texts with full-width figures and numerals before counters."""
+    k = F.col("p_partkey")
+    digit = lambda c: F.substring(F.lit(_KANJI), c.cast("int"), 1)
+    h, te, u = k % 9 + 1, k % 8 + 2, k % 7 + 1
+    text = F.concat(F.lit("締め切り　"), digit(h), F.lit("百"), digit(te), F.lit("十"), digit(u), F.lit("円  "), F.translate(u.cast("string"), "123456789", "１２３４５６７８９"), F.lit(" ＡＢ "))
+    return t.part.select("p_partkey", T.numeral_to_long(F.concat(digit(h), F.lit("万"), digit(te), F.lit("百"), digit(u))).alias("value"), T.normalize_text(text).alias("text"))
+
+
+@query("SELECT c_custkey, array_to_string(list_distinct_ordered, ',') AS sample FROM (SELECT c_custkey, CASE WHEN lower(c_mktsegment) = 'building' THEN ['building', c_name, 'x'] ELSE [lower(c_mktsegment), c_name, 'building'] END[1:2] AS list_distinct_ordered FROM customer)")
+def ordered_samples(t: Tables) -> DataFrame:
+    """The first two distinct values of several lists."""
+    return t.customer.select("c_custkey", F.array_join(keyed.ordered_sample(F.array(F.lower("c_mktsegment")), F.array(F.lower("c_mktsegment"), "c_name"), F.array(F.lit("building"), F.lit("x")), k=2), ",").alias("sample"))
