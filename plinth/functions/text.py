@@ -243,3 +243,23 @@ def section_after(text: Column, heading: str, stop: str, most: int = 7) -> Colum
     end = F.coalesce(F.array_position(F.transform(rest, lambda x, i: x.rlike(stop) & (i > 0)), True), F.lit(0)).cast("int")
     body = F.when(end > 0, F.slice(rest, F.lit(1), F.greatest(end - 1, F.lit(0)))).otherwise(rest)
     return F.when(at > 0, F.array_join(F.slice(body, 1, most), " ")).otherwise("")
+
+
+# What titles that report on an earlier record contain; words that stand where a name should, and ends of titles.
+STATUS_TOKENS = ["審査結果", "結果", "質問", "回答", "最優秀提案事業者", "決定"]
+NO_ROSTER_NAMES = ["署名", "主事", "主任", "長", "あて", "印", "A印"]
+ROSTER_TITLE_ENDS = ["主事", "主任", "係長", "課長", "部長", "局長", "技師", "担当"]
+
+
+def status_like(title: Column) -> Column:
+    """Whether a title reports on an earlier record, such as a result or an answer."""
+    return F.coalesce(title, F.lit("")).rlike("|".join(map(re.escape, STATUS_TOKENS)))
+
+
+def roster_name(name: Column) -> Column:
+    """Whether a name may stand in a roster: name characters only, neither letters alone, nor a stamp, nor a short title."""
+    n = F.coalesce(name_key(name), F.lit(""))
+    size = F.char_length(n)
+    title = n.rlike(f"(?:{'|'.join(ROSTER_TITLE_ENDS)})$") & (size <= 4)
+    shaped = n.rlike("^[㐀-鿿豈-﫿々ぁ-んァ-ヶーA-Za-z]{1,12}$") & ~n.rlike("^[A-Za-z]+$")
+    return shaped & ~n.isin(NO_ROSTER_NAMES) & ~(n.endswith("印") & (size <= 3)) & ~title

@@ -69,3 +69,15 @@ def theme_overlap(left: Column, right: Column, least: int = 3) -> Column:
     """A common token, or one inside the other with ``least`` characters."""
     inside = F.exists(left, lambda a: F.exists(right, lambda b: ((F.length(a) >= least) & b.contains(a)) | ((F.length(b) >= least) & a.contains(b))))
     return F.coalesce(F.arrays_overlap(left, right), F.lit(False)) | F.coalesce(inside, F.lit(False))
+
+
+def known_labels(names: list[str], general: list[str] = ()) -> list[str]:
+    """Known units without blanks, the longest first; blank names and general labels are left out."""
+    bare = {"".join(n.split()) for n in names if n.strip() and n.strip() not in general}
+    return sorted(bare, key=lambda x: (-len(x), x))
+
+
+def contains_known(c: Column, labels: list[str]) -> Column:
+    """Whether a text without its blanks holds one of ``known_labels``."""
+    bare = F.regexp_replace(F.coalesce(c, F.lit("")), r"[\s　]+", "")
+    return F.exists(F.array(*map(F.lit, labels)), lambda x: bare.contains(x)) if labels else F.lit(False)

@@ -100,6 +100,7 @@ def summary_lines(rows: DataFrame, key: str, total: str, missing: str, k: int =
     return parts
 
 
-def viable_roster_mention(quality: Column, confidence: Column, contact: Column, unit: Column, records: Column) -> Column:
-    """Whether a mention without a party may stand in a roster: a full name, a contact, two records, or a unit with enough confidence."""
-    return (quality == "full_name") | contact | (records >= 2) | ((unit != "") & (confidence >= 0.75)) | (confidence >= 0.9)
+def viable_roster_mention(quality: Column, confidence: Column, contact: Column, note: Column, mentions: Column) -> Column:
+    """Whether a mention without a party may stand in a roster: a note of its source, a contact, a full name, two mentions, or a
+    confidence of 0.9."""
+    return ~T.blank(note) | contact | (quality == "full_name") | (mentions >= 2) | (confidence >= 0.9)

@@ -220,7 +220,7 @@ def recommend_timeline(candidates: DataFrame, states: int = 5) -> DataFrame:
         for (_, _, mention), own in rows.groupby(["text", "unit", "mention_id"], sort=True, dropna=False):
             best = own[own.slot_id.notna()].sort_values(["score", "active_from", "slot_id"], ascending=False, kind="stable").head(states)
             day = own.day.iloc[0]
-            steps.append({"mention": mention, "date": None if pd.isna(day) else day, "unit": own.unit.iloc[0] or "", "surname_only": bool(own.surname_only.iloc[0]), "states": [{"slot": int(r.slot_id), "party": None if pd.isna(r.party_id) else int(r.party_id), "unit": r.slot_unit or "", "score": float(r.score)} for r in best.itertuples()]})
+            steps.append({"mention": mention, "date": None if pd.isna(day) else day, "unit": own.unit.iloc[0] or "", "surname_only": bool(own.surname_only.iloc[0]), "states": [{"slot": int(s), "party": None if pd.isna(p) else int(p), "unit": u or "", "score": float(c)} for s, p, u, c in zip(best.slot_id, best.party_id, best.slot_unit, best.score)]})
         found = [(rows["name"].iloc[0], s["mention"], p["slot"], p["score"]) for s, p in zip(steps, viterbi(steps)) if p is not None]
         return pd.DataFrame(found, columns=["name", "mention_id", "slot_id", "score"])
 

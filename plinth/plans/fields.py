@@ -158,7 +158,7 @@ def link_ranks(t: Tables) -> DataFrame:
     """The best link of each party, and how many of its mentions may stand in a roster."""
     status = F.when(F.col("l_returnflag") == "A", "auto_matched").when(F.col("l_returnflag") == "R", "reviewed_match").otherwise("review_pending")
     rank = resolution.link_rank(status, F.col("l_orderkey") % 2 == 1, F.col("l_discount"))
-    good = quality.viable_roster_mention(F.when(F.col("l_returnflag") == "A", "full_name").otherwise("unknown"), F.lit(0.8), F.lit(False), F.when(F.col("l_discount") >= 0.05, "u").otherwise(""), F.lit(1))
+    good = quality.viable_roster_mention(F.when(F.col("l_returnflag") == "A", "full_name").otherwise("unknown"), F.lit(0.8), F.lit(False), F.when(F.col("l_discount") >= 0.05, "note").otherwise(" "), F.lit(1))
     return t.lineitem.groupBy("l_suppkey").agg(F.max(rank).alias("r"), F.count_if(good).alias("viable")).select("l_suppkey", F.col("r.status").alias("status"), "viable")
 
 
@@ -204,3 +204,21 @@ def source_summary(t: Tables) -> DataFrame:
     s = t.documents.groupBy("source").agg(F.count("*").alias("n"), F.count_if(F.col("doc_id") % 3 == 0).alias("m"))
     return quality.summary_lines(s, "source", "n", "m")
 
+
+@query(f"""
+    WITH {_UNITS} SELECT p_partkey, contains(replace(name, ' ', ''), '観光局') OR contains(replace(name, ' ', ''), '企画係') OR contains(replace(name, ' ', ''), '振興室企画') AS known FROM u
+""")
+def known_units(t: Tables) -> DataFrame:
+    """Texts that hold a known unit, blanks aside."""
+    labels = U.known_labels(["観光局", "企画係", "振興室 企画", " ", "全般"], general=["全般"])
+    return unit_rows(t).select("p_partkey", U.contains_known(F.col("name"), labels).alias("known"))
+
+
+@query("""
+    SELECT c_custkey, c_custkey % 5 IN (0, 3) AS status, c_custkey % 4 = 0 AS roster FROM customer
+""")
+def title_and_roster_rules(t: Tables) -> DataFrame:
+    """Titles that report a result, and names that may stand in a roster."""
+    k = F.col("c_custkey")
+    text = lambda *options: F.element_at(F.array(*map(F.lit, options)), (k % len(options) + 1).cast("int"))
+    return t.customer.select("c_custkey", T.status_like(text("審査結果について", "募集", "案内", "質問への回答", "入札")).alias("status"), T.roster_name(text("甲野 一郎", "総務課長", "ABC", "乙印")).alias("roster"))

@@ -151,3 +151,9 @@ def backfill(mentions: DataFrame, appearances: DataFrame) -> DataFrame:
     confidence = F.when(contact, 0.9).when(~N.blank(F.col("party_raw")), 0.7).when(~N.blank(F.col("unit_raw")), 0.5).otherwise(0.0)
     new = none.select("record_id", "unit_raw", "party_raw", N.name_quality(F.col("party_raw")).alias("quality"), confidence.alias("confidence"), "email", "phone")
     return mentions.select(*new.columns).unionByName(new)
+
+
+def source_urls(spark: SparkSession, path: str, column: str = "url") -> DataFrame:
+    """The distinct non-blank addresses of a source index."""
+    df = read_csv(spark, path, [column])
+    return df.where(F.trim(column) != "").select(F.trim(column).alias("url")).distinct()
