@@ -56,3 +56,13 @@ def test_streams(spark, tmp_path):
     sink(spark.createDataFrame([(1, "approved")], "id int, status string"), 0)
     sink(spark.createDataFrame([(1, "pending"), (2, "pending")], "id int, status string"), 1)
     assert sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "t/v1")).collect()) == [(1, "approved"), (2, "pending")]
+
+
+def test_upserts_after_a_gap(spark, tmp_path):
+    """Batch numbers may be skipped, a batch may be replayed, and of two rows of one key one counts."""
+    sink = jobs.upsert_sink(str(tmp_path / "t"), ["id"])
+    one = lambda *rows: spark.createDataFrame(list(rows), "id int, n int")
+    sink(one((1, 1), (1, 2)), 0)
+    sink(one((2, 5)), 3)
+    sink(one((2, 6)), 3)
+    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "t" / "v3")).collect())) == [(1, 2), (2, 6)]
