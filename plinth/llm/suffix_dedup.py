@@ -48,6 +48,8 @@ LENGTH, GRAM = 100, 40
 CAP, BUCKET_BYTES, SHARD_BYTES = 2000, 1 << 19, 1 << 16
 #: Bytes of packed rows a class task is made for; bounds of the Bloom filter and of the list of frequent anchors.
 PART_BYTES, BLOOM_MB, FREQUENT = 8 << 20, 64, 100_000
+#: Bytes of texts that a scan looks at at once; a slice of n bytes can have n windows, each of some tens of bytes.
+SLICE, WINDOW_SLICE = 1 << 19, 1 << 17
 _POSITION = U((1 << 24) - 1)
 _LAST = (1 << 63) - 1
 _KEY, _TH, _SPANS = "__plinth_key", "__plinth_hash", "__plinth_spans"
@@ -432,7 +434,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def survey(batches):
         total, counted = 0, {}
-        for batch, data, offsets in text_chunks(batches, "text"):
+        for batch, data, offsets in text_chunks(batches, "text", SLICE):
             total += len(data)
             pick = np.flatnonzero(mix(batch.column(_TH).to_numpy().view(np.uint64)) % U(64) == 0)
             for i in pick:
@@ -449,7 +451,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def pack(batches):
         packer = _Packer(parts, hot, length)
-        for batch, data, offsets in text_chunks(batches, "text"):
+        for batch, data, offsets in text_chunks(batches, "text", SLICE):
             doc, start, n, v, h = segments(data, offsets, length, gram)
             packer.add(batch.column(_KEY).to_numpy(), batch.column(_TH).to_numpy(), doc, start - offsets[doc], n, v, h)
             if packer.full():
@@ -464,7 +466,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         buckets = max(1, -(-asked[1][1] // BUCKET_BYTES))
 
         def fetch(batches):
-            for batch, data, offsets in text_chunks(batches, "text"):
+            for batch, data, offsets in text_chunks(batches, "text", SLICE):
                 doc, start, n, v, _ = segments(data, offsets, length, gram)
                 ids = batch.column(_KEY).to_numpy()
                 at = np.flatnonzero(bloom.value.has(_place_hash(ids[doc], start - offsets[doc])))
@@ -485,7 +487,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
         def windows(batches):
             packer = _Packer(own_parts, np.zeros(0, np.uint64), length)
-            for batch, data, offsets in text_chunks(batches, "text"):
+            for batch, data, offsets in text_chunks(batches, "text", WINDOW_SLICE):
                 doc, start, n, _, _ = segments(data, offsets, length, gram)
                 ids = batch.column(_KEY).to_numpy()
                 at = np.flatnonzero(wide.value.has(_place_hash(ids[doc], start - offsets[doc])))
