@@ -332,6 +332,13 @@ class BigramModel:
 _HEAD = np.dtype([("row", "<u8"), ("n", "<i8"), ("held", "<i4"), ("known", "<i8"), ("base", "<f8"), ("model", "<f8")])
 
 
+def _runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(values, number of each element's value) of runs of equal values; texts come in order, so one run is one text."""
+    new = np.ones(len(x), bool)
+    new[1:] = x[1:] != x[:-1]
+    return x[new], np.cumsum(new) - 1
+
+
 class _Sender:
     """What a task keeps of its texts until it is sent on: heads with the shares that are known here, and the tokens that are not."""
 
@@ -372,7 +379,7 @@ class _Sender:
         rows, local, hashes, ratios = [b""], [b""], [b""], [b""]
         for p in some:
             a, b = cuts[p], cuts[p + 1]
-            used, own = np.unique(doc[a:b], return_inverse=True)
+            used, own = _runs(doc[a:b])
             rows.append(head["row"][used].tobytes())
             local.append(own.astype(np.uint32).tobytes())
             hashes.append(tok[a:b].tobytes())
@@ -441,7 +448,7 @@ def _probe_blobs(id_col: str, text_col: str, n_segments: int, send: _Sender, kee
             cuts = np.flatnonzero(np.concatenate([[True], seg[1:] != seg[:-1]])) if len(seg) else np.zeros(0, np.int64)
             rows, local = [b""], [b""]
             for a, b in zip(cuts, np.append(cuts[1:], len(seg))):
-                used, own = np.unique(doc[a:b], return_inverse=True)
+                used, own = _runs(doc[a:b])
                 rows.append(head["row"][used].tobytes())
                 local.append(own.astype(np.uint32).tobytes())
             cut = lambda x: [b""] + [x[a:b].tobytes() for a, b in zip(cuts, np.append(cuts[1:], len(seg)))]
