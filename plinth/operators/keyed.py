@@ -73,23 +73,28 @@ def alias_roots(aliases: DataFrame) -> DataFrame:
     """(old, new): what each merged value ends at. Chains are followed to their end by doubling; values of a cycle, and those that
     lead to one, end at the cycle's least value. Of several targets of one value the least counts."""
     step = aliases.where("old <> new").groupBy("old").agg(F.min("new").alias("new"))
-    step = step.withColumn("least", F.least("old", "new"))
+    step = step.withColumn("least", F.least("old", "new")).persist()  # each round reads the one before twice
     reach, many = 1, step.count()
     while True:
         after = step.select(F.col("old").alias("new"), F.col("new").alias("__next"), F.col("least").alias("__least"))
         open_ = step.join(after, "new", "left")
         if reach > many or open_.where("__next is not null").isEmpty():
             break
-        step = open_.select("old", F.coalesce("__next", "new").alias("new"), F.least("least", F.coalesce("__least", "least")).alias("least"))
+        step = open_.select("old", F.coalesce("__next", "new").alias("new"), F.least("least", F.coalesce("__least", "least")).alias("least")).persist()
         reach *= 2
     # a target that is still merged itself stands on a cycle, and after so many steps its least value is the cycle's
     return open_.select("old", F.coalesce("__least", "new").alias("new")).where("old <> new")
 
 
+def replace_values(df: DataFrame, roots: DataFrame, column: str) -> DataFrame:
+    """Values of a column replaced by (old, new) of ``alias_roots``."""
+    a = roots.select(F.col("old").alias(column), F.col("new").alias("__new"))
+    return df.join(a, column, "left").withColumn(column, F.coalesce("__new", column)).select(*df.columns)
+
+
 def apply_alias(df: DataFrame, aliases: DataFrame, column: str) -> DataFrame:
     """Values replaced by what they were merged into; ``aliases`` is (old, new), see ``alias_roots``."""
-    a = alias_roots(aliases).select(F.col("old").alias(column), F.col("new").alias("__new"))
-    return df.join(a, column, "left").withColumn(column, F.coalesce("__new", column)).select(*df.columns)
+    return replace_values(df, alias_roots(aliases), column)
 
 
 def distinct_key(df: DataFrame, key: str, order: list[str], out: str) -> DataFrame:

@@ -12,7 +12,7 @@ record_topics (record_id, topic, is_priority, confidence); rollups (party_id, to
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from plinth.functions import dates as D
 from plinth.functions import text as T
 from plinth.operators.graph import related_parties
-from plinth.operators.keyed import collect_sorted, latest_per_key, linked_pairs, top_k, without_any
+from plinth.operators.keyed import alias_roots, collect_sorted, latest_per_key, linked_pairs, replace_values, top_k, without_any
 from plinth.operators.resolution import cascade
 
 LINKED = ["auto_matched", "reviewed_match"]
@@ -194,24 +194,17 @@ def orphan_units(a: Archive) -> DataFrame:
 
 def merge_parties(a: Archive, aliases: DataFrame) -> Archive:
     """Every reference to a merged party points to the party it was merged into; notes and verified marks survive."""
-    from dataclasses import replace
-
-    from plinth.operators.keyed import apply_alias
-
-    moved = {n: apply_alias(getattr(a, n), aliases, "party_id") for n in ("mention_links", "transfer_links", "slots", "rollups", "notes")}
-    gone = a.parties.join(aliases.select(F.col("old").alias("party_id")), "party_id", "left_anti")
-    return replace(a, parties=gone, **moved)
+    roots = alias_roots(aliases)
+    moved = {n: replace_values(getattr(a, n), roots, "party_id") for n in ("mention_links", "transfer_links", "slots", "rollups", "notes")}
+    return replace(a, parties=a.parties.join(roots.select(F.col("old").alias("party_id")), "party_id", "left_anti"), **moved)
 
 
 def merge_units(a: Archive, aliases: DataFrame) -> Archive:
     """The same for units."""
-    from dataclasses import replace
-
-    from plinth.operators.keyed import apply_alias
-
-    moved = {n: apply_alias(getattr(a, n), aliases, "unit_id") for n in ("mentions", "slots")}
-    transfers = apply_alias(apply_alias(a.transfers, aliases, "from_unit_id"), aliases, "to_unit_id")
-    return replace(a, units=a.units.join(aliases.select(F.col("old").alias("unit_id")), "unit_id", "left_anti"), transfers=transfers, **moved)
+    roots = alias_roots(aliases)
+    moved = {n: replace_values(getattr(a, n), roots, "unit_id") for n in ("mentions", "slots")}
+    transfers = replace_values(replace_values(a.transfers, roots, "from_unit_id"), roots, "to_unit_id")
+    return replace(a, units=a.units.join(roots.select(F.col("old").alias("unit_id")), "unit_id", "left_anti"), transfers=transfers, **moved)
 
 
 def transfer_candidates(a: Archive, rows: DataFrame, top: int = 5, within: int = 540) -> DataFrame:
