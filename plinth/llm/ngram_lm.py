@@ -12,13 +12,17 @@ T(v) of histories stand in the same filter under keys of their own, quantised to
 How it scales. Token counts are an ordinary aggregation. A token that makes up 1/HOT or more of all tokens is hot: there
 are HOT of them at most, so their exact counts are broadcast. The filter is built in segments, each by one task from all
 keys that belong to it; keys of a rare history share a segment, those of a hot history are dealt by the whole bigram, so
-no key floods a segment. A filter of ``shard_mb`` at most is broadcast and probed while the texts are scanned. The filter
-grows with the corpus, and a larger one stays where it is: the texts' bigrams travel to the tasks that hold their segments
-and are probed there, so the corpus is read once whatever its size, and scores are the same. (Bigrams that make up 1/HOT of
-the training tokens do not travel: their levels, HOT of them at most, are broadcast.) Occurrences of rare tokens need c(w),
-which is not broadcast: they travel as packed arrays to the task that has the exact counts of their part of the vocabulary,
-and only sums come back. Sums find their text by a hash of id and text and not by position, so the order in which a
-recomputed task sees its rows does not matter.
+no key floods a segment. A filter of ``shard_mb`` at most is broadcast and probed while the texts are scanned. Occurrences
+of rare tokens need c(w), which is not broadcast: they travel as packed arrays to the task that has the exact counts of
+their part of the vocabulary, and only sums come back. Sums find their text by a hash of id and text and not by position,
+so the order in which a recomputed task sees its rows does not matter.
+
+The filter grows with the corpus, and a larger one stays where it is: slices of texts ask for each of their distinct
+bigrams and rare tokens once, at the task that holds its segment or part of the vocabulary, and answers come back in the
+order asked, so bytes per token do not grow with the number of segments. (Bigrams that make up 1/HOT of the training tokens
+are not asked for: their levels, HOT of them at most, are broadcast.) Slices are written before they are asked for, so a
+recomputed task sees the same ones. The texts go in WAVES waves at most, by a hash of id and text, and the files of a wave
+go before the next; each wave scans docs again and passes its own texts to Python. ``score`` then does its work at once.
 
 Defined cases: null texts are empty (one end token); a null id counts as id text '' (a training row) and keeps its row;
 repeated rows are learnt from and scored each; an empty table gives an empty result; extra columns, also of the names of
@@ -27,8 +31,10 @@ outputs, play no part. Texts are processed whole. Tokens, and texts that sums co
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -45,10 +51,23 @@ HOT = 50_000
 BASE, BITS, PROBES, SEGMENT_KEYS = 1.5, 8, 4, 1_000_000
 #: Largest filter that is broadcast; tokens that a task holds before it sends them on.
 SHARD_MB, KEEP = 96, 1 << 19
+#: Waves in which texts are scored where the filter is not broadcast; there is one for so many training tokens, WAVES at most.
+WAVES, WAVE_TOKENS = 8, 1 << 24
 _HELD, _ROW = "__plinth_held", "__plinth_row"
 _C_KEY, _T_KEY = U(0xC0C0C0C0C0C0C0C1), U(0x7E7E7E7E7E7E7E7F)
 
 
+def _write(scratch: Scratch, df: DataFrame) -> DataFrame:
+    """``scratch.write``; the shuffle files behind the table go once it stands, and not when the driver collects garbage."""
+    conf, name = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(name, "false")
+    conf.set(name, "true")
+    try:
+        return scratch.write(df)
+    finally:
+        conf.set(name, before)
+
+
 def held_out(doc_id: Column, folds: int = 7, fold: int = 2) -> Column:
     """Whether the CRC-32 of the id as text (null: empty) leaves ``fold`` modulo ``folds``."""
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))), F.lit(folds)) == fold
@@ -277,7 +296,7 @@ class BigramModel:
         scratch = scratch or Scratch(docs.sparkSession, "lm")
         docs = docs.select(text_col, held_out(F.col(id_col)).alias(_HELD))
         counts = docs.mapInArrow(_count_tokens(text_col), "h long, train long, every long").groupBy("h").agg(F.sum("train").alias("train"), F.sum("every").alias("every"))
-        counts = scratch.write(counts)
+        counts = _write(scratch, counts)
         tokens, types, every = counts.agg(F.coalesce(F.sum("train"), F.lit(0)), F.count_if(F.col("train") > 0), F.coalesce(F.sum("every"), F.lit(0))).first()
         top = counts.where((F.col("every") * hot >= every) | (F.col("h") == int(END))).select("h", "train").toArrow()  # hot + 1 rows at most
         keys, train = top["h"].to_numpy().view(np.uint64), top["train"].to_numpy()
@@ -288,7 +307,7 @@ class BigramModel:
         n_segments = max(1, -(-tokens // segment_keys))
         blobs = docs.mapInArrow(_bigram_blobs(text_col, keys, n_segments), "seg int, ones binary, many binary, counts binary")
         build = _segment_builder(hot32, max(1, tokens / hot), bits)
-        segments = scratch.write(blobs.groupBy("seg").applyInArrow(build, "seg int, bits binary, hot array<int>, followers array<long>, top array<long>, levels array<int>"))
+        segments = _write(scratch, blobs.groupBy("seg").applyInArrow(build, "seg int, bits binary, hot array<int>, followers array<long>, top array<long>, levels array<int>"))
         partial = segments.select(F.explode(F.arrays_zip("hot", "followers")).alias("x")).groupBy("x.hot").agg(F.sum("x.followers").alias("n")).toArrow()  # a row per hot history
         by32 = np.zeros(len(hot32), np.int64)
         by32[partial["hot"].to_numpy()] = partial["n"].to_numpy()
@@ -310,25 +329,44 @@ class BigramModel:
             data[at[r.seg] : at[r.seg] + len(r.bits)] = r.bits
         return Shard(0, at[:-1] * 8, np.array([sizes.get(i, 8) * 8 for i in range(self.n_segments)]), bytes(data))
 
-    def score(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_bytes: int = 24 << 20) -> DataFrame:
+    def score(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_bytes: int = 24 << 20, waves: int | None = None) -> DataFrame:
         """(id_col, held_out, n_tokens, n_known, train_tokens, base_score, score), one row per input row."""
         docs = docs.select(id_col, text_col, held_out(F.col(id_col)).alias(_HELD), F.xxhash64(id_col, F.coalesce(text_col, F.lit(""))).alias(_ROW))
         kind = dict(docs.dtypes)[id_col]
         parts = max(4, -(-self.tokens * 8 // part_bytes))  # about half of the tokens are rare, 16 bytes each
-        sent_fields = f"part int, ids array<{kind}>, head binary, rows binary, docs binary, hashes binary, ratios binary"
-        send = _Sender(parts, self.hot, self.tokens, self.types)
-        if self.filter_bytes() <= self.shard_mb << 20:
-            sent = docs.sparkSession.sparkContext.broadcast(self.shard())
-            blobs = docs.mapInArrow(_score_here(id_col, text_col, sent, self.n_segments, send), sent_fields)
-        else:
-            probes = docs.mapInArrow(_probe_blobs(id_col, text_col, self.n_segments, send), f"seg int, ids array<{kind}>, head binary, rows binary, docs binary, keys binary, hashes binary")
-            blobs = probes.groupBy("seg").cogroup(self.segments.select("seg", "bits").groupBy("seg")).applyInArrow(_score_there(send, kind), sent_fields)
+        schema = f"`{id_col}` {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
         counts = self.counts.select(F.pmod(F.col("h"), F.lit(parts)).cast("int").alias("part"), "h", "train")
+        send = _Sender(parts, self.hot, self.tokens, self.types)
+        if self.filter_bytes() > self.shard_mb << 20:
+            return self._score_in_waves(docs, id_col, text_col, kind, schema, send, counts, waves or min(WAVES, 1 + self.tokens // WAVE_TOKENS))
+        sent = docs.sparkSession.sparkContext.broadcast(self.shard())
+        blobs = docs.mapInArrow(_score_here(id_col, text_col, sent, self.n_segments, send), f"part int, ids array<{kind}>, head binary, rows binary, docs binary, hashes binary, ratios binary")
         sums = blobs.groupBy("part").cogroup(counts.groupBy("part")).applyInArrow(_exact_part(parts, self.tokens, self.types), f"bucket int, ids array<{kind}>, head binary")
-        schema = f"`{id_col}` {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
         return sums.groupBy("bucket").applyInArrow(_collect_bucket(id_col, self.tokens, self.types), schema)
 
-
+    def _score_in_waves(self, docs: DataFrame, id_col: str, text_col: str, kind: str, schema: str, send: _Sender, counts: DataFrame, waves: int) -> DataFrame:
+        """Scores by a filter that stays in its segments."""
+        counts = _write(self.scratch, counts.where("train > 0").groupBy("part").applyInArrow(_pack_counts, "place int, hashes binary, counts binary"))
+        segments = self.segments.select(F.col("seg").alias("place"), "bits")
+        out = []
+        for wave in range(waves):
+            own = docs.where(F.pmod(F.shiftrightunsigned(_ROW, 16), F.lit(waves)) == wave)
+            slices = _write(self.scratch, own.mapInArrow(_ask(id_col, text_col, self.n_segments, send), f"slice long, kind int, place int, ids array<{kind}>, {', '.join(f'{x} binary' for x in _HOME)}, asked binary"))
+            asked = lambda what: slices.where(F.col("kind") == what).select("slice", "place", "asked").groupBy("place")  # noqa: B023, E731
+            grams = asked(_GRAMS).cogroup(segments.groupBy("place")).applyInArrow(_answer_grams(send), "slice long, place int, shares binary, ratios binary")
+            rare = asked(_RARE).cogroup(counts.groupBy("place")).applyInArrow(_answer_rare, "slice long, place int, counts binary")
+            home = slices.where(F.col("kind") == _TEXTS).select("slice", "kind", "place", "ids", *_HOME)
+            answers = home.unionByName(grams.withColumn("kind", F.lit(_GRAMS)), True).unionByName(rare.withColumn("kind", F.lit(_RARE)), True)
+            out.append(_write(self.scratch, answers.groupBy("slice").applyInArrow(_finish(id_col, send, self.tokens), schema)))
+            self.scratch.drop(slices)
+        self.scratch.drop(counts)
+        return reduce(DataFrame.unionAll, out)
+
+
+#: Kinds of rows of a slice: its texts, the bigrams it asks a segment for, the rare tokens it asks a part of the vocabulary for.
+_TEXTS, _GRAMS, _RARE = 0, 1, 2
+#: What a slice keeps: heads, occurrences asked for in each text, the number of each one's bigram, the token of each bigram.
+_HOME = ("head", "lengths", "which", "refs")
 _HEAD = np.dtype([("row", "<u8"), ("n", "<i8"), ("held", "<i4"), ("known", "<i8"), ("base", "<f8"), ("model", "<f8")])
 
 
@@ -369,7 +407,7 @@ class _Sender:
         head["model"] += np.bincount(doc, t_part, n) + np.bincount(own, np.log10(ratio[is_hot] + (count + 1.0) / self.norm), n)
         return ~is_hot
 
-    def blobs(self, number: int, ids: pa.Array | None, head: np.ndarray, doc: np.ndarray, tok: np.ndarray, ratio: np.ndarray, id_type: pa.DataType) -> pa.RecordBatch:
+    def blobs(self, number: int, ids: pa.Array, head: np.ndarray, doc: np.ndarray, tok: np.ndarray, ratio: np.ndarray) -> pa.RecordBatch:
         """One row with the heads and one for each part of the vocabulary that has tokens; doc counts within head."""
         part = (tok.view(np.int64) % self.parts).astype(np.int64)
         order = np.argsort(part, kind="stable")
@@ -384,7 +422,6 @@ class _Sender:
             local.append(own.astype(np.uint32).tobytes())
             hashes.append(tok[a:b].tobytes())
             ratios.append(ratio[a:b].astype(np.float32).tobytes())
-        ids = ids if ids is not None else pa.array([], id_type)
         lists = pa.ListArray.from_arrays(pa.array([0] + [len(ids)] * (len(some) + 1), pa.int32()), ids)
         return pa.RecordBatch.from_arrays(
             [pa.array([number % self.parts, *some.tolist()], pa.int32()), lists, pa.array([head.tobytes()] + [None] * len(some), pa.binary()), *(pa.array(x, pa.binary()) for x in (rows, local, hashes, ratios))],
@@ -410,7 +447,7 @@ def _score_here(id_col: str, text_col: str, sent, n_segments: int, send: _Sender
         def flush() -> pa.RecordBatch:
             ids, heads, doc, tok, ratio = zip(*held)
             ids = pa.concat_arrays(ids)
-            return send.blobs(number, ids, np.concatenate(heads), np.concatenate(doc), np.concatenate(tok), np.concatenate(ratio), ids.type)
+            return send.blobs(number, ids, np.concatenate(heads), np.concatenate(doc), np.concatenate(tok), np.concatenate(ratio))
 
         for batch, data, offsets in text_chunks(batches, text_col):
             tok, hist, n = _tokens(data, offsets)
@@ -431,95 +468,161 @@ def _score_here(id_col: str, text_col: str, sent, n_segments: int, send: _Sender
     return run
 
 
-def _probe_blobs(id_col: str, text_col: str, n_segments: int, send: _Sender, keep: int = KEEP):
-    """Deals the bigrams of texts to the segments of the filter; those that are hot with their histories are scored here."""
+def _distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(a place of each distinct value, number of each element's value)."""
+    order = np.argsort(x)
+    new = np.ones(len(x), bool)
+    new[1:] = x[order[1:]] != x[order[:-1]]
+    number = np.empty(len(x), np.int64)
+    number[order] = np.cumsum(new) - 1
+    return order[new], number
+
+
+def _dealt(to: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(order by ``to``, rank of each element in it, starts of the runs and the end)."""
+    order = np.argsort(to, kind="stable")
+    rank = np.empty(len(to), np.int64)
+    rank[order] = np.arange(len(to))
+    own = to[order]
+    return order, rank, np.append(np.flatnonzero(np.append(True, own[1:] != own[:-1])) if len(to) else np.zeros(0, np.int64), len(to))
+
+
+def _ask(id_col: str, text_col: str, n_segments: int, send: _Sender, keep: int = 2 * KEEP):
+    """Slices of texts: a row with the texts, and what they ask each segment and each part of the vocabulary for. Bigrams that
+    are hot with their histories are scored here."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, often = _Lookup(send.hot["keys"]), _Lookup(send.hot["bigrams"])
         none = Shard(0, np.zeros(1, np.int64), np.array([64]), bytes(8))
-        held, size, docs, number = [], 0, 0, 0
+        held, size = [], 0
 
         def flush() -> pa.RecordBatch:
-            ids, heads, doc, keys, tok, seg = zip(*held)
-            ids, head = pa.concat_arrays(ids), np.concatenate(heads)
-            doc, keys, tok, seg = (np.concatenate(x) for x in (doc, keys, tok, seg))
-            order = np.argsort(seg, kind="stable")
-            doc, keys, tok, seg = doc[order], keys[order], tok[order], seg[order]
-            cuts = np.flatnonzero(np.concatenate([[True], seg[1:] != seg[:-1]])) if len(seg) else np.zeros(0, np.int64)
-            rows, local = [b""], [b""]
-            for a, b in zip(cuts, np.append(cuts[1:], len(seg))):
-                used, own = _runs(doc[a:b])
-                rows.append(head["row"][used].tobytes())
-                local.append(own.astype(np.uint32).tobytes())
-            cut = lambda x: [b""] + [x[a:b].tobytes() for a, b in zip(cuts, np.append(cuts[1:], len(seg)))]
-            lists = pa.ListArray.from_arrays(pa.array([0] + [len(ids)] * (len(cuts) + 1), pa.int32()), ids)
+            ids, *rest = zip(*held)
+            ids = pa.concat_arrays(ids)
+            head, lengths, hist, tok = (np.concatenate(x) for x in rest)
+            first, which = _distinct(tok ^ mix(hist))
+            hist, tok = hist[first], tok[first]
+            keys = bigram_keys(hist, tok)
+            seg = segments_of(keys, hist, table.find(hist)[1], n_segments)
+            order, rank, cuts = _dealt(seg)
+            keys, tok, seg, which = keys[order], tok[order], seg[order], rank[which]
+            place, is_hot = table.find(tok)
+            first, number = _distinct(tok[~is_hot])
+            rare = tok[~is_hot][first]
+            part = (rare.view(np.int64) % send.parts).astype(np.int64)
+            order, rank, ends = _dealt(part)
+            rare, part = rare[order], part[order]
+            refs = -1 - place
+            refs[~is_hot] = rank[number]
+            kinds = [_TEXTS] + [_GRAMS] * (len(cuts) - 1) + [_RARE] * (len(ends) - 1)
+            asked = [x[a:b].tobytes() for x, at in ((keys, cuts), (rare, ends)) for a, b in zip(at, at[1:])]
+            home = [head.tobytes(), lengths.astype(np.uint32).tobytes(), which.astype(np.uint32).tobytes(), refs.astype(np.int32).tobytes()]
+            own = int.from_bytes(os.urandom(8), "little") >> 1  # the slices are written: no other run of the task counts
             return pa.RecordBatch.from_arrays(
-                [pa.array([number % n_segments, *seg[cuts].tolist()], pa.int32()), lists, pa.array([head.tobytes()] + [None] * len(cuts), pa.binary()), *(pa.array(x, pa.binary()) for x in (rows, local, cut(keys), cut(tok)))],
-                names=["seg", "ids", "head", "rows", "docs", "keys", "hashes"],
+                [
+                    pa.array(np.full(len(kinds), own, np.int64)),
+                    pa.array(kinds, pa.int32()),
+                    pa.array([0, *seg[cuts[:-1]].tolist(), *part[ends[:-1]].tolist()], pa.int32()),
+                    pa.ListArray.from_arrays(pa.array([0] + [len(ids)] * len(kinds), pa.int32()), ids),
+                    *(pa.array([x] + [None] * len(asked), pa.binary()) for x in home),
+                    pa.array([None, *asked], pa.binary()),
+                ],
+                names=["slice", "kind", "place", "ids", *_HOME, "asked"],
             )
 
         for batch, data, offsets in text_chunks(batches, text_col):
             tok, hist, n = _tokens(data, offsets)
             at, is_hot = table.find(hist)
             keys = bigram_keys(hist, tok)
-            seg = segments_of(keys, hist, is_hot, n_segments)
             head, doc = _heads(batch, n), np.repeat(np.arange(batch.num_rows), n)
             place, here = often.find(keys)
             here &= is_hot & table.find(tok)[1]
             q = VALUES[send.hot["levels"][place[here]]] if here.any() else np.zeros(0)
-            t_part, ratio = send.history(none, seg[here], keys[here], q, at[here], is_hot[here])
+            t_part, ratio = send.history(none, np.zeros(len(q), np.int64), keys[here], q, at[here], is_hot[here])
             send.known(head, doc[here], tok[here], t_part, ratio)
-            held.append((batch.column(id_col), head, doc[~here] + docs, keys[~here], tok[~here], seg[~here]))
-            size, docs = size + int((~here).sum()), docs + batch.num_rows
+            held.append((batch.column(id_col), head, np.bincount(doc[~here], minlength=batch.num_rows), hist[~here], tok[~here]))
+            size += int((~here).sum())
             if size > keep:
                 yield flush()
-                held, size, docs, number = [], 0, 0, number + 1
+                held, size = [], 0
         if held:
             yield flush()
 
     return run
 
 
-def _score_there(send: _Sender, id_kind: str, keep: int = KEEP):
-    """Probes one segment of the filter for the bigrams that have come to it; heads pass through."""
+def _asked(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """(all that is asked for, bounds of each row's)."""
+    own = [np.frombuffer(x.as_buffer(), np.uint64) for x in t["asked"]]
+    return np.concatenate([np.zeros(0, np.uint64), *own]), np.cumsum([0, *map(len, own)])
+
+
+def _answers(t: pa.Table, bounds: np.ndarray, **columns: np.ndarray) -> pa.Table:
+    cut = {name: pa.array([x[a:b].tobytes() for a, b in zip(bounds, bounds[1:])], pa.binary()) for name, x in columns.items()}
+    return pa.table({"slice": t["slice"], "place": t["place"]} | cut)
+
+
+def _answer_grams(send: _Sender):
+    """Probes one segment of the filter for the bigrams that it is asked for."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         bits = right["bits"][0].as_py() if right.num_rows else bytes(8)
         shard = Shard(0, np.zeros(1, np.int64), np.array([len(bits) * 8]), bits)
         hot32 = mix(send.hot["keys"]) >> U(32)
         by32 = np.argsort(hot32)
-        table = _Lookup(hot32[by32])
-        out, held, size = [], [], 0
-        id_type = left.schema.field("ids").type.value_type
-
-        def flush(number: int) -> None:
-            heads, doc, tok, ratio = (np.concatenate(x) for x in zip(*held))
-            out.append(send.blobs(number, None, heads, doc, tok, ratio, id_type))
-
-        docs = 0
-        for number in range(left.num_rows):
-            if left["head"][number].is_valid:
-                empty = np.zeros(0, np.uint64)
-                out.append(send.blobs(number, left["ids"][number].values, np.frombuffer(left["head"][number].as_buffer(), _HEAD), empty.astype(np.int64), empty, empty.astype(np.float32), id_type))
-                continue
-            read = lambda name, kind: np.frombuffer(left[name][number].as_buffer(), kind)  # noqa: B023, E731
-            keys, tok, doc = read("keys", np.uint64), read("hashes", np.uint64), read("docs", np.uint32).astype(np.int64)
-            head = np.zeros(len(read("rows", np.uint64)), _HEAD)
-            head["row"] = read("rows", np.uint64)
-            at, is_hot = table.find(keys >> U(32))
-            seg = np.zeros(len(keys), np.int64)
-            t_part, ratio = send.history(shard, seg, keys, VALUES[shard.levels(seg, keys)], by32[at], is_hot)
-            rare = send.known(head, doc, tok, t_part, ratio)
-            held.append((head, doc[rare] + docs, tok[rare], ratio[rare].astype(np.float32)))
-            size, docs = size + int(rare.sum()), docs + len(head)
-            if size > keep:
-                flush(number)
-                held, size, docs = [], 0, 0
-        if held:
-            flush(left.num_rows)
-        if not out:  # a segment that no text asks for
-            out.append(send.blobs(0, None, np.zeros(0, _HEAD), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.float32), id_type))
-        return pa.Table.from_batches(out)
+        keys, bounds = _asked(left)
+        first, number = _distinct(keys)
+        keys = keys[first]
+        at, is_hot = _Lookup(hot32[by32]).find(keys >> U(32))
+        seg = np.zeros(len(keys), np.int64)
+        share, ratio = send.history(shard, seg, keys, VALUES[shard.levels(seg, keys)], by32[at], is_hot)
+        return _answers(left, bounds, shares=share[number], ratios=ratio.astype(np.float32)[number])
+
+    return run
+
+
+def _pack_counts(t: pa.Table) -> pa.Table:
+    """One row of a part of the vocabulary: its hashes in order and their counts."""
+    h, c = t["h"].to_numpy().view(np.uint64), t["train"].to_numpy()
+    order = np.argsort(h)
+    return pa.table({"place": t["part"].slice(0, 1).combine_chunks(), "hashes": pa.array([h[order].tobytes()], pa.binary()), "counts": pa.array([c[order].tobytes()], pa.binary())})
+
+
+def _answer_rare(left: pa.Table, right: pa.Table) -> pa.Table:
+    """Exact counts of the tokens that one part of the vocabulary is asked for."""
+    read = lambda name, kind: np.frombuffer(right[name][0].as_buffer(), kind) if right.num_rows else np.zeros(0, kind)
+    c, (tok, bounds) = read("counts", np.int64), _asked(left)
+    at, found = _Lookup(read("hashes", np.uint64)).find(tok)
+    return _answers(left, bounds, counts=np.where(found, c[at] if len(c) else 0, 0).astype(np.int64))
+
+
+def _finish(id_col: str, send: _Sender, tokens: int):
+    """Scores the texts of one slice from the answers."""
+
+    def run(t: pa.Table) -> pa.Table:
+        kind, place = t["kind"].to_numpy(), t["place"].to_numpy()
+        home = int(np.flatnonzero(kind == _TEXTS)[0])
+
+        def answer(what: int, name: str, dtype: type) -> np.ndarray:
+            rows = np.flatnonzero(kind == what)
+            return np.concatenate([np.zeros(0, dtype), *(np.frombuffer(t[name][int(i)].as_buffer(), dtype) for i in rows[np.argsort(place[rows])])])
+
+        head, lengths, which, refs = (np.frombuffer(t[name][home].as_buffer(), dtype) for name, dtype in zip(_HOME, (_HEAD, np.uint32, np.uint32, np.int32)))
+        count, is_rare = np.zeros(len(refs)), refs >= 0
+        count[is_rare] = answer(_RARE, "counts", np.int64)[refs[is_rare]]
+        count[~is_rare] = send.hot["train"][-1 - refs[~is_rare]]
+        model = answer(_GRAMS, "shares", np.float64) + np.log10(answer(_GRAMS, "ratios", np.float32).astype(np.float64) + (count + 1.0) / send.norm)
+        doc, n = np.repeat(np.arange(len(head)), lengths), len(head)
+        more = lambda x: np.bincount(doc, x[which], n)
+        columns = {
+            "held_out": head["held"] > 0,
+            "n_tokens": head["n"],
+            "n_known": head["known"] + more(count > 0).astype(np.int64),
+            "train_tokens": np.full(n, tokens, np.int64),
+            "base_score": head["base"] + more(np.log10(count + 1.0)) - head["n"] * np.log10(send.norm),
+            "score": head["model"] + more(model),
+        }
+        return pa.table({id_col: t["ids"][home].values} | {name: pa.array(np.ascontiguousarray(x)) for name, x in columns.items()})
 
     return run
 
@@ -535,13 +638,8 @@ def _exact_part(buckets: int, tokens: int, types: int):
         ids, heads, sums = [], [], [np.zeros(0, _HEAD)]
         for row in range(left.num_rows):
             if left["head"][row].is_valid:
-                head = np.frombuffer(left["head"][row].as_buffer(), _HEAD)
-                own = left["ids"][row].values
-                if len(own):  # texts with what is known of them; else sums only
-                    ids.append(own)
-                    heads.append(head)
-                else:
-                    sums.append(head)
+                ids.append(left["ids"][row].values)
+                heads.append(np.frombuffer(left["head"][row].as_buffer(), _HEAD))
                 continue
             read = lambda name, kind: np.frombuffer(left[name][row].as_buffer(), kind)  # noqa: B023, E731
             tok, doc, ratio, rows = read("hashes", np.uint64), read("docs", np.uint32).astype(np.int64), read("ratios", np.float32).astype(np.float64), read("rows", np.uint64)

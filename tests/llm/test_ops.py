@@ -5,10 +5,12 @@ import json
 import math
 import os
 import random
+import time
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 import xxhash
@@ -328,6 +330,50 @@ def test_language_model(spark, docs, empty):
     assert ngram_lm.BigramModel.fit(empty, shard_mb=0).score(docs).count() == len(rows)
 
 
+def test_language_model_leaves_no_shuffle_files(spark, docs, monkeypatch):
+    """A filter that is not broadcast: waves give the scores of the broadcast one, and their files on disk go with them."""
+    monkeypatch.setattr(ngram_lm, "WAVE_TOKENS", 10_000, raising=False)
+    r = np.random.default_rng(4)
+    many = spark.createDataFrame([(1000 + i, " ".join(f"w{int(x)}" for x in r.zipf(1.3, 300) % 5000)) for i in range(150)], docs.select("doc_id", "text").schema)
+    many = docs.select("doc_id", "text").unionAll(many).unionAll(many.where("doc_id < 1003"))
+    tokens = sum(len((x.text or "").encode().split()) + 1 for x in many.collect())
+
+    def on_disk():
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return sum(files.apply(i).length() for i in range(files.size()) if files.apply(i).getName().startswith("shuffle_"))
+
+    kw, got = {"hot": 20, "segment_keys": 100, "bits": 96}, []
+    for shard_mb in (96, 0):
+        model = ngram_lm.BigramModel.fit(many, shard_mb=shard_mb, **kw)
+        before = on_disk()
+        scored = model.score(many, part_bytes=3000)
+        got.append(collections.Counter((x.doc_id, x.held_out, x.n_tokens, x.n_known, x.train_tokens, round(x.base_score, 4), round(x.score, 3)) for x in scored.toLocalIterator()))
+    assert got[0] == got[1] and got[0].total() == many.count()
+    until = time.monotonic() + 20
+    while (left := (on_disk() - before) / tokens) > 4 and time.monotonic() < until:  # files go in the background
+        time.sleep(0.5)
+    assert left <= 4
+
+
+def test_language_model_asks_once():
+    """What a slice asks for does not grow with the number of segments and parts, and repeated bigrams are asked for once."""
+    r = np.random.default_rng(5)
+    text = " ".join(f"w{x}" for x in r.integers(0, 20_000, 40_000))
+    ids = pa.array(range(4), pa.int64())
+    batch = pa.record_batch([ids, pa.array([text, text, None, "w1 w2"]), pa.array([False] * 4), ids], names=["doc_id", "text", ngram_lm._HELD, ngram_lm._ROW])
+    hot = {"keys": np.array([ngram_lm.START]), "train": np.array([4]), "followers": np.array([2]), "bigrams": np.zeros(0, np.uint64), "levels": np.zeros(0, np.int64)}
+    every = [[*(t or "").split(), None] for t in batch["text"].to_pylist()]
+    distinct, sizes = [len({p for x in every for p in zip([0, *x], x)}), len({w for x in every for w in x})], []
+    for n in (1, 300):
+        (got,) = ngram_lm._ask("doc_id", "text", n, ngram_lm._Sender(n, hot, 80_000, 20_000))(iter([batch]))
+        kinds = got["kind"].to_pylist()
+        asked = [sum(len(x) for k, x in zip(kinds, got["asked"].to_pylist()) if k == kind) // 8 for kind in (ngram_lm._GRAMS, ngram_lm._RARE)]
+        assert asked == distinct
+        assert got["ids"].to_pylist() == [ids.to_pylist()] + [[]] * (len(kinds) - 1)
+        sizes.append(got.nbytes)
+    assert sizes[1] < 1.1 * sizes[0]
+
+
 def test_filter_counts_are_close():
     r = np.random.default_rng(0)
     keys = np.unique(r.integers(0, 2**63, 5000).astype(np.uint64))
