@@ -27,12 +27,29 @@ def reference_names(names: DataFrame, name: str, order: str) -> DataFrame:
     return keyed.groupBy("name_key").agg(F.min_by("name", F.struct("__o", "name")).alias("name")).select("name", "name_key")
 
 
-def numbered(new: DataFrame, old: DataFrame, id_col: str, order: list[str]) -> DataFrame:
-    """new with ids after the largest of old, in order. The rows of each task's range are counted, so no task has to hold all."""
+def numbered(new: DataFrame, old: DataFrame, id_col: str, order: list[str], ranges: int = 64, sampled: int = 4096) -> DataFrame:
+    """new with ids after the largest of old, in order. The rows of each range of keys are counted, so no task has to hold all.
+
+    A row's range follows from its own key and fixed bounds: ranges of a shuffle are drawn and merged anew in each of the two scans.
+    """
     top = old.agg(F.coalesce(F.max(id_col), F.lit(0)).cast("long")).first()[0]
-    spread = new.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__p", F.spark_partition_id())
+    drawn = sorted({tuple(r) for r in new.select(*order).na.drop().orderBy(F.xxhash64(*order)).limit(sampled).collect()})
+    bounds = drawn[:: -(-len(drawn) // ranges) or 1][1:]
+    lit = lambda c, v: F.lit(v).cast(new.schema[c].dataType).alias(c)
+    one = len(order) == 1
+    key = F.col(order[0]) if one else F.struct(*[F.col(c).alias(c) for c in order])
+
+    def place(low: int, high: int) -> Column:
+        """How many of the bounds from low to high the key has reached, and all before."""
+        if low == high:
+            return F.lit(low)
+        mid = (low + high) // 2
+        held = lit(order[0], bounds[mid][0]) if one else F.struct(*[lit(c, v) for c, v in zip(order, bounds[mid])])
+        return F.when(key < held, place(low, mid)).otherwise(place(mid + 1, high))
+
+    spread = new.withColumn("__p", F.when(key.isNull(), 0).otherwise(place(0, len(bounds))))
     counts = spread.groupBy("__p").agg(F.count("*").alias("__c"))
-    before = counts.select("__p", (F.sum("__c").over(W.orderBy("__p")) - F.col("__c")).alias("__before"))  # a row for each task
+    before = counts.select("__p", (F.sum("__c").over(W.orderBy("__p")) - F.col("__c")).alias("__before"))  # a row for each range
     own = spread.withColumn("__n", F.row_number().over(W.partitionBy("__p").orderBy(*order)))
     return own.join(F.broadcast(before), "__p").withColumn(id_col, F.lit(top) + F.col("__before") + F.col("__n")).drop("__p", "__n", "__before")
 

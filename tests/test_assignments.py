@@ -196,3 +196,20 @@ def test_paths_and_reports(spark, tmp_path, monkeypatch):
     assert rows(files.backfill(m, a), "record_id", "confidence") == [(1, 0.9), (2, 0.9), (3, 0.7), (4, 0.5), (5, 0.0)]
     got = quality.summary_lines(spark.createDataFrame([("a", 5, 1), ("b", 7, 0), ("c", 1, 1)], "s string, n int, m int"), "s", "n", "m", 2)
     assert [tuple(r) for r in got.collect()] == [("all", 1, "n", 13), ("all", 2, "m", 2), ("most rows", 1, "b", 7), ("most rows", 2, "a", 5), ("most missing", 1, "a", 1), ("most missing", 2, "c", 1)]
+
+
+def test_numbers_of_many_parts(spark):
+    """Ids follow the keys without a gap when Spark merges small parts: each scan must put a row in the same range."""
+    many = 20000
+    new = spark.range(many, numPartitions=7).select(F.format_string("k%06d", F.col("id") * 7919 % many).alias("party_key"), F.concat(*[F.sha2((F.col("id") * 9 + i).cast("string"), 512) for i in range(4)]).alias("display_name"))
+    old = spark.createDataFrame([(5, "a", "A")], "party_id long, party_key string, display_name string")
+    before = {c: spark.conf.get(c) for c in ("spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.adaptive.coalescePartitions.parallelismFirst", "spark.sql.shuffle.partitions")}
+    try:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64k")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.parallelismFirst", "false")
+        spark.conf.set("spark.sql.shuffle.partitions", "64")
+        got = sorted((r.party_id, r.party_key) for r in directory.numbered(new, old, "party_id", ["party_key"]).collect())
+    finally:
+        for c, v in before.items():
+            spark.conf.set(c, v)
+    assert got == [(6 + i, f"k{i:06d}") for i in range(many)]
