@@ -129,7 +129,7 @@ def cause_buckets(t: Tables) -> DataFrame:
     """
 )
 def summary_line(t: Tables) -> DataFrame:
-    return titled(t).select("doc_id", T.summary_line(F.col("text"), F.element_at(F.filter(F.transform(T.lines_of(F.col("text")), T.squeeze), lambda x: x != ""), 1)).alias("summary"))
+    return titled(t).select("doc_id", T.summary_line(F.col("text"), F.get(F.filter(F.transform(T.lines_of(F.col("text")), T.squeeze), lambda x: x != ""), F.lit(0))).alias("summary"))
 
 
 @query(
