@@ -13,6 +13,12 @@ def plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def test_uses_count_once(spark):
+    out = keyed.without_any(spark.range(30).toDF("u"), [(spark.range(5000).select((F.col("id") % 20).alias("x")), "x", "u")])
+    assert sorted(r.u for r in out.collect()) == list(range(20, 30))
+    assert "HashAggregate(keys=[u" in plan(out)
+
+
 def test_summary_of_empty_texts(spark, tmp_path):
     rows = [(1, ""), (2, " \n\t\n"), (3, "Title\n\nA line that tells something"), (4, None)]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
