@@ -13,6 +13,20 @@ def plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def test_days_within_intervals(spark):
+    r = random.Random(3)
+    day = lambda n: dt.date(2024, 1, 1) + dt.timedelta(n)
+    rows = [(i, r.randrange(3), day(r.randrange(40)) if i else None) for i in range(120)]
+    stays = [(i, r.randrange(3), day(r.randrange(-9, 45)) if i % 7 else None, day(r.randrange(-9, 60)) if i % 5 else None) for i in range(150)]
+    a, b = spark.createDataFrame(rows, "i int, k int, d date"), spark.createDataFrame(stays, "n int, k int, s date, e date")
+    got = links.active_summary(a, b, ["k"], "d", "s", "e", {"n": F.count("*"), "low": F.min("n")}, {"n": F.sum("n"), "low": F.min("low")})
+    want = []
+    for i, k, d in rows:
+        hit = [n for n, q, s, e in stays if d and k == q and (s is None or s <= d) and (e is None or e >= d)]
+        want += [(i, len(hit), min(hit))] if hit else []
+    assert sorted(tuple(x) for x in got.select("i", "n", "low").collect()) == want
+
+
 def test_uses_count_once(spark):
     out = keyed.without_any(spark.range(30).toDF("u"), [(spark.range(5000).select((F.col("id") % 20).alias("x")), "x", "u")])
     assert sorted(r.u for r in out.collect()) == list(range(20, 30))
