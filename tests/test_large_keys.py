@@ -27,6 +27,17 @@ def test_days_within_intervals(spark):
     assert sorted(tuple(x) for x in got.select("i", "n", "low").collect()) == want
 
 
+def test_candidates_once_for_a_name(spark):
+    m = spark.createDataFrame([(i, "Fam", i % 3) for i in range(40)] + [(3, "Famous", 1)], "mention_id int, name_norm string, unit_id int")
+    ps = [(i, "Fam" if i % 2 else "Famo", i % 3, i % 7) for i in range(60)]
+    got = resolution.identity_candidates(m, spark.createDataFrame(ps, "party_id int, name_norm string, unit_id int, record_count int"), 2)
+    for unit in range(3):
+        nine = sorted(ps, key=lambda p: (p[1] != "Fam", -p[3], p[0]))[:6]
+        best = [p[0] for p in sorted(nine, key=lambda p: (p[1] != "Fam", p[2] != unit, -p[3], p[0]))[:2]]
+        assert [r.party_id for r in got.where(f"mention_id = {6 + unit}").orderBy("rank").collect()] == best
+    assert "WindowGroupLimit [name_norm" in plan(got)
+
+
 def test_uses_count_once(spark):
     out = keyed.without_any(spark.range(30).toDF("u"), [(spark.range(5000).select((F.col("id") % 20).alias("x")), "x", "u")])
     assert sorted(r.u for r in out.collect()) == list(range(20, 30))
