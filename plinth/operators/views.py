@@ -211,13 +211,23 @@ def transfer_candidates(a: Archive, rows: DataFrame, top: int = 5, within: int =
     """The best transfers for records without a party: (record_id, name_norm, score, days, rank).
 
     rows: record_id, unit_id, observed (date). Fixed values: .25, .35 of the confidence, .25 / .10 for the unit moved to / from,
-    and .25 / .15 / .08 for 90 / 180 / 365 days; one transfer per name, the first best.
+    and .25 / .15 / .08 for 90 / 180 / 365 days; one transfer per name, the first best. Records of one unit and day have the same
+    list, and of transfers of one unit and day only the first names for each of the four values of nearness can be in one.
     """
     t = a.transfers.join(a.transfer_links.select("event_id", "confidence"), "event_id", "left").withColumn("day", D.parse_iso(F.col("effective")))
     to = t.where(F.col("to_unit_id").isNotNull()).select(F.col("to_unit_id").alias("unit_id"), "event_id", "name_norm", "day", "confidence", F.lit(0.25).alias("unit_score"), F.lit(1).alias("to_match"))
     origin = t.where(F.col("from_unit_id").isNotNull() & ~F.col("from_unit_id").eqNullSafe(F.col("to_unit_id"))).select(F.col("from_unit_id").alias("unit_id"), "event_id", "name_norm", "day", "confidence", F.lit(0.10).alias("unit_score"), F.lit(0).alias("to_match"))
-    hit = rows.join(to.unionByName(origin), "unit_id").withColumn("days", D.days_between(F.col("observed"), F.col("day"))).where(F.col("days").isNull() | (F.col("days") <= within))
-    recent = F.when(F.col("days") <= 90, 0.25).when(F.col("days") <= 180, 0.15).when(F.col("days") <= 365, 0.08).otherwise(0.0)
-    scored = hit.withColumn("score", F.bround(F.least(F.lit(0.99), 0.25 + 0.35 * F.coalesce("confidence", F.lit(0.0)) + F.col("unit_score") + recent), 4))
+    days = F.col("days")
+    recent = F.when(days <= 90, 0.25).when(days <= 180, 0.15).when(days <= 365, 0.08).otherwise(0.0)
+    score = F.bround(F.least(F.lit(0.99), 0.25 + 0.35 * F.coalesce("confidence", F.lit(0.0)) + F.col("unit_score") + F.col("recent")), 4)
+    each = to.unionByName(origin).withColumn("recent", F.explode(F.array(*map(F.lit, (0.25, 0.15, 0.08, 0.0)))))
+    alike = ["unit_id", "day", "to_match", "recent"]
+    names = each.groupBy(*alike, "name_norm").agg(F.max(score).alias("score"))
+    first = top_k(names, alike, [F.desc("score"), F.desc("name_norm")], top).drop("rank")
+    asked = rows.select("unit_id", "observed").distinct()
+    hit = asked.join(first, "unit_id").withColumn("days", D.days_between(F.col("observed"), F.col("day"))).where((days.isNull() | (days <= within)) & (F.col("recent") == recent))
     order = [F.desc("score"), F.desc("to_match"), F.asc_nulls_last("days"), F.desc("name_norm")]
+    place = [F.col("unit_id").alias("__unit"), F.col("observed").alias("__seen")]
+    best = top_k(top_k(hit, ["unit_id", "observed", "name_norm"], order, 1).drop("rank"), ["unit_id", "observed"], order, top).select(*place, "name_norm", "score", "to_match", "days")
+    scored = rows.join(best, (F.col("unit_id") == F.col("__unit")) & F.col("observed").eqNullSafe(F.col("__seen")))
     return top_k(top_k(scored, ["record_id", "name_norm"], order, 1).drop("rank"), ["record_id"], order, top).select("record_id", "name_norm", "score", "days", "rank")
