@@ -42,7 +42,7 @@ def contact_or_join(t: Tables) -> DataFrame:
     """Two ways to share a contact, each an equality join."""
     a = t.customer.select("c_custkey", F.substring("c_name", 16, 99).alias("ct"), F.floor("c_acctbal").cast("string").alias("cb"))
     b = t.supplier.select("s_suppkey", F.substring("s_name", 16, 99).alias("st"), F.floor("s_acctbal").cast("string").alias("sb"))
-    return links.contact_pairs(a, b, [("ct", "st"), ("cb", "sb")]).select("c_custkey", "s_suppkey").distinct()
+    return links.contact_pairs(a, b, [("ct", "st"), ("cb", "sb")], ("c_custkey", "s_suppkey"))
 
 
 @query(

@@ -15,6 +15,7 @@ pytestmark = pytest.mark.skipif(not Path(DATA).exists(), reason="driver tables a
     "name, has, has_not",
     [
         ("transfer_candidates_top5", r"WindowGroupLimit \[unit_id", None),
+        ("contact_or_join", None, r"Aggregate\(keys=\[c_custkey#\d+L, s_suppkey"),
     ],
 )
 def test_plan(spark, name, has, has_not):
