@@ -17,6 +17,7 @@ pytestmark = pytest.mark.skipif(not Path(DATA).exists(), reason="driver tables a
         ("transfer_candidates_top5", r"WindowGroupLimit \[unit_id", None),
         ("contact_or_join", None, r"Aggregate\(keys=\[c_custkey#\d+L, s_suppkey"),
         ("declared_topic_links", None, r"array_distinct\(concat\("),
+        ("fuzzy_title_pairs", r"explode\(array_distinct\(transform\(.*xxhash64", None),
     ],
 )
 def test_plan(spark, name, has, has_not):
