@@ -71,11 +71,17 @@ def party_topic_rollup(links: DataFrame, party: str, topic: str, year: str, reco
     """Counts, mean, span and the four derived scores per (party, topic, year).
 
     ``priority`` is summed over rows and the mean is over rows, fan-out by unit spellings included; blank units count as one.
+    Rows are dealt once by their keys; the first row of each record and of each unit counts, where two distinct counts would deal out
+    three copies of each row.
     """
     keys = [party, topic, year]
-    out = links.groupBy(*keys).agg(
-        F.count_distinct(record).alias("record_count"),
-        F.count_distinct(F.coalesce(F.col(unit), F.lit(""))).alias("unit_count"),
+    unit_key = F.coalesce(F.col(unit), F.lit(""))
+    rows = links.select(*keys, F.col(record).alias("__r"), unit_key.alias("__u"), priority, confidence, day).repartition(*keys)
+    new = lambda c, other: F.row_number().over(W.partitionBy(*keys, c).orderBy(other)) == 1
+    rows = rows.withColumn("__new_r", new("__r", "__u") & F.col("__r").isNotNull()).withColumn("__new_u", new("__u", "__r"))
+    out = rows.groupBy(*keys).agg(
+        F.count_if("__new_r").alias("record_count"),
+        F.count_if("__new_u").alias("unit_count"),
         F.sum(priority).cast("long").alias("priority_count"),
         F.avg(confidence).alias("avg_confidence"),
         F.min(day).alias("first_seen"),

@@ -18,6 +18,7 @@ pytestmark = pytest.mark.skipif(not Path(DATA).exists(), reason="driver tables a
         ("contact_or_join", None, r"Aggregate\(keys=\[c_custkey#\d+L, s_suppkey"),
         ("declared_topic_links", None, r"array_distinct\(concat\("),
         ("fuzzy_title_pairs", r"explode\(array_distinct\(transform\(.*xxhash64", None),
+        ("party_topic_rollup", None, r"\bExpand\b"),
     ],
 )
 def test_plan(spark, name, has, has_not):
