@@ -6,10 +6,12 @@ machine, one ordered fold per party. ``recommend_timeline`` is a Viterbi fold pe
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from datetime import date, timedelta
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -214,14 +216,35 @@ def recommend_timeline(candidates: DataFrame, states: int = 5) -> DataFrame:
     row per candidate, slot_id null for mentions without one.
     """
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.assign(day=pd.to_datetime(rows.observed).dt.date, text=rows.observed.astype(str))
-        steps = []
-        for (_, _, mention), own in rows.groupby(["text", "unit", "mention_id"], sort=True, dropna=False):
-            best = own[own.slot_id.notna()].sort_values(["score", "active_from", "slot_id"], ascending=False, kind="stable").head(states)
-            day = own.day.iloc[0]
-            steps.append({"mention": mention, "date": None if pd.isna(day) else day, "unit": own.unit.iloc[0] or "", "surname_only": bool(own.surname_only.iloc[0]), "states": [{"slot": int(s), "party": None if pd.isna(p) else int(p), "unit": u or "", "score": float(c)} for s, p, u, c in zip(best.slot_id, best.party_id, best.slot_unit, best.score)]})
-        found = [(rows["name"].iloc[0], s["mention"], p["slot"], p["score"]) for s, p in zip(steps, viterbi(steps)) if p is not None]
-        return pd.DataFrame(found, columns=["name", "mention_id", "slot_id", "score"])
-
-    return candidates.groupBy("name").applyInPandas(fold, TIMELINE_SCHEMA)
+    score = F.when(~F.isnan("score"), F.col("score"))
+    order = ["name", F.asc_nulls_last("observed"), F.asc_nulls_last("unit"), "mention_id", score.desc_nulls_last(), F.desc_nulls_last("active_from"), F.desc_nulls_last("slot_id")]
+    fields = ["name", "mention_id", "observed", "unit", "surname_only", "slot_id", "party_id", "slot_unit", "score"]
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Names come whole and in order; a name's steps are held and nothing of the names before."""
+        steps, name, found = [], None, []
+
+        def close() -> None:
+            found.extend((name, s["mention"], p["slot"], p["score"]) for s, p in zip(steps, viterbi(steps)) if p is not None)
+
+        def give() -> pa.RecordBatch:
+            columns = list(zip(*found)) if found else [()] * 4
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int64(), pa.float64()))], ["name", "mention_id", "slot_id", "score"])
+
+        for batch in batches:
+            for own, mention, day, unit, surname, slot, party, slot_unit, s in zip(*[batch.column(c).to_pylist() for c in fields]):
+                if steps and own != name:
+                    close()
+                    steps = []
+                name = own
+                if not steps or (steps[-1]["mention"], steps[-1]["date"], steps[-1]["__unit"]) != (mention, day, unit):
+                    steps.append({"mention": mention, "date": day, "__unit": unit, "unit": unit or "", "surname_only": bool(surname), "states": []})
+                if slot is not None and len(steps[-1]["states"]) < states:
+                    steps[-1]["states"].append({"slot": slot, "party": party, "unit": slot_unit or "", "score": s})
+            if found:
+                yield give()
+                found.clear()
+        close()
+        yield give()
+
+    return candidates.repartition("name").sortWithinPartitions(*order).select(*fields).mapInArrow(fold, TIMELINE_SCHEMA)

@@ -19,6 +19,7 @@ pytestmark = pytest.mark.skipif(not Path(DATA).exists(), reason="driver tables a
         ("declared_topic_links", None, r"array_distinct\(concat\("),
         ("fuzzy_title_pairs", r"explode\(array_distinct\(transform\(.*xxhash64", None),
         ("party_topic_rollup", None, r"\bExpand\b"),
+        ("timeline_recommendation", r"MapInArrow", None),
     ],
 )
 def test_plan(spark, name, has, has_not):
