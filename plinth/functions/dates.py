@@ -89,12 +89,12 @@ def active_on(day: Column, start: Column, end: Column) -> Column:
 def published_at(text: Column, html_date: Column, label: str = r"(?:更新日|公開日|掲載日|Updated|Published)", pattern: str = r"\d{4}年\d{1,2}月\d{1,2}日|\d{4}[/-]\d{1,2}[/-]\d{1,2}") -> Column:
     """The page's own date, else the first date in a labelled line of the first 20 or the two lines after it, else the first date in
     the first 12 lines; as text, empty if there is none."""
-    lines = F.slice(F.split(F.coalesce(text, F.lit("")), "\n"), 1, 20)
+    from plinth.functions.text import once
 
     def near(ls: Column) -> Column:
         at = lambda i: F.when(F.element_at(ls, i).rlike(label), F.regexp_extract(F.array_join(F.slice(ls, i, F.lit(3)), "\n"), pattern, 0))
         return F.get(F.filter(F.transform(F.sequence(F.lit(1), F.size(ls)), at), lambda x: x.isNotNull() & (x != "")), F.lit(0))
 
-    any_ = F.regexp_extract(F.array_join(F.slice(lines, 1, 12), "\n"), pattern, 0)
+    found = lambda ls: F.coalesce(near(ls), F.regexp_extract(F.array_join(F.slice(ls, 1, 12), "\n"), pattern, 0))
     own = F.when(F.coalesce(F.trim(html_date), F.lit("")) != "", html_date)
-    return F.coalesce(own, iso_text(parse_text_date(F.coalesce(near(lines), any_))))
+    return F.coalesce(own, once(once(F.slice(F.split(F.coalesce(text, F.lit("")), "\n"), 1, 20), found), lambda d: iso_text(parse_text_date(d))))

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Callable
 from functools import reduce
 
 import pandas as pd
@@ -223,26 +224,39 @@ def budget_amount(text: Column, labels: str, units: str = "円|千円|万円|億
     return F.coalesce(*found, F.lit(""))
 
 
+def once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value) with the value worked out once: inner functions would work a plain column out anew for each element."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def lines_of(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n")
 
 
 def deadline(text: Column, keywords: list[str], date_pattern: str, ahead: int = 7) -> Column:
     """First date in the first line with a keyword that has one in it or in the ``ahead`` lines after it; empty if none."""
-    lines = lines_of(text)
     word = "|".join(re.escape(k) for k in keywords)
-    blocks = F.transform(F.sequence(F.lit(1), F.size(lines)), lambda i: F.when(F.element_at(lines, i).rlike(word), F.regexp_extract(F.array_join(F.slice(lines, i, F.lit(ahead + 1)), "\n"), date_pattern, 0)))
-    return F.coalesce(F.get(F.filter(blocks, lambda x: x.isNotNull() & (x != "")), F.lit(0)), F.lit(""))
+
+    def first(lines: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(1), F.size(lines)), lambda i: F.when(F.element_at(lines, i).rlike(word), F.regexp_extract(F.array_join(F.slice(lines, i, F.lit(ahead + 1)), "\n"), date_pattern, 0)))
+        return F.coalesce(F.get(F.filter(blocks, lambda x: x.isNotNull() & (x != "")), F.lit(0)), F.lit(""))
+
+    return once(lines_of(text), first)
 
 
 def section_after(text: Column, heading: str, stop: str, most: int = 7) -> Column:
     """Up to ``most`` non-blank lines after the first heading line, before the first stop line, joined by blanks."""
-    lines = F.transform(lines_of(text), lambda x: F.trim(x))
-    at = F.coalesce(F.array_position(F.transform(lines, lambda x: x.rlike(heading)), True), F.lit(0)).cast("int")
-    rest = F.filter(F.slice(lines, at + 1, F.size(lines)), lambda x: (x != "") & ~x.rlike(heading))
-    end = F.coalesce(F.array_position(F.transform(rest, lambda x, i: x.rlike(stop) & (i > 0)), True), F.lit(0)).cast("int")
-    body = F.when(end > 0, F.slice(rest, F.lit(1), F.greatest(end - 1, F.lit(0)))).otherwise(rest)
-    return F.when(at > 0, F.array_join(F.slice(body, 1, most), " ")).otherwise("")
+
+    def section(rest: Column) -> Column:
+        end = F.coalesce(F.array_position(F.transform(rest, lambda x, i: x.rlike(stop) & (i > 0)), True), F.lit(0)).cast("int")
+        return F.array_join(F.slice(F.when(end > 0, F.slice(rest, F.lit(1), F.greatest(end - 1, F.lit(0)))).otherwise(rest), 1, most), " ")
+
+    def after(lines: Column) -> Column:
+        at = F.coalesce(F.array_position(F.transform(lines, lambda x: x.rlike(heading)), True), F.lit(0)).cast("int")
+        rest = F.filter(F.slice(lines, at + 1, F.size(lines)), lambda x: (x != "") & ~x.rlike(heading))
+        return F.when(at > 0, once(rest, section)).otherwise("")
+
+    return once(F.transform(lines_of(text), lambda x: F.trim(x)), after)
 
 
 # What titles that report on an earlier record contain; words that stand where a name should, and ends of titles.

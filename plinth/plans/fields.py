@@ -121,7 +121,8 @@ def text_fields(t: Tables) -> DataFrame:
     purpose = F.concat_ws("\n", F.when(f != 1, "目的").otherwise("趣旨"), F.concat(F.lit("地域の振興 "), s(k)), F.lit("二行目"), F.lit("対象"), F.lit("だれでも"))
     text = F.concat_ws("\n", F.when(f == 1, F.lit("更新日")).otherwise("表題"), F.when(f.isin(1, 2), day).otherwise("本文"), budget, purpose, F.when(f < 3, "提出締切").otherwise("以上"), F.when(f < 3, day))
     pattern = r"\d{4}年\d{1,2}月\d{1,2}日"
-    return t.part.select(
+    made, text = t.part.select("p_partkey", text.alias("text")), F.col("text")  # composed once, not in each field
+    return made.select(
         "p_partkey", T.budget_amount(text, "予算額|上限額").alias("budget"), T.deadline(text, ["提出締切"], pattern).alias("deadline"), T.section_after(text, "^目的$", "^対象$").alias("purpose"),
         D.published_at(text, F.when(f == 0, "2024-01-09").otherwise("")).alias("published"),
     )
